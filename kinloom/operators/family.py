@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import blank_to_null, space_commas
+from ..sources.tabular import add_identifiers
 
 
 def full_name(first: Column, last: Column) -> Column:
@@ -36,7 +37,7 @@ def family_units(people: DataFrame, census: DataFrame, baptisms: DataFrame, chil
         F.array_distinct(F.coalesce("kids", F.array().cast("array<string>"))).alias("potential_children"), F.col("spouse").alias("potential_spouse"), parents.alias("potential_parents"),
     )
     out = joined.select(F.col("ecpp_id").alias("__e"), F.col("id").alias("__i"), F.array(member).alias("members"))
-    return out.withColumn("fid", F.row_number().over(Window.orderBy("__e", "__i"))).select("fid", "members")
+    return add_identifiers(out, "fid", ("__e", "__i")).select("fid", "members")
 
 
 def units_by_household(persons: DataFrame, household: str, name: str = "name", order: str = "id") -> DataFrame:

@@ -428,7 +428,7 @@ def find_or_create(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH k AS (SELECT o_custkey, list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS k FROM orders GROUP BY o_custkey)
-SELECT c_custkey AS id, c_name AS name, n_name || ' ' || c_mktsegment AS spouse, coalesce(len(k.k), 0)::BIGINT AS n_children, coalesce(array_to_string(k.k, '|'), '') AS children
+SELECT row_number() OVER (ORDER BY c_custkey) AS id, c_name AS name, n_name || ' ' || c_mktsegment AS spouse, coalesce(len(k.k), 0)::BIGINT AS n_children, coalesce(array_to_string(k.k, '|'), '') AS children
 FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN k ON k.o_custkey = c_custkey""")
 def family_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as persons with a spouse from their nation and children from their orders' priorities."""
@@ -572,7 +572,7 @@ def positional_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH k AS (SELECT o_orderkey AS key, o_orderstatus || ', ' || o_orderpriority AS a, o_orderpriority || ', [' || (o_custkey % 3) || ']' AS b FROM orders)
-SELECT key, array_to_string(list_sort(list_transform(list_distinct(list_concat(string_split(a, ','), string_split(b, ','), string_split(a, ','), string_split(''x''', ','))), lambda x: trim(translate(x, '[]''"', '')))), ', ') AS ensemble FROM k""")
+SELECT key, array_to_string(list_sort(list_transform(list_distinct(list_concat(string_split(a, ','), string_split(b, ','), string_split(a, ','), [chr(39) || 'x' || chr(39)])), lambda x: trim(translate(x, '[]"' || chr(39), '')))), ', ') AS ensemble FROM k""")
 def ensemble_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four models' name lists joined on the key and united."""
     o = _t(spark, sf_dir, "orders")
