@@ -191,7 +191,10 @@ def described(docs: DataFrame) -> DataFrame:
 def quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every document."""
     rows = sample(docs, labels, "quality", most)
-    x = statistics(*tk.buffers(pa.array([t for t, _ in rows], pa.large_string()))) if rows else np.zeros((0, len(STATISTICS)))
-    bias, rules = fit(x, np.array([y for _, y in rows]))
+    x = [np.zeros((0, len(STATISTICS)))]
+    for k in range(0, len(rows), 256):
+        part = pa.RecordBatch.from_arrays([pa.array([t for t, _ in rows[k : k + 256]], pa.large_string())], names=["text"])
+        x += [statistics(data, off) for _, data, off in tk.chunks(part, "text", 1 << 20)]
+    bias, rules = fit(np.concatenate(x), np.array([y for _, y in rows]))
     out = described(docs).select("doc_id", compiled(bias, rules).alias("score"))
     return out.select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
