@@ -134,7 +134,8 @@ def digest(docs: DataFrame) -> DataFrame:
     s = F.col("spans")
     mark = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     base = F.filter(s, lambda x: x["kind"].isin(*BASE))
-    counts = [F.size(F.filter(s, lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
+    count = lambda k: F.size(F.filter(s, lambda x: x["kind"] == k)).cast("long")
+    counts = [count(k).alias(f"n_{k}") for k in BASE]
     return spans(docs).select(
         "doc_id", *counts, F.sha2(F.array_join(F.transform(base, mark), ","), 256).alias("base_sha256"), F.array_join(F.transform(s, mark), ",").alias("spans")
     )
