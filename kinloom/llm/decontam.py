@@ -127,7 +127,9 @@ def _matches(hashes: np.ndarray, first: np.ndarray, index: Index, cover: float,
 
 def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
     block, size = [], 0
-    rows = benchmark.select(F.col("item_id").cast("long"), text_of().alias("text")).where("item_id is not null")
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).where("item_id is not null")
+    plain = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
+    rows = rows.groupBy(F.md5(plain.cast("binary")).alias("key")).agg(F.min(F.struct("item_id", "text")).alias("r")).select("r.*")
     for r in rows.toLocalIterator():
         n = len(r[1].encode().split()) + 1
         if block and size + n > block_words:
