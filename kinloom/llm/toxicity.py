@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are binary: single words, pairs of neighbours, and pairs with one word between, of the text in lower case without
-punctuation, hashed to 2**BITS places. Per-coordinate learning rates and the L1 term leave few weights, which are
+punctuation, hashed to 64 bits. Per-coordinate learning rates and the L1 term leave few weights, which are
 broadcast as two short arrays (at most MOST_WEIGHTS of them, checked).
 
 Fitting sample: at most ``sample`` labelled rows outside the held-out remainder, those of the smallest MD5 of the id.
@@ -22,13 +22,15 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .common import id_remainder, text_of
 
-BITS = 22
-SAMPLE = 6000
-EPOCHS = 5
+SAMPLE = 8000
+EPOCHS = 4
 MOST_WEIGHTS = 1 << 20
-ALPHA, BETA, L1, L2 = 3.0, 1.0, 60.0, 0.0
+ALPHA, BETA, L2 = 8.0, 1.0, 0.0
+#: L1 for each row of the sample, as gradients add up over rows.
+L1_ROW = 0.03
 #: Features in more than this share of the fitting sample say how long a text is and are left out.
 MOST_DOCS = 0.1
+_BITS = 22
 THRESHOLD = 0.7
 
 
@@ -36,14 +38,14 @@ def features(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """Hashed features of all texts with the text of each: words, neighbours, skip-grams."""
     h, first = tk.words(data, off, tk.NON_WORD)
     text = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    place, owner = [h >> np.uint64(64 - BITS)], [text]
+    place, owner = [h], [text]
     for gap in (1, 2):
         if len(h) > gap:
             same = text[gap:] == text[:-gap]
             pair = tk.mix64(h[:-gap] * np.uint64(3) + h[gap:] * np.uint64(5) + np.uint64(gap))
-            place.append(pair[same] >> np.uint64(64 - BITS))
+            place.append(pair[same])
             owner.append(text[:-gap][same])
-    return np.concatenate(place).astype(np.int64), np.concatenate(owner)
+    return np.concatenate(place), np.concatenate(owner)
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, modulus: int = 3, held: int = 1) -> list[tuple[str, int]]:
@@ -56,29 +58,33 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, modulus: i
     return [(t, chosen[d]) for d, t in sorted((r[0], r[1]) for r in rows)]
 
 
-def _proximal(z: np.ndarray, n: np.ndarray) -> np.ndarray:
-    return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
+def _proximal(z: np.ndarray, n: np.ndarray, l1: float) -> np.ndarray:
+    return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
 def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) -> tuple[float, np.ndarray, np.ndarray]:
-    """Intercept, places and weights of a model learned online, one document at a time."""
+    """Intercept, feature hashes (sorted) and weights of a model learned online, one document at a time."""
     if not rows:
-        return 0.0, np.zeros(0, np.int64), np.zeros(0)
-    examples = []
+        return 0.0, np.zeros(0, np.uint64), np.zeros(0)
+    l1 = L1_ROW * len(rows)
+    examples, seen = [], np.zeros(1 << _BITS, np.int32)
     for text, y in rows:
-        place, _ = features(*tk.buffers(pa.array([text], pa.large_string())))
-        examples.append((np.unique(place), y))
-    common = np.bincount(np.concatenate([x for x, _ in examples]), minlength=1 << BITS) > MOST_DOCS * max(len(examples), 50)
-    examples = [(x[~common[x]], y) for x, y in examples]
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    z0 = n0 = 0.0
+        x = np.unique(features(*tk.buffers(pa.array([text], pa.large_string())))[0])
+        seen[(x >> np.uint64(64 - _BITS)).astype(np.int64)] += 1
+        examples.append((x, y))
+    # A weight leaves zero only when its gradients, each below one, add up to more than L1; rarer features never do.
+    examples = [(x[seen[(x >> np.uint64(64 - _BITS)).astype(np.int64)] * epochs > l1], y) for x, y in examples]
+    names, count = np.unique(np.concatenate([x for x, _ in examples]), return_counts=True)
+    names = names[(count * epochs > l1) & (count <= MOST_DOCS * max(len(examples), 50))]
+    examples = [(np.searchsorted(names, x[np.isin(x, names)]), y) for x, y in examples]
+    z, n = np.zeros(len(names)), np.zeros(len(names))
+    z0 = n0 = bias = 0.0
     order = np.random.Generator(np.random.PCG64(seed))
-    bias = 0.0
     for _ in range(epochs):
         for k in order.permutation(len(examples)):
             x, y = examples[k]
             zx, nx = z[x], n[x]
-            w = _proximal(zx, nx)
+            w = _proximal(zx, nx, l1)
             bias = -z0 / ((BETA + n0**0.5) / ALPHA)
             p = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35)))
             g = p - y
@@ -87,11 +93,11 @@ def fit(rows: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) -> tup
             n[x] = nx + g * g
             z0 += g - (np.sqrt(n0 + g * g) - n0**0.5) / ALPHA * bias
             n0 += g * g
-    w = _proximal(z, n)
+    w = _proximal(z, n, l1)
     kept = np.flatnonzero(w)
     if len(kept) > MOST_WEIGHTS:
         kept = np.sort(kept[np.argsort(-np.abs(w[kept]), kind="stable")[:MOST_WEIGHTS]])
-    return float(bias), kept, w[kept]
+    return float(bias), names[kept], w[kept]
 
 
 def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataFrame:
@@ -99,16 +105,17 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bias, places, weights = shared.value
-        table = np.zeros(1 << BITS, np.float32)
-        table[places] = weights
+        bias, names, weights = shared.value
+        may = np.zeros(1 << _BITS, bool)
+        may[(names >> np.uint64(64 - _BITS)).astype(np.int64)] = True
         for batch in batches:
             for part, data, off in tk.chunks(batch, "text"):
-                place, owner = features(data, off)
-                w = table[place]
-                hit = np.flatnonzero(w)
-                pair = np.unique(owner[hit] * (1 << BITS) + place[hit])
-                total = np.bincount(pair >> BITS, weights=table[pair & ((1 << BITS) - 1)], minlength=part.num_rows) + bias
+                h, owner = features(data, off)
+                hit = np.flatnonzero(may[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
+                k = np.minimum(np.searchsorted(names, h[hit]), max(len(names) - 1, 0))
+                good = names[k] == h[hit] if len(names) else np.zeros(0, bool)
+                pair = np.unique(owner[hit][good] * MOST_WEIGHTS + k[good])
+                total = np.bincount(pair // MOST_WEIGHTS, weights=weights[pair % MOST_WEIGHTS], minlength=part.num_rows) + bias
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))], names=["doc_id", "score"])
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, score double")
