@@ -117,10 +117,12 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
     """The training stream: ``docs``'s columns, one row for each pass that uses a document, with ``epoch``, ``taken`` and ``position``, sorted by position.
 
     Rows that share a doc_id count as one document of the largest of their sizes; each use returns all of them.
+    Columns of ``docs`` named like the three new ones give way to them.
     """
     plan = _plan(docs, weights, cap, once=True)
     uses = plan.select(F.col("doc_id").alias("__id"), "source_size", "goal", "kind", "before", "size", F.explode(F.array(*[F.lit(e) for e in range(cap)])).alias("epoch"))
     uses = uses.withColumn("taken", _taken(F.col("epoch"))).where("taken > 0").withColumn("position", _position(F.col("epoch"), schedules))
+    docs = docs.drop("epoch", "taken", "position")
     out = docs.join(uses.select("__id", "epoch", "taken", "position"), docs.doc_id.eqNullSafe(F.col("__id"))).drop("__id")
     return out.repartitionByRange("position").sortWithinPartitions("position", "doc_id")
 
