@@ -6,9 +6,10 @@ an exact check on the full sets, and connected components by alternating stars.
 Rows never pair off inside a bucket. Documents with the same set are one class, which a
 representative stands for. Each band bucket compares its members with a centre, the member
 that shares buckets with most others (an unedited original, as a rule). Where that leaves members in
-different components, they are also compared with up to eight further members, the next most shared and ones drawn by hash, in each
-of the buckets that they are in (24 at the threshold 0.85). A bucket of five members at most is thereby compared in full; in larger ones, a link is found through
-the original, through any of the drawn members of any shared bucket, or through a chain of these.
+different components, they are also compared with up to seven further members, the next most shared and ones drawn by hash.
+A bucket of five members at most is thereby compared in full. The members of larger buckets that still hold several components
+go through an exact join: two sets at the threshold share a shingle among their rarest ones (a prefix that the threshold and the sizes give), so
+documents of different components meet on these shingles, a frequent shingle's documents in salted blocks. No pair that banding gives is left untested.
 
 Defined cases: a null, empty or white text has an empty set, is linked with nothing and is kept.
 A text of fewer words than a shingle has its whole word sequence as its one shingle.
@@ -35,6 +36,10 @@ ROWS = 5
 MISS = 1e-6
 #: Members of a bucket, besides its centre, that all others are compared with: so many of the most shared and as many drawn by hash.
 MORE_CENTRES = 4
+#: Documents of one shingle that a block of the exact join compares others with.
+BLOCK = 1000
+#: Bits of a shingle that its frequency is counted by; the counts set the order of shingles only, so collisions cost time and no links.
+SLOT_BITS = 20
 
 
 def band_count(threshold: float, rows: int = ROWS, miss: float = MISS) -> int:
@@ -140,6 +145,76 @@ def _spokes(rows: DataFrame, centres: DataFrame, num: int, den: int, apart: str
     return rows.join(centres, "band").where(fits).select(F.least("doc_id", "centre").alias("u"), F.greatest("doc_id", "centre").alias("v")).distinct()
 
 
+def _slots(members: np.ndarray) -> np.ndarray:
+    return (members >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        for v in batch.column(0):
+            np.add.at(total, _slots(np.frombuffer(v.as_buffer(), np.uint64)), 1)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["slot", "c"])
+
+
+def _prefixes(frequency, num: int, den: int):
+    """The rarest shingles of each set, one of which any set that is not larger and meets the threshold has among its own; ``at`` is the place by rarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tokens, sizes = [], []
+            for v in batch.column(2):
+                s = np.frombuffer(v.as_buffer(), np.uint64)
+                tokens.append(s[np.lexsort((s, frequency.value[_slots(s)]))][: len(s) + 1 + (-num * len(s)) // den])
+                sizes.append(len(s))
+            lengths = np.array([len(t) for t in tokens])
+            owner = np.repeat(np.arange(len(tokens)), lengths)
+            at = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(tk.as_long(np.concatenate(tokens))), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(np.array(sizes)[owner]), pa.array(at)],
+                names=["token", "id", "root", "n", "at"],
+            )
+
+    return run
+
+
+def _apart(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs (u, v) of ``open_`` (id, root) with different roots that can meet the threshold.
+
+    Of two sets at the threshold, the smaller one has a shared shingle in the part of its prefix that an equal size leaves (its index), and
+    the larger one anywhere in its prefix. The documents of a shingle's largest component never meet each other.
+    """
+    spark = sets.sparkSession
+    held = settle(sets.join(open_, "id").select("id", "root", "members"), "held")
+    tally = held.select("members").mapInArrow(_tally, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    frequency = np.zeros(1 << SLOT_BITS, np.int64)
+    frequency[tally.column("slot").to_numpy()] = tally.column("c").to_numpy()
+    prefix = settle(held.mapInArrow(_prefixes(spark.sparkContext.broadcast(frequency), num, den), "token long, id long, root long, n long, at long"), "prefixes")
+    index = F.expr(f"(n - at) * {den + num} >= {2 * num} * n")
+    by_root = prefix.groupBy("token", "root").agg(F.count(F.lit(1)).alias("c"), F.count_if(index).alias("ci"))
+    most = F.struct("c", "root")
+    crowds = by_root.groupBy("token").agg(
+        F.max_by("root", most).alias("largest"), F.max_by("ci", most).alias("inside"), F.sum("ci").alias("all"), F.count(F.lit(1)).alias("roots")
+    ).where("roots > 1")
+    prefix = settle(prefix.join(crowds, "token"), "crowded")
+    small = prefix.where(index)
+    fits = F.expr(
+        f"root <> proot and {den} * n >= {num} * pn and (n < pn or n = pn and id < pid) and {den + num} * least(n - at, pn - pat) >= {num} * (n + pn)"
+    )
+    found = []
+    for mine, theirs, crowd in (("root <> largest", "true", "all - inside"), ("root = largest", "root <> largest", "inside")):
+        blocks = F.expr(f"greatest(1, ceil(({crowd}) / {BLOCK}))").cast("int")
+        dealt = small.where(mine).select("token", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id", "root", "n", "at")
+        meets = prefix.where(theirs).where(f"{crowd} > 0").select(
+            "token", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("id").alias("pid"), F.col("root").alias("proot"), F.col("n").alias("pn"), F.col("at").alias("pat")
+        )
+        found.append(dealt.join(meets, ["token", "block"]).where(fits).select(F.least("id", "pid").alias("u"), F.greatest("id", "pid").alias("v")))
+    return found[0].unionByName(found[1]).distinct()
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every document.
 
@@ -177,7 +252,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     more = [placed.withColumn("rank", F.row_number().over(Window.partitionBy("band").orderBy(*by, "doc_id"))).where(F.col("rank") <= MORE_CENTRES) for by in ([F.desc("fame")], [F.xxhash64("band", "doc_id")])]
     further = more[0].unionByName(more[1]).select("band", F.col("doc_id").alias("centre"), F.col("n_shingles").alias("cn"), F.col("root").alias("cr")).distinct()
     extra = _confirm(_spokes(placed, further, num, den, "root <> cr"), classes, sets, bands * ROWS, num, den)
-    roots = components(found.unionByName(extra)).toDF("rep", "root")
+    found = found.unionByName(extra)
+    roots = components(found).toDF("doc_id", "root")
+
+    # What larger buckets still hold apart is compared in full.
+    placed = rows.join(roots, "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
+    split = placed.groupBy("band").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("crowd")).where(f"lo < hi and crowd > {MORE_CENTRES + 1}").select("band")
+    rest = settle(placed.join(split, "band").select(F.col("doc_id").alias("id"), "root").distinct(), "rest")
+    if not rest.isEmpty():
+        last = _confirm(_apart(rest, sets, num, den), classes, sets, bands * ROWS, num, den)
+        roots = components(found.unionByName(last))
+    roots = roots.toDF("rep", "root")
     return member.join(roots, "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("root", "rep", "doc_id").alias("component_id"), (F.col("doc_id") == F.coalesce("root", "rep", "doc_id")).alias("kept")
     )

@@ -270,6 +270,20 @@ def test_near_duplicates(spark, none, size, num):
     assert minhash.near_duplicates(none, size, num, 100).count() == 0
 
 
+@pytest.mark.parametrize("block", [2, 1000])
+def test_near_duplicates_that_no_centre_joins(spark, monkeypatch, block):
+    """Two texts that share a template only, in buckets whose centres, the template with parts cut out, are just under the threshold; one centre a bucket."""
+    monkeypatch.setattr(minhash, "MORE_CENTRES", 0)
+    monkeypatch.setattr(minhash, "BLOCK", block, raising=False)
+    template = [f"w2_{k}" for k in range(1200)]
+    texts = [template + [f"{own}{k}" for k in range(103)] for own in "xy"] + [template[: 96 * k] + template[96 * k + 96 :] for k in range(12)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    want = brute(rows, 3, 85, 100)
+    assert want[1][1] == 0 and len({root for _, root in want.values()}) == 13
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85, 100).collect()}
+    assert got == want
+
+
 def test_deduplicate_keeps_columns(spark, docs):
     out = minhash.deduplicate(docs, 3, 85, 100)
     kept = {r["doc_id"] for r in out.collect()}
