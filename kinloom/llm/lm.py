@@ -5,9 +5,8 @@ one more class, inside which a token has its add-one share of the class's count.
 truncated backpropagation in numpy; its state runs through a document's windows, in training and in scoring, so a document's score is the
 log-probability of all of it, its end included.
 
-What is counted covers all training documents. The network learns from the training documents whose id's hash falls into a
-fixed share (``TRAIN_SHARE``), so what it sees grows with the corpus: documents are dealt to shards of about ``SHARD_TOKENS`` tokens, every shard trains a
-copy of the same start, and the copies are averaged, weighted by tokens, in ``AVERAGES`` rounds.
+Counts and network cover all training documents. These are dealt to shards of about ``SHARD_TOKENS`` tokens (512 shards at most, which then grow), every shard
+trains a copy of the same start, and the copies are averaged, weighted by tokens, in ``AVERAGES`` rounds.
 
 Counts are needed for every token of every text. The ``KNOWN`` most frequent tokens are broadcast (a bounded table); only
 occurrences of rarer tokens are shuffled, as hashes, once for each text and token, and meet their counts in a join.
@@ -32,11 +31,8 @@ from .common import id_remainder, settle, text_of
 TOP, WITHIN, HIDDEN = 2048, 32, 24
 KNOWN = 1 << 17
 WINDOW, LANES = 24, 32
-TRAIN_SHARE = 24
 SHARD_TOKENS = 600_000
 AVERAGES = 2
-#: A corpus too small for that share to have so many tokens gives a larger one.
-LEAST_TOKENS = 1_500_000
 PASSES = 1
 END = tk.hash_bytes(b"\n")
 _LN10 = float(np.log(10.0))
@@ -229,35 +225,50 @@ def _unpack(b: bytes) -> dict:
         return {k: f[k] for k in f.files}
 
 
+def _numbered(lex):
+    """The network's token numbers of each text, two bytes a token where they fit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, off in tk.chunks(batch, "text", 4 << 20):
+                h, first = _tokens(data, off)
+                y = lex.value.find(h)[1].astype(_width(lex.value))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([y[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["doc_id", "numbers"]
+                )
+
+    return run
+
+
+def _width(lexicon: Lexicon) -> type:
+    return np.int16 if lexicon.top < 1 << 15 else np.int32
+
+
 def _trainer(now, lex):
     """Trains one copy for each shard that a partition holds (one, as a rule)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards: dict[int, list[tuple[int, np.ndarray]]] = {}
+        shards: dict[int, list[tuple[int, bytes]]] = {}
         for batch in batches:
-            for part, data, off in tk.chunks(batch, "text"):
-                h, first = _tokens(data, off)
-                y = lex.value.find(h)[1].astype(np.int16 if lex.value.top < 1 << 15 else np.int32)
-                for k, d, a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), first[:-1], first[1:], strict=True):
-                    shards.setdefault(k, []).append((d, y[a:b].copy()))
+            for k, d, y in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                shards.setdefault(k, []).append((d, y))
         for own in shards.values():
-            own.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
-            p, seen = train(_unpack(now.value), [y for _, y in own], lex.value.classes)
+            own.sort(key=lambda x: (x[0], len(x[1]), x[1]))
+            p, seen = train(_unpack(now.value), [np.frombuffer(y, _width(lex.value)) for _, y in own], lex.value.classes)
             yield pa.RecordBatch.from_arrays([pa.array([_pack(p)], pa.binary()), pa.array([seen], pa.int64())], names=["weights", "seen"])
 
     return run
 
 
 def learn(texts: DataFrame, lexicon: Lexicon) -> dict:
-    """Averaged weights of shards, each trained over the texts dealt to it."""
+    """Averaged weights of shards, each trained over the texts dealt to it; every text is dealt to one."""
     spark = texts.sparkSession
     p = start(lexicon.classes)
-    share = min(1.0, max(1 / TRAIN_SHARE, LEAST_TOKENS / max(lexicon.total, 1)))
-    chosen = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    shards = max(1, min(512, round(lexicon.total * share / SHARD_TOKENS)))
-    dealt = settle(chosen.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), "doc_id", "text"), "shards")
-    dealt = dealt.repartitionByRange(shards, "shard")
     lex = spark.sparkContext.broadcast(lexicon)
+    shards = max(1, min(512, round(lexicon.total / SHARD_TOKENS)))
+    numbered = texts.select("doc_id", "text").mapInArrow(_numbered(lex), "doc_id long, numbers binary")
+    dealt = settle(numbered.select(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), "doc_id", "numbers"), "shards")
+    dealt = dealt.repartitionByRange(shards, "shard")
     for _ in range(AVERAGES):
         now = spark.sparkContext.broadcast(_pack(p))
 

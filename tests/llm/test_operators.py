@@ -191,6 +191,25 @@ def test_language_model(spark, docs, rows, none, monkeypatch):
     assert all(r["score"] == r["base_score"] == 0.0 and r["train_tokens"] == 0 for r in alone)
 
 
+def test_network_learns_from_all_texts(spark, monkeypatch):
+    """One shard over a corpus that says it is large: the weights are those of all texts."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 1 << 40)
+    r = random.Random(4)
+    texts = [prose(r, r.randint(5, 60), 80) for _ in range(48)]
+    c = Counter(w for t in texts for w in words(t))
+    top = [w for w, _ in c.most_common()]
+    lexicon = lm.Lexicon(np.array([textkernel.hash_bytes(w) for w in top], np.uint64), np.array([c[w] for w in top]), 10**9, len(top))
+    got = lm.learn(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), lexicon)
+    h, first = lm._tokens(*textkernel.buffers(pa.array(texts)))
+    y = lexicon.find(h)[1]
+    want = lm.start(lexicon.classes)
+    for _ in range(lm.AVERAGES):
+        want, seen = lm.train(want, [y[a:b] for a, b in zip(first[:-1], first[1:], strict=True)], lexicon.classes)
+    assert seen == len(y)
+    for k in want:
+        np.testing.assert_allclose(got[k], want[k], rtol=1e-3, atol=1e-4)
+
+
 def test_gradients_and_state(monkeypatch):
     monkeypatch.setattr(lm, "WITHIN", 4)
     monkeypatch.setattr(lm, "HIDDEN", 5)
