@@ -1,17 +1,20 @@
 """Language identification by segmentation-marginalised unigrams.
 
 The pieces are those of a fixed public vocabulary, and each language has a probability for every piece. The probability of a
-word is the sum over all its segmentations into pieces, by a forward pass over its bytes; that of a text is
+word is the sum over all its segmentations into pieces, by a forward pass over its bytes in logarithms, whatever its length; that of a text is
 the product over its words. Probabilities come from expectation-maximisation (forward and backward passes) over the words of a sample.
 
-A pass works on the distinct words of a batch at once: prefix sums give the hash of every byte range, which is
-looked up in the vocabulary, and the recursion runs over byte positions with all words and languages in one array.
+Words are runs of letters with their marks, by Unicode class, in lower case; Spark makes them. A pass works on the distinct words
+of a slice at once. From every byte, prefixes grow as long as some piece begins so; edges of the lattice come from those that are pieces.
+Words already scored in a task are looked up in a table of at most CACHE words.
 
-Fitting sample: at most ``per_language`` documents for each language, those of the smallest MD5 of the id; words of the model are
-lower-case letter runs (text in ASCII punctuation, digits and white space separates).
+Fitting sample: at most ``per_language`` documents for each language, those of the smallest MD5 of the id. Their number for each
+language and MD5 prefix is counted first, and only ids below the prefix that suffices are ranked.
 
 Defined cases: a text without a letter, empty or null, is ``und`` with score 0. A tie goes to the language that sorts first.
-Words longer than ``LONGEST`` bytes are scored in pieces of that length. Without any training text every document is ``und``.
+Without any training text every document is ``und``. Rows that repeat a doc_id are judged each for itself; in the sample, an id counts once for
+each language, with its smallest text. Null ids are not learned from. An empty table gives an empty result. Extra columns, whatever their names, are
+not read, and :func:`known_language` returns them unchanged. A text's words are scored in slices; only a single word longer than a slice needs memory by its length.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
@@ -29,33 +32,43 @@ from .common import id_remainder, text_of
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PER_LANGUAGE = 400
-LONGEST = 24
-PIECE_BYTES = 8
 ROUNDS = 4
 UND = "und"
+CACHE = 1 << 17
+#: Distinct words scored together.
+BLOCK = 1 << 13
+
+
+def words_of(text: Column) -> Column:
+    """``text`` in lower case with only its letters, their marks, and blanks between words."""
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " "), r"(^| )\p{M}+", " ")
 
 
 def load_pieces(path: str = VOCABULARY) -> list[bytes]:
-    """Byte pieces of a rank file, those of letters only, and all single bytes so that any word has a segmentation."""
+    """Byte pieces of a rank file that can stand in a word (lower case, a leading blank off), and all single bytes so that any word has a segmentation."""
     with open(path, "rb") as f:
         known = {base64.b64decode(line.split()[0]) for line in f if line.strip()}
-    known = {p for p in (k.lower() for k in known) if 0 < len(p) <= PIECE_BYTES and not tk.NON_LETTER[list(p)].any()}
-    return sorted(known | {bytes([b]) for b in range(256)})
+    inside = lambda p: p and all(c >= 128 or chr(c).isalpha() for c in p)
+    return sorted({p for p in (k.removeprefix(b" ").lower() for k in known) if inside(p)} | {bytes([b]) for b in range(256)})
 
 
 class Vocabulary:
-    """Hash index of the pieces."""
+    """Hash index of all prefixes of the pieces, with the piece that a prefix is, or -1."""
 
     def __init__(self, pieces: list[bytes]):
-        h = np.array([tk.hash_bytes(p) for p in pieces], np.uint64)
+        number = {p: k for k, p in enumerate(pieces)}
+        prefixes = sorted({p[:k] for p in pieces for k in range(1, len(p) + 1)})
+        flat = pa.array(prefixes, pa.large_binary())
+        data, off = tk.buffers(flat)
+        h = tk.range_hash(tk.prefix(data), off[:-1], off[1:])
         order = np.argsort(h)
-        self.hashes, self.ids, self.size = h[order], order.astype(np.int32), len(pieces)
+        self.hashes, self.ids = h[order], np.array([number.get(p, -1) for p in prefixes], np.int32)[order]
         self.seen = np.zeros(1 << 22, bool)
         self.seen[h >> np.uint64(42)] = True
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
-        """Piece number, or -1."""
-        out = np.full(len(h), -1, np.int32)
+        """Piece number, -1 for a mere prefix, -2 where no piece begins so."""
+        out = np.full(len(h), -2, np.int32)
         may = np.flatnonzero(self.seen[h >> np.uint64(42)])
         k = np.minimum(np.searchsorted(self.hashes, h[may]), len(self.hashes) - 1)
         good = self.hashes[k] == h[may]
@@ -63,125 +76,185 @@ class Vocabulary:
         return out
 
 
-def _lattice(sums: np.ndarray, starts: np.ndarray, lengths: np.ndarray, vocab: Vocabulary):
-    """For each piece length the words that may hold one ending at each byte: yields (end, length, words, pieces) in order of end."""
-    for end in range(1, int(lengths.max(initial=0)) + 1):
-        rows = np.flatnonzero(lengths >= end)
-        for size in range(1, min(end, PIECE_BYTES) + 1):
-            s = starts[rows] + end - size
-            piece = vocab.lookup(tk.range_hash(sums, s, s + size))
-            have = piece >= 0
-            if have.any():
-                yield end, size, rows[have], piece[have]
-
-
-def _forward(sums, starts, lengths, vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
-    """alpha[byte position, word, language]."""
-    top = int(lengths.max(initial=0))
-    alpha = np.zeros((top + 1, len(starts), prob.shape[1]))
-    alpha[0] = 1
-    for end, size, rows, piece in _lattice(sums, starts, lengths, vocab):
-        alpha[end, rows] += alpha[end - size, rows] * prob[piece]
+Group = tuple[int, int, np.ndarray, np.ndarray]
+
+
+def _lattice(sums: np.ndarray, starts: np.ndarray, lengths: np.ndarray, vocab: Vocabulary) -> list[Group]:
+    """(end, size, words, pieces) of all edges, in order of end and size; a word occurs once in a group."""
+    row = np.repeat(np.arange(len(starts)), lengths)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    found, size = [], 0
+    while len(row):
+        size += 1
+        s = starts[row] + at
+        piece = vocab.lookup(tk.range_hash(sums, s, s + size))
+        have = piece >= 0
+        found.append((at[have] + size, np.full(int(have.sum()), size), row[have], piece[have]))
+        on = (piece > -2) & (at + size < lengths[row])
+        row, at = row[on], at[on]
+    if not found:
+        return []
+    end, sizes, row, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((sizes, end))
+    end, sizes, row, piece = end[order], sizes[order], row[order], piece[order]
+    cuts = np.flatnonzero(np.r_[True, (np.diff(end) != 0) | (np.diff(sizes) != 0), True])
+    return [(int(end[a]), int(sizes[a]), row[a:b], piece[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _forward(groups: list[Group], lengths: np.ndarray, log: np.ndarray) -> np.ndarray:
+    """Logarithm of the summed probability of every word's first bytes: [byte position, word, language]."""
+    alpha = np.full((int(lengths.max(initial=0)) + 1, len(lengths), log.shape[1]), -np.inf)
+    alpha[0] = 0
+    for end, size, rows, piece in groups:
+        alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[end - size, rows] + log[piece])
     return alpha
 
 
-def _cut(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Splits words of more than LONGEST bytes; returns starts, ends and the word that each part is of."""
-    n = -(-(ends - starts) // LONGEST)
-    if not len(n) or n.max() == 1:
-        return starts, ends, np.arange(len(starts))
-    word = np.repeat(np.arange(len(starts)), n)
-    part = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
-    s = starts[word] + part * LONGEST
-    return s, np.minimum(s + LONGEST, ends[word]), word
-
-
 def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
-    """Log-probability of each word in each language."""
-    sums = tk.prefix(data)
-    s, e, word = _cut(starts, ends)
-    alpha = _forward(sums, s, e - s, vocab, prob)
+    """Log-probability of each word in each language; words of like length are worked on together."""
+    sums, log = tk.prefix(data), np.log(prob)
     out = np.zeros((len(starts), prob.shape[1]))
-    np.add.at(out, word, np.log(np.maximum(alpha[e - s, np.arange(len(s))], 1e-300)))
+    lengths = ends - starts
+    order = np.argsort(lengths, kind="stable")
+    a = 0
+    while a < len(order):
+        # A block holds BLOCK words of up to 32 bytes, and fewer the longer they are.
+        b = min(len(order), a + BLOCK)
+        while b > a + 1 and (b - a) * int(lengths[order[b - 1]]) > 32 * BLOCK:
+            b = a + (b - a) // 2
+        rows = order[a:b]
+        n = lengths[rows]
+        alpha = _forward(_lattice(sums, starts[rows], n, vocab), n, log)
+        out[rows] = alpha[n, np.arange(len(rows))]
+        a = b
     return out
 
 
-def text_scores(data: np.ndarray, off: np.ndarray, vocab: Vocabulary, prob: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log-probability of each text in each language, and its number of words."""
-    starts, ends, first = tk.spans(data, off, tk.NON_LETTER)
-    if not len(starts):
-        return np.zeros((len(off) - 1, prob.shape[1])), np.diff(first)
-    h = tk.range_hash(tk.prefix(data), starts, ends)
-    _, one, each = np.unique(h, return_index=True, return_inverse=True)
-    own = word_scores(data, starts[one], ends[one], vocab, prob)[each]
-    total = np.zeros((len(starts) + 1, prob.shape[1]))
-    np.cumsum(own, axis=0, out=total[1:])
-    return total[first[1:]] - total[first[:-1]], np.diff(first)
+class Scorer:
+    """Scores texts; remembers the words it has scored, CACHE of them at most."""
+
+    def __init__(self, pieces: list[bytes], prob: np.ndarray):
+        self.vocab, self.prob = Vocabulary(pieces), prob
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known, self.scores = np.zeros(0, np.uint64), np.zeros((0, self.prob.shape[1]))
+
+    def _words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Scores of distinct words by hash."""
+        out = np.zeros((len(h), self.prob.shape[1]))
+        at = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
+        old = self.known[at] == h if len(self.known) else np.zeros(len(h), bool)
+        out[old] = self.scores[at[old]]
+        new = np.flatnonzero(~old)
+        if len(new):
+            out[new] = word_scores(data, starts[new], ends[new], self.vocab, self.prob)
+            if len(self.known) + len(new) > CACHE:
+                self._forget()
+            both = np.concatenate([self.known, h[new]])[: CACHE]
+            order = np.argsort(both)
+            self.known, self.scores = both[order], np.concatenate([self.scores, out[new]])[order]
+        return out
+
+    def texts(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log-probability of each text in each language, and its number of words."""
+        n = len(off) - 1
+        total, count = np.zeros((n, self.prob.shape[1])), np.zeros(n, np.int64)
+        for a, b in tk.slices(data):
+            piece = data[a:b]
+            i = int(np.searchsorted(off, a, "right")) - 1
+            j = int(np.searchsorted(off, b, "left"))
+            starts, ends, first = tk.spans(piece, np.clip(off[i : j + 1], a, b) - a)
+            if not len(starts):
+                continue
+            h = tk.range_hash(tk.prefix(piece), starts, ends)
+            distinct, one, each = np.unique(h, return_index=True, return_inverse=True)
+            own = self._words(piece, starts[one], ends[one], distinct)[each]
+            sums = np.zeros((len(starts) + 1, own.shape[1]))
+            np.cumsum(own, axis=0, out=sums[1:])
+            total[i:j] += sums[first[1:]] - sums[first[:-1]]
+            count[i:j] += np.diff(first)
+        return total, count
 
 
 def fit(rows: list[tuple[str, str]], pieces: list[bytes], rounds: int = ROUNDS, floor: float = 0.05) -> tuple[list[str], np.ndarray]:
-    """Languages, and the probability of every piece in each: EM over the (language, text) rows."""
+    """Languages, and the probability of every piece in each: EM over the (language, text) rows, whose texts :func:`words_of` made."""
     vocab = Vocabulary(pieces)
     langs = sorted({x for x, _ in rows})
-    prob = np.zeros((len(pieces), len(langs)))
-    lengths_of = np.array([len(p) for p in pieces])
+    prob = np.full((len(pieces), len(langs)), 1 / len(pieces))
+    short = 0.3 ** np.minimum([len(p) for p in pieces], 3).astype(float)[:, None]
     for k, lang in enumerate(langs):
         data, off = tk.buffers(pa.array([t for x, t in rows if x == lang], pa.large_string()))
-        starts, ends, _ = tk.spans(data, off, tk.NON_LETTER)
+        starts, ends, _ = tk.spans(data, off)
         if not len(starts):
-            prob[:, k] = 1 / len(pieces)
             continue
         sums = tk.prefix(data)
         _, one, count = np.unique(tk.range_hash(sums, starts, ends), return_index=True, return_counts=True)
-        s, e, word = _cut(starts[one], ends[one])
-        n = e - s
-        paths = list(_lattice(sums, s, n, vocab))
-        p = 0.3 ** np.minimum(lengths_of, 3).astype(float)[:, None] / len(pieces) * 4
+        n = (ends - starts)[one]
+        order = np.argsort(n, kind="stable")
+        blocks = []
+        for own in np.array_split(order, -(-len(order) // BLOCK)):
+            blocks.append((_lattice(sums, starts[one][own], n[own], vocab), n[own], count[own]))
+        p = short / short.sum()
         for _ in range(rounds):
-            alpha = np.zeros((int(n.max()) + 1, len(s)))
-            beta = np.zeros_like(alpha)
-            alpha[0] = 1
-            for end, size, r, piece in paths:
-                alpha[end, r] += alpha[end - size, r] * p[piece, 0]
-            beta[n, np.arange(len(s))] = 1
-            for end, size, r, piece in reversed(paths):
-                beta[end - size, r] += beta[end, r] * p[piece, 0]
-            weight = count[word] / np.maximum(alpha[n, np.arange(len(s))], 1e-300)
             got = np.zeros(len(pieces))
-            for end, size, r, piece in paths:
-                np.add.at(got, piece, alpha[end - size, r] * p[piece, 0] * beta[end, r] * weight[r])
+            for groups, length, weight in blocks:
+                log = np.log(p)
+                here = np.arange(len(length))
+                alpha = _forward(groups, length, log)[:, :, 0]
+                beta = np.full_like(alpha, -np.inf)
+                beta[length, here] = 0
+                whole = alpha[length, here]
+                for end, size, r, piece in reversed(groups):
+                    back = beta[end, r] + log[piece, 0]
+                    got += np.bincount(piece, weights=np.exp(alpha[end - size, r] + back - whole[r]) * weight[r], minlength=len(pieces))
+                    beta[end - size, r] = np.logaddexp(beta[end - size, r], back)
             p = ((got + floor) / (got.sum() + floor * len(pieces)))[:, None]
         prob[:, k] = p[:, 0]
     return langs, prob
 
 
 def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, modulus: int = 5, held: int = 0) -> list[tuple[str, str]]:
-    """At most ``per_language`` (lang, text) rows of each language outside the held-out remainder; only ids are ranked."""
-    own = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id"), modulus) != held))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id"))
-    chosen = own.select("lang", "doc_id").withColumn("rank", rank).where(F.col("rank") <= per_language).select(F.col("doc_id").alias("chosen"))
-    chosen = [r[0] for r in chosen.collect()]
-    rows = own.where(F.col("doc_id").isin(chosen)).select("lang", F.lower(text_of()).alias("text")).collect()
-    return sorted((r[0], r[1]) for r in rows)
-
-
-def _predict(column: str, shared, ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, prob, pieces = shared.value
-        vocab = Vocabulary(pieces)
-        names = np.array([*langs, UND])
-        for batch in batches:
-            for part, data, off in tk.chunks(batch, column, 1 << 20):
-                label, score = np.full(part.num_rows, len(langs)), np.zeros(part.num_rows)
-                if langs:
-                    logs, n = text_scores(data, off, vocab, prob)
-                    some = n > 0
-                    label[some] = logs[some].argmax(axis=1)
-                    score[some] = 1 / np.exp(logs[some] - logs[some].max(axis=1, keepdims=True)).sum(axis=1)
-                extra = [pa.array(names[label], pa.string()), pa.array(score)]
-                yield pa.RecordBatch.from_arrays([*(c for c, f in zip(part.columns, part.schema, strict=True) if f.name != column), *extra], names=[*(f.name for f in part.schema if f.name != column), "lang_pred", "score"])
-
-    return run
+    """At most ``per_language`` (lang, words) rows of each language outside the held-out remainder."""
+    own = docs.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    own = own.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (id_remainder(F.col("doc_id"), modulus) != held))
+    ids = own.select("lang", "doc_id", F.md5(F.col("doc_id").cast("string").cast("binary")).alias("key"))
+    prefix = F.substring("key", 1, 3)
+    enough: dict[str, str] = {}
+    so_far: dict[str, int] = {}
+    for lang, head, n in sorted(map(tuple, ids.groupBy("lang", prefix.alias("head")).agg(F.approx_count_distinct("doc_id").alias("n")).collect())):
+        # Twice the wanted number by the sketch, so that its error leaves none out.
+        if so_far.get(lang, 0) < 2 * per_language:
+            so_far[lang] = so_far.get(lang, 0) + n
+            enough[lang] = head
+    if not enough:
+        return []
+    spark = docs.sparkSession
+    upto = spark.createDataFrame(sorted(enough.items()), "lang string, upto string")
+    near = ids.join(F.broadcast(upto), "lang").where(prefix <= F.col("upto")).select("lang", "doc_id", "key").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
+    chosen = [tuple(r) for r in near.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "doc_id").collect()]
+    few = spark.createDataFrame(chosen, "lang string, doc_id long")
+    rows = own.join(F.broadcast(few), ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    return sorted((r[0], r[1]) for r in rows.select("lang", words_of(F.col("text"))).collect())
+
+
+def _verdicts(shared) -> Iterator:
+    """A function from a batch with a column ``words`` to its row slices, labels (the last one: none) and scores."""
+    langs, prob, pieces = shared.value
+    scorer = Scorer(pieces, prob)
+
+    def judge(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        for part, data, off in tk.chunks(batch, "words"):
+            label, score = np.full(part.num_rows, len(langs)), np.zeros(part.num_rows)
+            if langs:
+                logs, n = scorer.texts(data, off)
+                some = n > 0
+                label[some] = logs[some].argmax(axis=1)
+                score[some] = 1 / np.exp(logs[some] - logs[some].max(axis=1, keepdims=True)).sum(axis=1)
+            yield part, label, score
+
+    return judge
 
 
 def _model(docs: DataFrame, path: str, per_language: int):
@@ -193,20 +266,26 @@ def _model(docs: DataFrame, path: str, per_language: int):
 def identify(docs: DataFrame, path: str = VOCABULARY, per_language: int = PER_LANGUAGE) -> DataFrame:
     """``doc_id``, ``held_out``, ``lang_pred`` and ``score`` (posterior of the prediction under equal priors) of every document."""
     shared = _model(docs, path, per_language)
-    rows = docs.select("doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), F.lower(text_of()).alias("text"))
-    return rows.mapInArrow(_predict("text", shared, True), "doc_id long, held_out boolean, lang_pred string, score double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge, names = _verdicts(shared), np.array([*shared.value[0], UND])
+        for batch in batches:
+            for part, label, score in judge(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(names[label], pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), words_of(text_of()).alias("words"))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def known_language(docs: DataFrame, least: float = 0.5, path: str = VOCABULARY, per_language: int = PER_LANGUAGE) -> DataFrame:
     """``docs`` without the documents whose language is undetermined or less likely than ``least``; columns unchanged."""
     shared = _model(docs, path, per_language)
-    inner = _predict("__lower", shared, False)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in inner(batches):
-            names = part.schema.names
-            good = pa.array([x != UND and s >= least for x, s in zip(part.column(len(names) - 2).to_pylist(), part.column(len(names) - 1).to_pylist(), strict=True)], pa.bool_())
-            part = part.filter(good)
-            yield pa.RecordBatch.from_arrays(part.columns[:-2], names=names[:-2])
+    @F.arrow_udf("boolean")
+    def known(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        judge, und = _verdicts(shared), len(shared.value[0])
+        for column in columns:
+            parts = [pa.array((label != und) & (score >= least)) for _, label, score in judge(pa.RecordBatch.from_arrays([column], names=["words"]))]
+            yield pa.concat_arrays(parts) if parts else pa.array([], pa.bool_())
 
-    return docs.withColumn("__lower", F.lower(text_of())).mapInArrow(run, docs.schema)
+    return docs.where(known(words_of(text_of())))
