@@ -423,14 +423,30 @@ def _network(shared):
     return run
 
 
+def _most_frequent(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of the most frequent tokens, KNOWN at most, in order; no more than these reach the driver.
+
+    All tokens of a count are in or out, unless fewer than TOP would be in.
+    """
+    above, least = 0, 1 << 62
+    for c, n in sorted(map(tuple, counts.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
+        if above + n > KNOWN:
+            break
+        above, least = above + n, c
+    known = counts.where(F.col("c") >= least) if above >= min(TOP, KNOWN) else counts.orderBy(F.desc("c"), "token").limit(KNOWN)
+    known = known.toArrow()
+    token, c = known.column("token").to_numpy(), known.column("c").to_numpy()
+    order = np.lexsort((token, -c))
+    return token[order].view(np.uint64), c[order]
+
+
 def score(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score`` and ``score`` of every row."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (id_remainder(F.col("doc_id"), modulus) == held).alias("held_out"), text_of().alias("text"))
     counts = settle(token_counts(rows.where("not held_out")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    known = counts.orderBy(F.desc("c"), "token").limit(KNOWN).toArrow()
-    lexicon = Lexicon(known.column("token").to_numpy().view(np.uint64), known.column("c").to_numpy(), int(total[0]), int(total[1]))
+    lexicon = Lexicon(*_most_frequent(counts), int(total[0]), int(total[1]))
     sums = "doc_id long, held_out boolean, n_tokens long, known long, tail long, log_all double, log_tail double"
     numbered = rows.mapInArrow(_numbered(spark.sparkContext.broadcast(lexicon)), f"{sums}, numbers binary, rare array<long>")
     numbered = settle(numbered.withColumn("row", F.monotonically_increasing_id()), "numbered")

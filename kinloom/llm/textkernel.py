@@ -3,8 +3,11 @@
 A batch of texts is one byte buffer and an offset array. Words are found with
 look-up tables, and each word gets a 64-bit hash from prefix sums of a polynomial
 with a random value for each byte, so the cost is a few array passes for each byte
-and no Python call for each word. A hash stands for its word: two of a billion
-different words collide with a probability of about 0.03.
+and no Python call for each word. A hash stands for its word: two of a billion random
+words collide with a probability of about 0.03. (Words made for the purpose can collide: the polynomial's base is fixed.)
+
+Texts of any length are hashed in slices that end at separators, so temporary arrays are bounded and
+what grows with a text is 16 bytes for each of its words. Only a single word longer than a slice needs more.
 """
 
 from __future__ import annotations
@@ -20,8 +23,10 @@ _INV = pow(_BASE, -1, 1 << 64)
 _POW = np.ones(1, np.uint64)
 _IPOW = np.ones(1, np.uint64)
 
-#: Text bytes worked on at a time; temporary arrays take about 40 times as much.
-CHUNK_BYTES = 2 << 20
+#: Text bytes of the rows worked on together (one row at least).
+CHUNK_BYTES = 1 << 20
+#: Text bytes hashed at a time; temporary arrays take about 40 times as much.
+SLICE_BYTES = 1 << 19
 
 
 def _flags(members: bytes) -> np.ndarray:
@@ -34,8 +39,6 @@ def _flags(members: bytes) -> np.ndarray:
 SPACE = _flags(b" \t\n\v\f\r")
 #: White space, control characters and ASCII punctuation: leaves letters, digits and bytes of longer characters.
 NON_WORD = _flags(bytes(c for c in range(128) if not chr(c).isalnum()))
-#: The same with the digits.
-NON_LETTER = _flags(bytes(c for c in range(128) if not chr(c).isalpha()))
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -132,10 +135,30 @@ def range_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
+def slices(data: np.ndarray, separators: np.ndarray = SPACE) -> Iterator[tuple[int, int]]:
+    """Byte ranges of about SLICE_BYTES that cover ``data`` and cut no word."""
+    begin, n = 0, len(data)
+    while begin < n:
+        end = min(n, begin + SLICE_BYTES)
+        while end < n:
+            cut = np.flatnonzero(separators[data[end : end + 4096]])
+            if len(cut):
+                end += int(cut[0])
+                break
+            end = min(n, end + 4096)
+        yield begin, end
+        begin = end
+
+
 def words(data: np.ndarray, off: np.ndarray, separators: np.ndarray = SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hash of every word (ASCII letters in lower case), and each text's first word index."""
-    starts, ends, first = spans(data, off, separators)
-    return range_hash(prefix(data, lower), starts, ends), first
+    hashes, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for a, b in slices(data, separators):
+        inner = off[np.searchsorted(off, a, "right") : np.searchsorted(off, b, "left")]
+        starts, ends, _ = spans(data[a:b], np.concatenate([[a], inner, [b]]) - a, separators)
+        hashes.append(range_hash(prefix(data[a:b], lower), starts, ends))
+        places.append(starts + a)
+    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), off).astype(np.int64)
 
 
 def hash_bytes(word: bytes) -> int:
