@@ -5,18 +5,24 @@ not hide a passage. Test windows form a hash index; training windows are looked
 along which the tokens are compared. The best stretch with at most one substitution in four tokens decides.
 
 Tokens are runs of ASCII letters, digits and non-ASCII characters, in lower case, so punctuation and case do not matter.
-A document is contaminated by an item if the stretch matches at least ``cover`` of the item's tokens and ``min_words`` of them.
+A document is contaminated by an item if the stretch matches at least ``cover`` of the item's tokens and ``min_words`` of them. An item of
+fewer than ``min_words`` tokens is matched whole, without substitutions. :func:`decontaminate` passes over items of fewer than ``least_words`` tokens,
+since one or two common words would drop clean documents.
 
-The test set is read in blocks of at most ``block_words`` tokens, whose size is counted while reading; each
-block is one pass over the documents with that block broadcast. No training window is shuffled.
+Items of the same tokens are one class, for which its smallest item_id stands; :func:`item_classes` says which item is of which class.
 
-Defined cases: null, empty or white texts match nothing. Items of fewer than ``min_words`` tokens identify no passage and are left out.
-Items of the same tokens are one: the smallest item_id stands for them. Rows that repeat a doc_id are judged each for itself.
-Empty tables give empty results.
+The test set is read in blocks of at most ``block_words`` tokens (a longer item is a block of its own), one at a time. Each
+block is one pass over the documents with that block broadcast; no training window is shuffled. Hits are expanded HITS at a time and stretches are
+computed for all alignments of a block of tokens at once, so a passage that many items share costs time by its hits, but no memory.
+
+Defined cases: null, empty or white texts match nothing, and such items are of no class. Null item ids are left out. Rows that repeat a doc_id are judged each for
+itself. Of two stretches of a document that match an item equally, the first counts. Empty tables give empty results. Extra columns, whatever their names, are
+not read, and :func:`decontaminate` returns them unchanged. A text of any length is hashed in slices; its tokens take 8 bytes each.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -36,6 +42,10 @@ COVER = 0.5
 #: Share of matching tokens below which a stretch loses score.
 IDENTITY = 0.75
 BLOCK_WORDS = 1 << 19
+#: Shortest item that makes :func:`decontaminate` drop a document.
+LEAST_WORDS = 4
+#: Seed hits, and tokens of alignments, worked on together.
+HITS = 1 << 20
 _BITS = 20
 
 
@@ -51,132 +61,224 @@ def _windows(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
+def _sequence_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
+    """Hash of every run of ``size`` tokens (across text ends too)."""
+    return _windows(hashes, "1" * size, 64 + size)
+
+
 @dataclass
 class Index:
-    """One block of the test set: tokens of its items, and for each mask its sorted seeds with their places."""
+    """One block of the test set: tokens of its items, for each mask its sorted seeds with their places, and short items by length."""
 
     items: np.ndarray
     tokens: np.ndarray
     first: np.ndarray
     seeds: list[tuple[np.ndarray, np.ndarray]]
     bits: list[np.ndarray]
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
-    def of(rows: list[tuple[int, str]], min_words: int = MIN_WORDS) -> Index:
-        texts = pa.array([t for _, t in rows], pa.string())
-        hashes, first = tk.words(*tk.buffers(texts), tk.NON_WORD)
-        own: dict[bytes, int] = {}
-        for k in sorted(range(len(rows)), key=lambda k: rows[k][0]):
-            part = hashes[first[k] : first[k + 1]]
-            if len(part) >= min_words:
-                own.setdefault(part.tobytes(), rows[k][0])
-        tokens = np.frombuffer(b"".join(own), np.uint64)
-        starts = np.concatenate([[0], np.cumsum([len(b) // 8 for b in own])]).astype(np.int64)
-        seeds, bits = [], []
-        item = np.repeat(np.arange(len(own)), np.diff(starts))
+    def of(rows: list[tuple[int, bytes]], min_words: int = MIN_WORDS) -> Index:
+        """From items with their token hashes."""
+        tokens = np.frombuffer(b"".join(t for _, t in rows), np.uint64)
+        size = np.array([len(t) // 8 for _, t in rows], np.int64)
+        starts = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+        item = np.repeat(np.arange(len(rows)), size)
+        long = size >= min_words
+        seeds, bits, short = [], [], {}
         for k, mask in enumerate(MASKS):
             h = _windows(tokens, mask, k)
-            at = np.flatnonzero(item[: len(h)] == item[len(mask) - 1 :]) if len(h) else np.zeros(0, np.int64)
+            at = np.flatnonzero((item[: len(h)] == item[len(mask) - 1 :]) & long[item[: len(h)]]) if len(h) else np.zeros(0, np.int64)
             order = np.argsort(h[at], kind="stable")
             at, h = at[order].astype(np.int32), h[at][order]
             seen = np.zeros(1 << _BITS, bool)
             seen[h >> np.uint64(64 - _BITS)] = True
             seeds.append((h, at))
             bits.append(seen)
-        return Index(np.array(list(own.values()), np.int64), tokens, starts, seeds, bits)
+        for n in np.unique(size[~long & (size > 0)]).tolist():
+            own = np.flatnonzero(size == n)
+            h = _sequence_hashes(tokens, n)[starts[own]]
+            order = np.argsort(h, kind="stable")
+            short[n] = h[order], own[order]
+        return Index(np.array([k for k, _ in rows], np.int64), tokens, starts, seeds, bits, short)
+
 
+def _expand(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """All of lo, lo + 1, ..., lo + n - 1, one after the other."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
 
-def _matches(hashes: np.ndarray, first: np.ndarray, index: Index, cover: float, min_words: int) -> Iterator[tuple[int, int, int, int, int]]:
-    """(text, item, matched, item words, token offset) of the best stretch for each text and item that reach the limits."""
-    pos, at = [], []
+
+def _alignments(hashes: np.ndarray, first: np.ndarray, index: Index) -> np.ndarray:
+    """Distinct (text, item, shift) rows in order, where a shift is a text's token position less the item's."""
+    found = np.zeros((0, 3), np.int64)
     for k, mask in enumerate(MASKS):
         h = _windows(hashes, mask, k)
         known, place = index.seeds[k]
         if not len(h) or not len(known):
             continue
         p = np.flatnonzero(index.bits[k][h >> np.uint64(64 - _BITS)])
-        lo, hi = np.searchsorted(known, h[p], "left"), np.searchsorted(known, h[p], "right")
-        n = hi - lo
-        total = int(n.sum())
-        if total:
-            each = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-            pos.append(np.repeat(p, n))
-            at.append(place[each].astype(np.int64))
-    if not pos:
-        return
-    p, q = np.concatenate(pos), np.concatenate(at)
-    doc = np.searchsorted(first, p, "right") - 1
-    item = np.searchsorted(index.first, q, "right") - 1
-    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-    penalty = IDENTITY / (1 - IDENTITY)
-    for d, i, shift in np.unique(np.stack([doc, item, p - q]), axis=1).T:
-        a, b = index.first[i], index.first[i + 1]
-        lo, hi = max(first[d], a + shift), min(first[d + 1], b + shift)
-        equal = hashes[lo:hi] == index.tokens[lo - shift : hi - shift]
-        score = np.concatenate([[0.0], np.cumsum(np.where(equal, 1.0, -penalty))])
-        low = np.minimum.accumulate(score)
-        end = int(np.argmax(score - low))
-        begin = int(np.argmin(score[: end + 1]))
-        n = int(equal[begin:end].sum())
-        if n >= max(min_words, math.ceil(cover * (b - a))):
-            key = (int(d), int(i))
-            best[key] = max(best.get(key, (0, 0, 0)), (n, -(int(lo) + begin - int(first[d])), int(b - a)))
-    for (d, i), (n, start, size) in sorted(best.items()):
-        yield d, int(index.items[i]), n, size, -start
-
-
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, str]]]:
-    block, size = [], 0
+        lo = np.searchsorted(known, h[p], "left")
+        n = np.searchsorted(known, h[p], "right") - lo
+        p, lo, n = p[n > 0], lo[n > 0], n[n > 0]
+        group = np.cumsum(n) // HITS
+        for g in np.unique(group):
+            own = group == g
+            at = np.repeat(p[own], n[own])
+            q = place[_expand(lo[own], n[own])].astype(np.int64)
+            rows = np.stack([np.searchsorted(first, at, "right") - 1, np.searchsorted(index.first, q, "right") - 1, at - q], axis=1)
+            found = np.unique(np.concatenate([found, rows]), axis=0)
+    return found
+
+
+def _stretches(hashes: np.ndarray, first: np.ndarray, index: Index, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matching tokens and first token position of each alignment's best stretch, the first of equals."""
+    reward, penalty = round(100 * (1 - IDENTITY)), round(100 * IDENTITY)
+    d, i, shift = rows.T
+    lo = np.maximum(first[d], index.first[i] + shift)
+    size = np.minimum(first[d + 1], index.first[i + 1] + shift) - lo
+    matched, begin = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
+    group = np.cumsum(size) // HITS
+    for g in np.unique(group):
+        own = np.flatnonzero(group == g)
+        # Each alignment is a run of size + 1 sums, the first of them 0; a run lies so far below the one before that its minima are its own.
+        n = size[own] + 1
+        at = np.cumsum(n) - n
+        t = _expand(lo[own], size[own])
+        equal = hashes[t] == index.tokens[t - np.repeat(shift[own], size[own])]
+        step = np.zeros(int(n.sum()), np.int64)
+        inner = np.ones(len(step), bool)
+        inner[at] = False
+        step[inner] = np.where(equal, reward, -penalty)
+        hits = np.zeros(len(step), np.int64)
+        hits[inner] = equal
+        run = np.repeat(np.arange(len(own)), n)
+        total = np.cumsum(step)
+        total -= total[at][run]
+        hits = np.cumsum(hits)
+        far = np.cumsum(n * 2 * (reward + penalty))[run]
+        low = np.minimum.accumulate(((total - far) << 24) + np.arange(len(step)))
+        start = low & ((1 << 24) - 1)
+        gain = total - total[start]
+        best = np.maximum.reduceat(gain, at)
+        end = np.flatnonzero(gain == best[run])
+        end = end[np.searchsorted(end, at)]
+        matched[own] = hits[end] - hits[start[end]]
+        begin[own] = lo[own] + start[end] - at
+    return matched, begin
+
+
+def _matches(hashes: np.ndarray, first: np.ndarray, index: Index, cover: float, min_words: int) -> tuple[np.ndarray, ...]:
+    """(text, item place, matched, item words, token offset) of the best stretch of each text and item that reach the limits."""
+    rows = _alignments(hashes, first, index)
+    matched, begin = _stretches(hashes, first, index, rows)
+    words = index.first[rows[:, 1] + 1] - index.first[rows[:, 1]]
+    good = matched >= np.maximum(min_words, np.ceil(cover * words))
+    out = [np.stack([rows[good, 0], rows[good, 1], matched[good], words[good], begin[good] - first[rows[good, 0]]], axis=1)]
+    for n, (known, own) in index.short.items():
+        h = _sequence_hashes(hashes, n)
+        p = np.flatnonzero(np.isin(h, known))
+        p = p[np.searchsorted(first, p, "right") == np.searchsorted(first, p + n - 1, "right")]
+        item = own[np.searchsorted(known, h[p])]
+        out.append(np.stack([np.searchsorted(first, p, "right") - 1, item, np.full(len(p), n), np.full(len(p), n), p - first[np.searchsorted(first, p, "right") - 1]], axis=1))
+    out = np.concatenate(out)
+    out = out[np.lexsort((out[:, 4], -out[:, 2], out[:, 1], out[:, 0]))]
+    new = np.ones(len(out), bool)
+    new[1:] = (out[1:, 0] != out[:-1, 0]) | (out[1:, 1] != out[:-1, 1])
+    return tuple(out[new].T)
+
+
+def _item_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, data, off in tk.chunks(batch, "text"):
+            h, first = tk.words(data, off, tk.NON_WORD)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)], pa.binary())], names=["item_id", "tokens"])
+
+
+def _tokenised(benchmark: DataFrame) -> DataFrame:
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of().alias("text")).where("item_id is not null")
-    plain = F.trim(F.regexp_replace(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " "))
-    rows = rows.groupBy(F.md5(plain.cast("binary")).alias("key")).agg(F.min(F.struct("item_id", "text")).alias("r")).select("r.*")
+    return rows.mapInArrow(_item_tokens, "item_id long, tokens binary").where("length(tokens) > 0")
+
+
+def item_classes(benchmark: DataFrame) -> DataFrame:
+    """``item_id`` and ``class_id``, the smallest id of an item of the same tokens; items without tokens are absent."""
+    rows = _tokenised(benchmark).select("item_id", F.sha2("tokens", 256).alias("key"))
+    return rows.join(rows.groupBy("key").agg(F.min("item_id").alias("class_id")), "key").select("item_id", "class_id").distinct()
+
+
+def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, bytes]]]:
+    """Classes of items with their tokens, read one partition at a time."""
+    block, size = [], 0
+    rows = settle(_tokenised(benchmark).groupBy(F.sha2("tokens", 256).alias("key")).agg(F.min(F.struct("item_id", "tokens")).alias("r")).select("r.*"), "items")
     for r in rows.toLocalIterator():
-        n = len(r[1].encode().split()) + 1
+        n = len(r[1]) // 8
         if block and size + n > block_words:
             yield block
             block, size = [], 0
-        block.append((r[0], r[1]))
+        block.append((r[0], bytes(r[1])))
         size += n
     if block:
         yield block
 
 
+def _found(texts: DataFrame, block: list, cover: float, min_words: int) -> DataFrame:
+    """Contaminated pairs of ``texts`` (doc_id, mark, text) with one block."""
+    shared = texts.sparkSession.sparkContext.broadcast(Index.of(block, min_words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, off in tk.chunks(batch, "text"):
+                d, i, *rest = _matches(*tk.words(data, off, tk.NON_WORD), shared.value, cover, min_words)
+                if len(d):
+                    at = pa.array(d)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(shared.value.items[i]), *map(pa.array, rest)], names=["doc_id", "mark", "item_id", "matched", "item_words", "at"])
+
+    return texts.mapInArrow(run, "doc_id long, mark long, item_id long, matched long, item_words long, at long")
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_of()).alias("mark"), text_of().alias("text"))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``doc_id``, ``item_id``, ``matched``, ``item_words``, ``at`` (token offset in the document) of every contaminated pair."""
-    schema = "doc_id long, item_id long, matched long, item_words long, at long"
-    spark, out = docs.sparkSession, []
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    blocks = list(_blocks(benchmark, block_words)) or [[]]
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(Index.of(block, min_words))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, data, off in tk.chunks(batch, "text"):
-                    found = list(_matches(*tk.words(data, off, tk.NON_WORD), shared.value, cover, min_words))
-                    if found:
-                        d, *rest = (pa.array(x, pa.int64()) for x in zip(*found, strict=True))
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(d), *rest], names=["doc_id", "item_id", "matched", "item_words", "at"])
-
-        one = texts.mapInArrow(run, schema)
-        out.append(one if len(blocks) == 1 else settle(one, "contamination"))
-    found = out[0]
-    for one in out[1:]:
-        found = found.unionByName(one)
-    return found
+    """``doc_id``, ``item_id`` (of the item's class), ``matched``, ``item_words``, ``at`` (token offset in the document) of every contaminated pair."""
+    texts, out = _rows(docs), None
+    blocks = _blocks(benchmark, block_words)
+    block = next(blocks, [])
+    for following in itertools.chain(blocks, [None]):
+        one = _found(texts, block, cover, min_words).drop("mark")
+        if following is None and out is None:
+            return one
+        # Written before the next block is read, so that one block is held at a time.
+        one = settle(one, "contamination")
+        out, block = one if out is None else out.unionByName(one), following
+    return out
+
 
+def decontaminate(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS, least_words: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` without contaminated documents; columns unchanged.
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, min_words: int = MIN_WORDS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` without contaminated documents, in one pass for each block and without a shuffle; columns unchanged."""
-    spark = docs.sparkSession
-    for block in _blocks(benchmark, block_words):
-        shared = spark.sparkContext.broadcast(Index.of(block, min_words))
+    A test set of one block is a filter in one pass, without a shuffle. With more blocks, the ids and
+    text hashes of contaminated rows are written for each block, and rows with them are dropped.
+    """
+    blocks = _blocks(benchmark, block_words)
+    block, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        shared = docs.sparkSession.sparkContext.broadcast(Index.of([x for x in block if len(x[1]) >= 8 * least_words], min_words))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, data, off in tk.chunks(batch, "text"):
-                    bad = {d for d, *_ in _matches(*tk.words(data, off, tk.NON_WORD), shared.value, cover, min_words)}
-                    yield part.take(pa.array([k for k in range(part.num_rows) if k not in bad], pa.int64())) if bad else part
+        @F.arrow_udf("boolean")
+        def clean(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for column in columns:
+                parts = []
+                for part, data, off in tk.chunks(pa.RecordBatch.from_arrays([column], names=["text"]), "text"):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[_matches(*tk.words(data, off, tk.NON_WORD), shared.value, cover, min_words)[0]] = False
+                    parts.append(pa.array(keep))
+                yield pa.concat_arrays(parts) if parts else pa.array([], pa.bool_())
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return docs.where(clean(text_of()))
+    bad = None
+    for more in itertools.chain([block, following], blocks):
+        one = settle(_found(_rows(docs), more, cover, min_words).where(F.col("item_words") >= least_words).select("doc_id", "mark").distinct(), "contaminated")
+        bad = one if bad is None else bad.unionByName(one)
+    bad = bad.distinct().toDF("__id", "__mark")
+    return docs.join(bad, docs.doc_id.cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs.text.cast("string"), F.lit(""))) == F.col("__mark")), "left_anti")
