@@ -17,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: what the cluster set, or a local one where nothing is set."""
+    """The folder all executors share: what the cluster set, or a local one where nothing is set and all runs on one machine."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="kinloom-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")
@@ -45,5 +47,13 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % modulus
 
 
+def fresh(*frames: DataFrame) -> str:
+    """A prefix that no column of the frames begins with, whatever the case of its letters."""
+    prefix = "__"
+    while any(c.startswith(prefix) for df in frames for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

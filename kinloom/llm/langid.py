@@ -63,11 +63,13 @@ class Vocabulary:
         h = tk.range_hash(tk.prefix(data), off[:-1], off[1:])
         order = np.argsort(h)
         self.hashes, self.ids = h[order], np.array([number.get(p, -1) for p in prefixes], np.int32)[order]
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[h >> np.uint64(42)] = True
+        self.seen = None
 
     def lookup(self, h: np.ndarray) -> np.ndarray:
         """Piece number, -1 for a mere prefix, -2 where no piece begins so."""
+        if self.seen is None:
+            self.seen = np.zeros(1 << 22, bool)
+            self.seen[self.hashes >> np.uint64(42)] = True
         out = np.full(len(h), -2, np.int32)
         may = np.flatnonzero(self.seen[h >> np.uint64(42)])
         k = np.minimum(np.searchsorted(self.hashes, h[may]), len(self.hashes) - 1)
@@ -133,8 +135,8 @@ def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab: V
 class Scorer:
     """Scores texts; remembers the words it has scored, CACHE of them at most."""
 
-    def __init__(self, pieces: list[bytes], prob: np.ndarray):
-        self.vocab, self.prob = Vocabulary(pieces), prob
+    def __init__(self, vocab: Vocabulary, prob: np.ndarray):
+        self.vocab, self.prob = vocab, prob
         self._forget()
 
     def _forget(self) -> None:
@@ -241,8 +243,8 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, modulus: in
 
 def _verdicts(shared) -> Iterator:
     """A function from a batch with a column ``words`` to its row slices, labels (the last one: none) and scores."""
-    langs, prob, pieces = shared.value
-    scorer = Scorer(pieces, prob)
+    langs, prob, vocab = shared.value
+    scorer = Scorer(vocab, prob)
 
     def judge(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
         for part, data, off in tk.chunks(batch, "words"):
@@ -260,7 +262,7 @@ def _verdicts(shared) -> Iterator:
 def _model(docs: DataFrame, path: str, per_language: int):
     pieces = load_pieces(path)
     langs, prob = fit(training_rows(docs, per_language), pieces)
-    return docs.sparkSession.sparkContext.broadcast((langs, prob, pieces))
+    return docs.sparkSession.sparkContext.broadcast((langs, prob, Vocabulary(pieces)))
 
 
 def identify(docs: DataFrame, path: str = VOCABULARY, per_language: int = PER_LANGUAGE) -> DataFrame:
