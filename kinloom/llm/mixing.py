@@ -110,7 +110,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, schedul
     out = plan.select(
         "doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.when(_taken(F.lit(0)) > 0, _position(F.lit(0), schedules)).alias("position")
     )
-    return out.repartitionByRange(F.col("position").asc_nulls_last()).sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
+    return out.repartitionByRange(F.col("position").asc_nulls_last(), "doc_id").sortWithinPartitions(F.col("position").asc_nulls_last(), "doc_id")
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = 3, schedules: Sequence = SCHEDULES) -> DataFrame:
@@ -124,7 +124,7 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
     uses = uses.withColumn("taken", _taken(F.col("epoch"))).where("taken > 0").withColumn("position", _position(F.col("epoch"), schedules))
     docs = docs.drop("epoch", "taken", "position")
     out = docs.join(uses.select("__id", "epoch", "taken", "position"), docs.doc_id.eqNullSafe(F.col("__id"))).drop("__id")
-    return out.repartitionByRange("position").sortWithinPartitions("position", "doc_id")
+    return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def oracle(weights: Sequence[int] = WEIGHTS, cap: int = 3, schedules: Sequence = SCHEDULES) -> str:
