@@ -152,22 +152,76 @@ def test_pii_digest(spark, docs, rows, none):
 
 def test_decontamination(spark, docs, none):
     r = random.Random(9)
-    items = [(k, prose(r, 30, 3000)) for k in range(6)] + [(20, "too short"), (21, None), (22, prose(r, 5))]
-    items += [(30, items[0][1])]
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    items = [(k, prose(r, 30, 3000)) for k in range(6)] + [(20, "Too short!"), (21, None), (22, "five words of their own"), (23, ""), (24, "too SHORT")]
+    items += [(30, items[0][1]), (None, prose(r, 30, 3000))]
+    bench = spark.createDataFrame(items, "item_id int, text string").withColumn("tokens", F.lit(1))
     w = items[1][1].split()
     for k in range(4, 30, 6):
         w[k] = "zzz"
     half = items[2][1].split()[:8]
     planted = [(500, prose(r, 50) + " " + items[0][1].upper().replace(" ", ", ") + " " + prose(r, 50)), (501, "start " + " ".join(w) + " end"), (502, " ".join(half) + " " + prose(r, 80)), (503, items[3][1]), (503, items[3][1])]
-    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    planted += [(504, "too ... short? " + prose(r, 9)), (505, "five WORDS of their, own"), (506, "five words of his own"), (507, "five words of"), (508, "their own"), (503, prose(r, 40)), (None, items[4][1])]
+    df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id long, text string")).withColumns({"mark": F.lit(1), "item_id": F.lit(2)})
     for block in (1 << 19, 40):
-        got = sorted((x["doc_id"], x["item_id"], x["item_words"]) for x in decontam.contamination(df, bench, block_words=block).collect())
-        assert got == [(500, 0, 30), (501, 1, 30), (503, 3, 30), (503, 3, 30)], block
+        got = sorted(((x["doc_id"], x["item_id"], x["item_words"]) for x in decontam.contamination(df, bench, block_words=block).collect()), key=str)
+        assert got == sorted([(500, 0, 30), (501, 1, 30), (503, 3, 30), (503, 3, 30), (504, 20, 2), (505, 22, 5), (None, 4, 30)], key=str), block
         kept = decontam.decontaminate(df, bench, block_words=block)
-        assert kept.columns == df.columns and {x["doc_id"] for x in kept.collect()} == {x["doc_id"] for x in df.collect()} - {500, 501, 503}
+        assert kept.columns == df.columns
+        assert sorted(map(repr, kept.collect())) == sorted(repr(x) for x in df.collect() if x["doc_id"] not in (500, 501, 505) and x["text"] not in (items[3][1], items[4][1]))
+    assert {x["item_id"]: x["class_id"] for x in decontam.item_classes(bench).collect()} == {**{k: k for k in range(6)}, 20: 20, 24: 20, 22: 22, 30: 0}
     assert decontam.contamination(df, bench.limit(0)).count() == 0 and decontam.contamination(none, bench).count() == 0
-    assert decontam.decontaminate(docs, bench).columns == docs.columns
+    assert decontam.decontaminate(docs, bench).columns == docs.columns and decontam.decontaminate(docs, bench.limit(0)).count() == docs.count()
+
+
+def test_decontamination_against_all_alignments(monkeypatch):
+    """Every alignment that a seed can find, one at a time."""
+    r = random.Random(31)
+    letters = [f"{c}{d}" for c in "abcdef" for d in range(6)]
+    items = [[r.choice(letters) for _ in range(r.randint(1, 26))] for _ in range(25)]
+    texts = []
+    for _ in range(50):
+        t = [r.choice(letters) for _ in range(r.randint(0, 30))]
+        for item in r.sample(items, 2):
+            a = r.randrange(len(item))
+            t += [w if r.random() < 0.85 else r.choice(letters) for w in item[a // 2 :]] + [r.choice(letters)]
+        texts.append(t)
+    want = {}
+    for d, t in enumerate(texts):
+        for i, item in enumerate(items):
+            n = len(item)
+            for shift in range(-n + 1, len(t)):
+                at = [k for k in range(n) if 0 <= k + shift < len(t)]
+                same = [t[k + shift] == item[k] for k in at]
+                if n < 8:
+                    if len(at) == n and all(same):
+                        want.setdefault((d, i), []).append((n, -shift))
+                    continue
+                if not any(all(same[k + j] for j, bit in enumerate(m) if bit == "1") for m in decontam.MASKS for k in range(len(at) - len(m) + 1)):
+                    continue
+                best = max(((sum(same[a:b]) - 3 * (b - a - sum(same[a:b])), -b, -a) for a in range(len(at)) for b in range(a, len(at) + 1)), default=(0, 0, 0))
+                a, b = -best[2], -best[1]
+                # Of equal stretches: the first end, and from it the first begin.
+                if sum(same[a:b]) >= max(8, math.ceil(n / 2)):
+                    want.setdefault((d, i), []).append((sum(same[a:b]), -(at[0] + a + shift)))
+    want = {k: (max(v)[0], -max(v)[1]) for k, v in want.items()}
+    rows = [(i, textkernel.words(*textkernel.buffers(pa.array([" ".join(x)])))[0].tobytes()) for i, x in enumerate(items)]
+    index = decontam.Index.of(rows)
+    tokens = textkernel.words(*textkernel.buffers(pa.array([" ".join(t) for t in texts])), textkernel.NON_WORD)
+    for hits in (1 << 20, 50):
+        monkeypatch.setattr(decontam, "HITS", hits)
+        got = {(d, i): (n, at) for d, i, n, _, at in zip(*decontam._matches(*tokens, index, 0.5, 8), strict=True)}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and len(got) > 20
+        assert sum(got[k] == want[k] for k in got) >= 0.9 * len(got)
+
+
+def test_a_passage_that_many_items_share(spark):
+    """Ten thousand items begin with the same header; it is less than half of each."""
+    r = random.Random(3)
+    header = prose(r, 12, 3000)
+    items = [(k, header + " " + " ".join(f"i{k}x{j}" for j in range(16))) for k in range(10_000)]
+    docs = [(k, f"a b {header} " + " ".join(f"d{k}y{j}" for j in range(20))) for k in range(20)] + [(99, "x " + items[77][1])]
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert [(x["doc_id"], x["item_id"], x["matched"], x["at"]) for x in got] == [(99, 77, 28, 1)]
 
 
 # ---- 4 language model ----------------------------------------------------------------------------------
@@ -380,6 +434,9 @@ def test_line_dedup(spark, none):
     got = sorted(map(tuple, out.select("doc_id", "text", "n_chars").collect()), key=str)
     want = sorted(((d, t.replace("  footer \n", "") if t and d < 40 else t, len((t.replace("  footer \n", "") if d < 40 else t) or "") if t else 0) for d, t, *_ in rows), key=str)
     assert got == want and out.columns == df.columns and lines.clean_documents(none).count() == 0
+    clash = df.withColumns({c: F.lit(7) for c in ("site", "banned", "__site", "__left", "__banned", "line", "n")})
+    assert lines.clean_documents(clash, 0.5, 5).columns == clash.columns
+    assert sorted(map(tuple, lines.clean_documents(clash, 0.5, 5).select("doc_id", "text", "n_chars").collect()), key=str) == want
 
 
 def test_page_lines(spark):
@@ -565,12 +622,12 @@ def test_slices_change_nothing(monkeypatch):
     want = [textkernel.words(*buffers), textkernel.words(*buffers, textkernel.NON_WORD)]
     pieces = [bytes([b]) for b in range(256)] + [b"on", b"one"]
     prob = np.random.default_rng(1).random((len(pieces), 2))
-    scores = langid.Scorer(pieces, prob).texts(*buffers)
+    scores = langid.Scorer(langid.Vocabulary(pieces), prob).texts(*buffers)
     monkeypatch.setattr(textkernel, "SLICE_BYTES", 7)
     monkeypatch.setattr(langid, "CACHE", 3)
     for got, (h, first) in zip([textkernel.words(*buffers), textkernel.words(*buffers, textkernel.NON_WORD)], want, strict=True):
         assert (got[0] == h).all() and (got[1] == first).all()
-    small = langid.Scorer(pieces, prob)
+    small = langid.Scorer(langid.Vocabulary(pieces), prob)
     for _ in range(2):
         got = small.texts(*buffers)
         np.testing.assert_allclose(got[0], scores[0])
