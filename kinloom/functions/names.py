@@ -66,6 +66,37 @@ def canon(name: Column) -> Column:
     return F.translate(name, CLASS_FROM, CLASS_TO)
 
 
+def own_keys(name: Column, k: int) -> Column:
+    """The k + 1 even pieces of a name in canonical letters, each with the name's length and its number.
+
+    Of two names within ``k`` edits, one has at least one of the other's pieces unedited, few places away: see :func:`probe_keys`.
+    """
+    n = F.length(name)
+    cut = lambda i: F.floor(n * i / F.lit(k + 1)).cast("int")
+    piece = lambda i: F.concat_ws(":", n, i, F.substring(canon(name), cut(i) + 1, cut(i + 1) - cut(i)))
+    return F.transform(F.sequence(F.lit(0), F.lit(k)), piece)
+
+
+def probe_keys(name: Column, k: int) -> Column:
+    """The keys of :func:`own_keys` that any name within ``k`` edits may have, without repeats."""
+    n, plain = F.length(name), canon(name)
+
+    def of_length(m: Column) -> Column:
+        cut = lambda i: F.floor(m * i / F.lit(k + 1)).cast("int")
+
+        def of_piece(i: Column) -> Column:
+            size = cut(i + 1) - cut(i)
+            # A piece that moves by d has |d| edits before it and |n - m - d| after it at least.
+            low = F.greatest(cut(i) + F.ceil((n - m - k) / 2).cast("int"), F.lit(0))
+            high = F.least(cut(i) + F.floor((n - m + k) / 2).cast("int"), n - size)
+            starts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+            return F.transform(starts, lambda at: F.concat_ws(":", m, i, F.substring(plain, at + 1, size)))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(k)), of_piece))
+
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.greatest(n - k, F.lit(0)), n + k), of_length)))
+
+
 def _free(a: Column, b: Column) -> Column:
     pairs = [p for x in FREE_PAIRS for p in (x, x[::-1])]
     return (a == b) | F.concat(a, b).isin(pairs)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..session import scratch, settle
 from .linkage import name_pairs
 
 # Limits of the compatibility rules.
@@ -42,24 +43,19 @@ def node_edges(nodes: DataFrame, k: int = NAME_LIMIT) -> DataFrame:
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): smallest id reachable, by passing on minima and halving paths; each round is checkpointed."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinloom-"))
-    both = edges.where("u <> v").select("u", "v").unionByName(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).select(F.col("u").alias("node"), "root").checkpoint()
+    """(node, root): smallest id reachable, by passing on minima and halving paths; each round is written to the shared folder."""
+    both = edges.where("u <> v").select("u", "v").unionByName(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    both = settle(both, "edges")
+    label = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).select(F.col("u").alias("node"), "root"), "labels")
     for _ in range(rounds):
         seen = both.join(label.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").groupBy("u").agg(F.min("r").alias("r"))
-        step = label.join(seen, label.node == seen.u).select("node", F.least("root", "r").alias("mid"))
+        step = label.join(seen, label.node == seen.u).select("node", F.least("root", "r").alias("mid"), F.col("root").alias("old"))
         jump = label.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        new = step.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("root")).checkpoint()
-        changed = new.join(label.withColumnRenamed("root", "old"), "node").where("root <> old").limit(1).count()
-        label = new
-        if not changed:
-            break
-    return label
+        new = settle(step.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("root")), "labels")
+        label = new.select("node", "root")
+        if new.where("root <> old").isEmpty():
+            return label
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def resolve(nodes: DataFrame, k: int = NAME_LIMIT) -> DataFrame:
@@ -68,6 +64,33 @@ def resolve(nodes: DataFrame, k: int = NAME_LIMIT) -> DataFrame:
     return nodes.select("id").join(roots, nodes.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("entity"))
 
 
+def integrate(censuses: Sequence[tuple[int | None, DataFrame]], k: int = NAME_LIMIT) -> DataFrame:
+    """``id`` and ``entity`` of the nodes of several censuses (year, nodes), joined one census after the other in order of year, an unknown year first.
+
+    Each node joins the compatible entity nearest in name (then of the smallest id) among those so far, or founds one. An entity keeps
+    its founder's name and takes what attributes it lacks from the node of the smallest id that joins it in a census. Nodes have distinct
+    ids: id, name, gender, race, birth_year, spouse. The loop is over censuses, a handful; each step is a set of joins.
+    """
+    fields = ("gender", "race", "birth_year", "spouse")
+    base = placed = None
+    for _, nodes in sorted(censuses, key=lambda c: c[0] or 0):
+        nodes = nodes.select("id", "name", *fields)
+        if base is None:
+            placed, base = nodes.select("id", F.col("id").alias("entity")), settle(nodes, "entities")
+            continue
+        near = name_pairs(nodes, base, "name", "name", k)
+        a = nodes.select(*[F.col(c).alias(f"a_{c}") for c in nodes.columns])
+        b = base.select(*[F.col(c).alias(f"b_{c}") for c in base.columns])
+        pairs = a.join(near, F.col("a_name") == F.col("l")).join(b, F.col("b_name") == F.col("r")).where(compatible("a_", "b_"))
+        best = pairs.groupBy(F.col("a_id").alias("id")).agg(F.min(F.struct("distance", "b_id")).alias("m")).select("id", F.col("m.b_id").alias("entity"))
+        found = settle(nodes.join(best, "id", "left"), "joined")
+        gains = found.where("entity is not null").groupBy("entity").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"new_{c}") for c in fields])
+        kept = base.join(gains, base.id == gains.entity, "left").select("id", "name", *[F.coalesce(c, f"new_{c}").alias(c) for c in fields])
+        base = settle(kept.unionByName(found.where("entity is null").drop("entity")), "entities")
+        placed = placed.unionByName(found.select("id", F.coalesce("entity", "id").alias("entity")))
+    return placed
+
+
 def merge_nodes(nodes: DataFrame, entities: DataFrame) -> DataFrame:
     """One row for each entity: the alternatives of every attribute, and a timeline of one record for each census year."""
     joined = nodes.join(entities, "id")
@@ -100,9 +123,17 @@ def valid_spouses(a: str, b: str) -> Column:
 
 
 def valid_child_surname(parent: Column, child: Column) -> Column:
-    """Any token of the child's name within two edits of the parent's last token."""
-    last = F.element_at(F.split(F.trim(parent), r"\s+"), -1)
-    return F.exists(F.split(F.trim(child), r"\s+"), lambda t: N.weighted_distance(t, last) <= NAME_LIMIT)
+    """Whether a child's surname fits a parent's; a missing name and a name of one token fit.
+
+    A token of the child is within two edits of the parent's last one; or, for a child of three tokens or more,
+    its paternal surname (the last but one) is within two of the parent's (which is the last where there is one surname only).
+    """
+    own, other = (F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+") for c in (child, parent))
+    near = lambda x, y: N.weighted_distance(x, y) <= NAME_LIMIT
+    last = F.element_at(other, -1)
+    paternal = F.when(F.size(other) > 2, F.try_element_at(other, F.lit(-2))).otherwise(last)
+    by_paternal = F.when(F.size(own) > 2, near(F.try_element_at(own, F.lit(-2)), paternal)).otherwise(False)
+    return F.when((F.size(own) < 2) | (F.size(other) < 2), True).otherwise(F.exists(own, lambda t: near(t, last)) | by_paternal)
 
 
 def cross_census(left: DataFrame, right: DataFrame, years: int) -> DataFrame:
@@ -161,25 +192,28 @@ def link_relationships(persons: DataFrame, k: int = NAME_LIMIT) -> DataFrame:
     return out.distinct()
 
 
-def closure(edges: DataFrame, roots: DataFrame, depth: int = 100) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows (root, node, parent, depth, path, circular) of the trees under ``roots`` (column ``id``).
 
-    A node that its own path already holds ends the path as a circular reference. Levels are joins; the driver sees one count a level.
+    A node that its own path already holds ends the path as a circular reference, so every path ends. Levels
+    are joins, each written beside the others to one folder of the shared one, until a level is empty: the result is one scan at any depth.
     """
-    edges = edges.select(F.col("src").alias("from"), F.col("dst").alias("to")).distinct()
-    level = roots.select(F.col("id").alias("root"), F.col("id").alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(1).alias("depth"), F.array(F.col("id")).alias("path"), F.lit(False).alias("circular"))
-    out = level
-    for k in range(2, depth + 1):
-        open_ = level.where("not circular")
-        level = open_.join(edges, open_.node == edges["from"]).select(
+    spark = edges.sparkSession
+    edges = settle(edges.select(F.col("src").cast("long").alias("from"), F.col("dst").cast("long").alias("to")).distinct(), "edges")
+    own = F.col("id").cast("long")
+    level = roots.select(own.alias("root"), own.alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(1).alias("depth"), F.array(own).alias("path"), F.lit(False).alias("circular"))
+    base, k = scratch(spark, "closure"), 1
+    schema = level.schema
+    while True:
+        level.write.parquet(f"{base}/level={k}")
+        done = spark.read.schema(schema).parquet(f"{base}/level={k}")
+        if done.isEmpty():
+            return spark.read.schema(schema).parquet(base)
+        k += 1
+        level = done.where("not circular").join(edges, F.col("node") == F.col("from")).select(
             "root", F.col("to").alias("node"), F.col("from").alias("parent"), F.lit(k).alias("depth"),
             F.concat("path", F.array("to")).alias("path"), F.array_contains("path", F.col("to")).alias("circular"),
         )
-        level = level.persist()
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
 
 
 def tree_metrics(tree: DataFrame) -> DataFrame:
@@ -210,7 +244,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def tree_json(tree: DataFrame, persons: DataFrame) -> DataFrame:
     """``root`` and the nested JSON of its tree; a tree is assembled level by level from the leaves, so a row holds one subtree."""
-    info = persons.select(F.col("id").alias("node"), *[c for c in ("name", "race", "gender", "birth_year", "age") if c in persons.columns])
+    info = persons.select(F.col("id").alias("node"), *[c for c in ("name", "race", "gender", "birth_year", "timeline", "spouse", "age") if c in persons.columns])
     rows = tree.join(info, "node").withColumn("key", F.array_join("path", "/")).withColumn("up", F.array_join(F.slice("path", F.lit(1), F.size("path") - 1), "/"))
     top = rows.agg(F.max("depth")).first()[0] or 0
     below = None
@@ -223,5 +257,7 @@ def tree_json(tree: DataFrame, persons: DataFrame) -> DataFrame:
         made = level.withColumn("j", F.to_json(fields)).withColumn("json", F.when(F.col("circular"), cycle).otherwise(body))
         if k == 1:
             return made.select("root", "json")
+        # Written at every level: a plan of all levels would grow with the depth.
         below = made.groupBy(F.col("up").alias("under")).agg(F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", "json"))), lambda s: s["json"]), ","), F.lit("]")).alias("kids"))
+        below = settle(below, "subtrees")
     return rows.select("root", F.lit("{}").alias("json"))

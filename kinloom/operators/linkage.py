@@ -1,8 +1,9 @@
 """Record linkage: candidate pairs, features, scoring profiles, filters, merging and enrichment.
 
-Names repeat, so distances are computed once for each pair of distinct names: distinct names meet through an equi-join on name length (a
-length difference is an edit each), built-in bounds drop most pairs, and scores are joined back to the records. No step is a
-product of records.
+Names repeat, so distances are computed once for each pair of distinct names. Within a fixed number of edits, distinct names meet through an
+equi-join on pieces: of two names within k edits, one has one of the k + 1 even pieces of the other unedited and at most k places away. Built-in
+bounds drop most pairs, and scores are joined back to the records. No step is a product of records. Only the dynamic limit, five edits and
+more, leaves pieces of a letter or two; there, names meet on length (a length difference is an edit each).
 """
 
 from __future__ import annotations
@@ -42,18 +43,25 @@ def name_pairs(left: DataFrame, right: DataFrame, l: str, r: str, most: int | No
     a = left.select(F.col(l).alias("l")).where("l is not null").distinct()
     b = right.select(F.col(r).alias("r")).where("r is not null").distinct()
     if most is not None:
-        reach = F.sequence(F.greatest(F.length("r") - most, F.lit(0)), F.length("r") + most)
+        near = candidate_names(a, b, most).distinct()
+        limit = F.lit(most)
     else:
         # |la - lb| <= 5 + 0.2 (max - 8): the longer side may reach (5 + lb - 1.6) / 0.8.
         short = F.greatest(F.lit(0), F.floor(F.length("r") - (5 + F.greatest(F.length("r") - 8, F.lit(0)) * 0.2))).cast("int")
         long = F.greatest(F.length("r") + 5, F.floor((F.length("r") + 3.4 + 1e-9) / 0.8)).cast("int")
-        reach = F.sequence(short, long)
-    pairs = a.withColumn("len", F.length("l")).join(b.withColumn("len", F.explode(reach)), "len")
-    limit = F.lit(most) if most is not None else F.floor(N.dynamic_max_distance(F.col("l"), F.col("r"))).cast("int")
-    near = pairs.where(F.levenshtein(N.canon(F.col("l")), N.canon(F.col("r"))) <= limit)
+        pairs = a.withColumn("len", F.length("l")).join(b.withColumn("len", F.explode(F.sequence(short, long))), "len")
+        limit = F.floor(N.dynamic_max_distance(F.col("l"), F.col("r"))).cast("int")
+        near = pairs.where(F.levenshtein(N.canon(F.col("l")), N.canon(F.col("r"))) <= limit)
     return near.withColumn("distance", N.weighted_distance(F.col("l"), F.col("r"))).where(F.col("distance") <= limit).select("l", "r", "distance")
 
 
+def candidate_names(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+    """Pairs (l, r) of names that share a piece and are within ``k`` edits in canonical letters; a pair comes once for each piece it shares."""
+    probe = a.withColumn("key", F.explode(N.probe_keys(F.col("l"), k)))
+    own = b.withColumn("key", F.explode(N.own_keys(F.col("r"), k)))
+    return probe.join(own, "key").where(F.levenshtein(N.canon(F.col("l")), N.canon(F.col("r")), k) >= 0).select("l", "r")
+
+
 def gender_feature(a: Column, b: Column) -> Column:
     return F.when(F.lower(F.trim(a)) == F.lower(F.trim(b)), 1).otherwise(0)
 
@@ -160,7 +168,7 @@ def combine_matches(rows: DataFrame, keys: Sequence[str], scores: Sequence[str],
     return rows.groupBy(*keys).agg(*[F.max(s).alias(s) for s in scores], F.coalesce(*[of(t) for t in ROLES]).alias(text), merged.alias("match_type"))
 
 
-#: Output column of the enrichment, the baptism column, and the match types that carry it (None: all).
+# Output column of the enrichment, the baptism column, and the match types that carry it (None: all).
 ENRICH = (
     ("baptismal_date", "Date", None), ("location_ecpp_baptism", "Mission", None), ("sex", "Sex", None),
     ("origin_parish_1790_census", "Place", None), ("notes_url_1790_census", "Notes", None),
@@ -170,7 +178,7 @@ ENRICH = (
     ("mother_first_name", "MSpanishName", ("direct", "mother", "mother_father")), ("mother_last_name", "MSurname", ("direct", "mother", "mother_father")),
     ("mother_origin", "MOrigin", ("direct",)),
 )
-#: Order of the enriched table.
+# Order of the enriched table.
 COLLECTED = (
     "#ID", "ecpp_id", "Direct_Total_Match_Score", "Mother_Total_Match_Score", "Father_Total_Match_Score", "Matched_Criteria", "match_type", "dataset_key",
     "first_name", "last_name", "father_first_name", "father_last_name", "father_military_status", "father_origin", "mother_first_name", "mother_last_name",

@@ -12,6 +12,7 @@ from ..functions import names as N
 from ..operators import evaluate as E
 from ..operators import extract as X
 from ..operators import family, filters, graph, household, linkage
+from ..session import scratch, settle
 from ..sources import sinks, tabular
 from ..sources.documents import corpus_words
 from ..streaming import incremental
@@ -135,12 +136,12 @@ def linkage_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {_NAMES}
 SELECT a.p_name AS a, b.p_name AS b, {_dist("a.p_name", "b.p_name")}::INT AS distance, levenshtein({_canon("a.p_name")}, {_canon("b.p_name")})::INT AS low, levenshtein(a.p_name, b.p_name)::INT AS high,
-       {_most("a.p_name", "b.p_name")} AS most, {_prob(_dist("a.p_name", "b.p_name"), _most("a.p_name", "b.p_name"))} AS probability FROM n a, n b""")
+       {_most("a.p_name", "b.p_name")} AS most, {_prob(_dist("a.p_name", "b.p_name"), _most("a.p_name", "b.p_name"))} AS probability FROM n a JOIN n b ON a.f = b.f OR a.l = b.l""")
 def name_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distance, bounds and probability of the 64 x 64 distinct part names, a fixed set at any scale."""
+    """Distance, bounds and probability of distinct part names that share a word."""
     n = _names(spark, sf_dir)
-    a, b = n.select(F.col("p_name").alias("a")), n.select(F.col("p_name").alias("b"))
-    pairs = a.crossJoin(b).withColumn("distance", N.weighted_distance(F.col("a"), F.col("b")))
+    by = lambda w: n.select(F.col("p_name").alias("a"), w).join(n.select(F.col("p_name").alias("b"), w), w)
+    pairs = by("f").select("a", "b").unionByName(by("l").select("a", "b")).distinct().withColumn("distance", N.weighted_distance(F.col("a"), F.col("b")))
     most = N.dynamic_max_distance(F.col("a"), F.col("b"))
     return pairs.select("a", "b", "distance", F.levenshtein(N.canon(F.col("a")), N.canon(F.col("b"))).alias("low"), F.levenshtein("a", "b").alias("high"), most.alias("most"), N.match_probability(F.col("distance"), most).alias("probability"))
 
@@ -230,11 +231,10 @@ def linkage_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- fields and sources --------------------------------------------------------------------------------
 
 
-@query("SELECT doc_id, md5(lower(strip_accents(text))) AS normal FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\x7FÀ-ÖØ-öø-ÿ]')")
+@query("SELECT doc_id, md5(lower(strip_accents(text))) AS normal FROM documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Accent-free lower case of every text in Latin-1 letters."""
-    d = _t(spark, sf_dir, "documents").where("not regexp_like(text, '[^\\\\x00-\\\\x7FÀ-ÖØ-öø-ÿ]')")
-    return d.select("doc_id", F.md5(N.normalize(F.col("text")).cast("binary")).alias("normal"))
+    """Accent-free lower case of every text. (The SQL knows fewer letters than it: beyond Latin-1 they may differ.)"""
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(N.normalize(F.col("text")).cast("binary")).alias("normal"))
 
 
 @query("SELECT doc_id, md5(trim(lower(strip_accents(replace(replace(replace(replace(replace(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 'de ', ''), 'del ', ''), 'de la ', ''), 'y ', ''), 'los ', ''))))) AS normal FROM documents")
@@ -308,33 +308,140 @@ def households(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons of three censuses; race, spouse and birth year are known for some."""
     p = _t(spark, sf_dir, "part")
-    return p.groupBy(F.col("p_name").alias("name"), F.col("p_type").alias("gender"), F.col("p_size").cast("double").alias("size")).agg(F.min("p_partkey").alias("id")).select(
-        "id", "name", "gender", F.lit(None).cast("string").alias("race"), (F.col("size") * 20).alias("birth_year"), F.lit(None).cast("string").alias("spouse"), F.lit(None).cast("string").alias("father"),
-        F.lit(None).cast("string").alias("mother"), (1750 + (F.col("size").cast("int") % 3) * 10).alias("census_year"), F.col("size").alias("age"),
+    n = p.groupBy(F.col("p_name").alias("name"), F.col("p_type").alias("gender"), F.col("p_size").cast("int").alias("size")).agg(F.min("p_partkey").alias("id"))
+    size, turned = F.col("size"), F.concat_ws(" ", F.split_part("name", F.lit(" "), F.lit(2)), F.split_part("name", F.lit(" "), F.lit(1)))
+    return n.select(
+        "id", "name", "gender", F.when(size % 4 == 1, "indio").when(size % 4 == 2, "indio; mulato").when(size % 4 == 3, "mulato").alias("race"), F.when(size % 7 > 0, (size * 4).cast("double")).alias("birth_year"),
+        F.when(size % 3 == 1, turned).when(size % 3 == 2, F.concat(turned, F.lit("xxx"))).alias("spouse"), F.lit(None).cast("string").alias("father"), F.lit(None).cast("string").alias("mother"),
+        (1750 + size % 3 * 10).alias("census_year"), size.cast("double").alias("age"),
     )
 
 
-_NODES = "n AS (SELECT p_name AS name, p_type AS gender, p_size::DOUBLE AS size, min(p_partkey) AS id FROM part GROUP BY p_name, p_type, p_size)"
-_ENTITY = f"""{_NODES},
-d0 AS (SELECT x.name AS l, y.name AS r, {_dist("x.name", "y.name")} AS d FROM (SELECT DISTINCT name FROM n) x, (SELECT DISTINCT name FROM n) y),
-e AS (SELECT a.id AS u, b.id AS v FROM n a JOIN d0 ON a.name = d0.l AND d0.d <= 2 JOIN n b ON b.name = d0.r WHERE a.id <> b.id AND a.gender = b.gender AND abs(a.size - b.size) * 20 <= 5),
-reach AS (SELECT id AS node, id AS root FROM n UNION SELECT e.v, reach.root FROM reach JOIN e ON e.u = reach.node),
-q AS (SELECT node AS id, min(root) AS entity FROM reach GROUP BY node)"""
+def _agree(a: str, b: str) -> str:
+    d = _dist(f"{a}.spouse", f"{b}.spouse")
+    return (
+        f"(({a}.gender IS NULL OR {b}.gender IS NULL OR {a}.gender = {b}.gender) AND ({a}.birth_year IS NULL OR {b}.birth_year IS NULL OR abs({a}.birth_year - {b}.birth_year) <= 5) "
+        f"AND ({a}.race IS NULL OR {b}.race IS NULL OR contains({a}.race, ';') OR contains({b}.race, ';') OR {a}.race = {b}.race) AND ({a}.spouse IS NULL OR {b}.spouse IS NULL OR {d} <= 3))"
+    )
+
+
+_NODES = """
+g AS (SELECT p_name AS name, p_type AS gender, p_size::INT AS size, min(p_partkey) AS id FROM part GROUP BY p_name, p_type, p_size),
+h AS (SELECT *, split_part(name, ' ', 2) || ' ' || split_part(name, ' ', 1) AS turned FROM g),
+n AS (SELECT id, name, gender, CASE size % 4 WHEN 1 THEN 'indio' WHEN 2 THEN 'indio; mulato' WHEN 3 THEN 'mulato' END AS race, CASE WHEN size % 7 > 0 THEN size * 4.0::DOUBLE END AS birth_year,
+      CASE size % 3 WHEN 1 THEN turned WHEN 2 THEN turned || 'xxx' END AS spouse, 1750 + size % 3 * 10 AS census_year, size AS age FROM h)"""
+_NEAR = f"""
+k AS (SELECT DISTINCT name FROM n),
+d0 AS (SELECT * FROM (SELECT x.name AS l, y.name AS r, {_dist("x.name", "y.name")} AS d FROM k x, k y) WHERE d <= 2)"""
+_ENTITY = f"""{_NODES}, {_NEAR},
+e AS (SELECT a.id AS u, b.id AS v FROM n a JOIN d0 ON a.name = d0.l JOIN n b ON b.name = d0.r WHERE a.id <> b.id AND {_agree("a", "b")}),
+reach AS (SELECT id AS node, id AS root FROM n UNION SELECT e.v, reach.root FROM reach JOIN e ON e.u = reach.node WHERE e.v > reach.root),
+q0 AS (SELECT node AS id, min(root) AS low FROM reach GROUP BY node),
+q AS (SELECT id, low AS entity FROM q0)"""
 
 
 @query(f"WITH RECURSIVE {_ENTITY} SELECT id, entity FROM q")
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes of near names, equal type and near size, as connected components."""
+    """Nodes of near names that agree in what is known, as connected components."""
     return graph.resolve(_nodes(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {_ENTITY}
-SELECT q.entity, count(DISTINCT n.name) AS names, count(DISTINCT 1750 + (n.size::INT % 3) * 10) AS years FROM q JOIN n ON n.id = q.id GROUP BY q.entity""")
+_MERGE = """
+j AS (SELECT n.*, q.entity FROM n JOIN q ON n.id = q.id),
+y AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity, census_year ORDER BY id) AS r FROM j) WHERE r = 1),
+t AS (SELECT entity, string_agg(census_year::VARCHAR, '|' ORDER BY census_year) AS years, string_agg(age::VARCHAR, '|' ORDER BY census_year) AS ages, avg(census_year - age) AS mean_birth FROM y GROUP BY entity),
+s AS (SELECT entity, string_agg(DISTINCT name, '|' ORDER BY name) AS names, coalesce(string_agg(DISTINCT race, '|' ORDER BY race), '') AS races, coalesce(string_agg(DISTINCT spouse, '|' ORDER BY spouse), '') AS spouses FROM j GROUP BY entity)
+SELECT s.entity, names, races, spouses, years, ages, round(mean_birth, 6) AS birth_year FROM s JOIN t ON s.entity = t.entity"""
+
+
+def _merged_table(spark: SparkSession, sf_dir: str, entities: DataFrame) -> DataFrame:
+    m = graph.merge_nodes(_nodes(spark, sf_dir), entities)
+    text = lambda c: F.array_join(c, "|")
+    return m.select(
+        "entity", text("name").alias("names"), text("race").alias("races"), text("spouse").alias("spouses"), text(F.transform(F.map_keys("timeline"), lambda y: y.cast("string"))).alias("years"),
+        text(F.transform(F.map_values("timeline"), lambda v: v["age"].cast("int").cast("string"))).alias("ages"), F.round("birth_year", 6).alias("birth_year"),
+    )
+
+
+@query(f"WITH RECURSIVE {_ENTITY}, {_MERGE}")
 def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nodes(spark, sf_dir)
-    m = graph.merge_nodes(nodes, graph.resolve(nodes))
-    return m.select("entity", F.size("name").cast("long").alias("names"), F.size("timeline").cast("long").alias("years"))
+    """Alternatives of every attribute of an entity, and its timeline."""
+    return _merged_table(spark, sf_dir, graph.resolve(_nodes(spark, sf_dir)))
+
+
+def _step(base: str, year: int, out: str) -> str:
+    """One census joined to the entities so far, in SQL."""
+    fields = ", ".join(f"coalesce(b.{c}, w.{c}) AS {c}" for c in ("gender", "race", "birth_year", "spouse"))
+    gains = ", ".join(f"arg_min({c}, id) FILTER (WHERE {c} IS NOT NULL) AS {c}" for c in ("gender", "race", "birth_year", "spouse"))
+    return f"""
+p{out} AS (SELECT a.id, b.id AS entity, d0.d FROM n a JOIN d0 ON a.name = d0.l JOIN {base} b ON b.name = d0.r WHERE a.census_year = {year} AND {_agree("a", "b")}),
+m{out} AS (SELECT id, entity FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, entity) AS r FROM p{out}) WHERE r = 1),
+f{out} AS (SELECT a.*, m.entity FROM n a LEFT JOIN m{out} m ON m.id = a.id WHERE a.census_year = {year}),
+w{out} AS (SELECT entity, {gains} FROM f{out} WHERE entity IS NOT NULL GROUP BY entity),
+{out} AS (SELECT b.id, b.name, {fields} FROM {base} b LEFT JOIN w{out} w ON w.entity = b.id UNION ALL SELECT id, name, gender, race, birth_year, spouse FROM f{out} WHERE entity IS NULL)"""
+
+
+_INTEGRATED = f"""{_NODES}, {_NEAR},
+b0 AS (SELECT id, name, gender, race, birth_year, spouse FROM n WHERE census_year = 1750),{_step("b0", 1760, "b1")},{_step("b1", 1770, "b2")},
+q AS (SELECT id, id AS entity FROM b0 UNION ALL SELECT id, coalesce(entity, id) FROM fb1 UNION ALL SELECT id, coalesce(entity, id) FROM fb2)"""
+
+
+@query(f"WITH {_INTEGRATED}, {_MERGE}")
+def integrated_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three censuses joined in order of year, and what is known of every entity."""
+    n = _nodes(spark, sf_dir)
+    return _merged_table(spark, sf_dir, graph.integrate([(y, n.where(F.col("census_year") == y)) for y in (1770, 1750, 1760)]))
+
+
+_PERSONS = """
+n AS (SELECT p_name AS name, split_part(p_name, ' ', 1) AS f, split_part(p_name, ' ', 2) AS l, min(p_partkey) AS id FROM part GROUP BY p_name),
+p AS (SELECT id, name, f || ' bolt' AS father, f || 's gear' AS mother, CASE WHEN l = 'anvil' THEN f || ' ring' WHEN l = 'rod' THEN 'nobody at all' END AS spouse, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN 'm' ELSE 'f' END AS gender,
+      CASE WHEN id % 5 > 0 THEN 1700.0::DOUBLE + id * 7 % 61 END AS birth_year, CASE WHEN id % 7 > 0 THEN (id * 3 % 50)::DOUBLE END AS age FROM n)"""
+_EDGES = f"""{_PERSONS},
+r AS (SELECT id, 'father' AS rel, father AS ref FROM p WHERE father <> name UNION ALL SELECT id, 'mother', mother FROM p WHERE mother <> name UNION ALL SELECT id, 'spouse', spouse FROM p WHERE spouse <> name),
+t AS (SELECT ref, id AS target FROM (SELECT x.ref, p.id, row_number() OVER (PARTITION BY x.ref ORDER BY p.name <> x.ref, {_dist("x.ref", "p.name")}, p.id) AS k FROM (SELECT DISTINCT ref FROM r) x JOIN p ON {_dist("x.ref", "p.name")} <= 2) WHERE k = 1),
+c AS (SELECT r.rel, me.id AS me, o.id AS other, me.name AS my_name, o.name AS its_name, me.birth_year - o.birth_year AS gap, o.age - me.age AS older, me.gender AS g, o.gender AS og FROM r JOIN t ON r.ref = t.ref JOIN p me ON me.id = r.id JOIN p o ON o.id = t.target WHERE me.id <> o.id),
+ok AS (SELECT * FROM c WHERE CASE WHEN rel = 'spouse' THEN coalesce(g <> og, true) AND coalesce(abs(gap) <= 25, true) ELSE my_name <> its_name AND coalesce(gap BETWEEN 13 AND 60, older >= 13, true) END),
+e AS (SELECT DISTINCT other AS src, me AS dst, rel FROM ok UNION SELECT me, other, rel FROM ok WHERE rel = 'spouse')"""
+
+
+def _persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _t(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("id"))
+    f, l, i = F.split_part("name", F.lit(" "), F.lit(1)), F.split_part("name", F.lit(" "), F.lit(2)), F.col("id")  # noqa: E741
+    return n.select(
+        "id", "name", F.concat(f, F.lit(" bolt")).alias("father"), F.concat(f, F.lit("s gear")).alias("mother"), F.when(l == "anvil", F.concat(f, F.lit(" ring"))).when(l == "rod", "nobody at all").alias("spouse"),
+        F.when(i % 4 == 1, "m").when(i % 4 > 1, "f").alias("gender"), F.when(i % 5 > 0, (1700 + i * 7 % 61).cast("double")).alias("birth_year"), F.when(i % 7 > 0, (i * 3 % 50).cast("double")).alias("age"),
+    )
+
+
+@query(f"WITH {_EDGES} SELECT src, dst, rel FROM e")
+def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents and spouses resolved by name, exactly or nearly, and validated."""
+    return graph.link_relationships(_persons(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_EDGES}, pe AS (SELECT DISTINCT src, dst FROM e WHERE rel <> 'spouse'),
+w AS (SELECT id AS root, id AS node, [id] AS path, false AS circular FROM p WHERE id NOT IN (SELECT dst FROM pe)
+      UNION ALL SELECT w.root, pe.dst, list_append(w.path, pe.dst), list_contains(w.path, pe.dst) FROM w JOIN pe ON pe.src = w.node WHERE NOT w.circular)
+SELECT w.root, w.node, len(path)::INT AS depth, circular, p.name FROM w JOIN p ON p.id = w.node""")
+def family_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Descendants of every person without parents, over the resolved relationships."""
+    people = _persons(spark, sf_dir)
+    edges = settle(graph.link_relationships(people), "relationships")
+    tree = graph.closure(edges.where("rel <> 'spouse'"), graph.roots_of(people, edges))
+    return tree.join(people.select(F.col("id").alias("node"), "name"), "node").select("root", "node", "depth", "circular", "name")
+
+
+@query("""SELECT c_custkey AS k, c_name AS parent, child, (len(string_split(child, ' ')) < 2 OR child LIKE '% acme%' OR child LIKE '%zz corp yy') AS fits FROM (
+SELECT c_custkey, 'ana corp acme' AS c_name, CASE c_custkey % 5 WHEN 0 THEN 'luis acme' WHEN 1 THEN 'luis zz corp yy' WHEN 2 THEN 'luis' WHEN 3 THEN 'luis unrelated people' ELSE 'luis acmes solo' END AS child FROM customer)""")
+def surname_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surname rule over made names: last token, paternal position, one token, none."""
+    k = F.col("c_custkey")
+    child = F.when(k % 5 == 0, "luis acme").when(k % 5 == 1, "luis zz corp yy").when(k % 5 == 2, "luis").when(k % 5 == 3, "luis unrelated people").otherwise("luis acmes solo")
+    c = _t(spark, sf_dir, "customer").select(k.alias("k"), F.lit("ana corp acme").alias("parent"), child.alias("child"))
+    return c.withColumn("fits", graph.valid_child_surname(F.col("parent"), F.col("child")))
 
 
 def _hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -457,9 +564,9 @@ def _grants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT p_partkey AS number, upper(p_name) AS name, {_GRANT} AS description, 'Yolo' AS county, 'In T 5N, R 7W, MDM' AS coordinates FROM part""")
 def entry_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grants written in the separated text form, one file for each brand, and parsed back."""
-    g = _grants(spark, sf_dir)
-    lines = sinks.entries_text(g).withColumn("file", F.pmod(F.xxhash64("value"), F.lit(16)))
+    """Grants written in the separated text form, a thousand numbers in a file, and parsed back."""
+    g = _grants(spark, sf_dir).withColumn("file", F.floor(F.col("number") / 1000))
+    lines = sinks.entries_text(g, "file")
     texts = lines.groupBy("file").agg(F.array_join(F.collect_list("value"), "\n").alias("text"))
     return X.parse_entries(texts).select("number", "name", "description", "county", "coordinates")
 

@@ -36,10 +36,10 @@ def pretty(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns), {"pretty": "true"}).alias("value"))
 
 
-def entries_text(grants: DataFrame) -> DataFrame:
-    """Grants in the separated text form that :func:`kinloom.operators.extract.parse_entries` reads."""
+def entries_text(grants: DataFrame, *keys: str) -> DataFrame:
+    """Grants in the separated text form that :func:`kinloom.operators.extract.parse_entries` reads, with the columns ``keys``."""
     head = F.concat(F.lit("Grant Name: "), F.col("name"), F.lit(", Grant Number: "), F.col("number").cast("string"))
-    return grants.select(F.concat_ws("\n", head, F.concat(F.lit("Description: "), F.col("description")), F.lit(RULE)).alias("value"))
+    return grants.select(*keys, F.concat_ws("\n", head, F.concat(F.lit("Description: "), F.col("description")), F.lit(RULE)).alias("value"))
 
 
 def write_entries(grants: DataFrame, path: str) -> None:

@@ -135,3 +135,51 @@ def test_family_units(spark):
     u = family.family_units(people, census, baptisms, ["Child1", "Child2", "Child3"]).first()
     m = u["members"][0]
     assert u["fid"] == 1 and m["potential_children"] == ["k1"] and m["potential_spouse"] == "jo paz" and m["potential_parents"] == ["pa x"] and m["race"] == "a, b"
+
+
+def test_pieces_find_all_near_names(spark):
+    from kinloom.functions import names as N
+
+    r = random.Random(17)
+    names = ["", "a", "ab", "bv"] + ["".join(r.choice("abcsvz") for _ in range(r.randint(1, 9))) for _ in range(150)]
+    for k in (1, 2, 3):
+        df = spark.createDataFrame([(n,) for n in names], "name string")
+        got = {(x["l"], x["r"]): x["distance"] for x in linkage.name_pairs(df, df, "name", "name", k).collect()}
+        want = {(a, b): N._dp(a, b) for a in set(names) for b in set(names) if N._dp(a, b) <= k}
+        assert got == want
+
+
+def test_pieces_keep_candidates_few(spark):
+    r = random.Random(19)
+    syllables = [a + b for a in "bcdfglmnprst" for b in "aeiou"]
+    names = sorted({"".join(r.choice(syllables) for _ in range(r.randint(3, 6))) for _ in range(100_000)})
+    a = spark.createDataFrame([(n,) for n in names], "l string").repartition(4)
+    keys = a.selectExpr("l as r")
+    from kinloom.functions import names as N
+
+    probe = a.select(F.explode(N.probe_keys(F.col("l"), 2)).alias("key")).groupBy("key").count().withColumnRenamed("count", "x")
+    own = keys.select(F.explode(N.own_keys(F.col("r"), 2)).alias("key")).groupBy("key").count()
+    met = probe.join(own, "key").agg(F.sum(F.col("x") * F.col("count"))).first()[0]
+    assert met < 0.02 * len(names) ** 2
+
+
+def test_a_deep_tree(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(30)], "src long, dst long")
+    rows = graph.closure(edges, spark.createDataFrame([(0,)], "id long")).collect()
+    assert sorted(r["depth"] for r in rows) == list(range(1, 32))
+    assert graph.closure(edges.limit(0), spark.createDataFrame([], "id long")).count() == 0
+
+
+def test_integration_in_order_of_year(spark):
+    schema = "id long, name string, gender string, race string, birth_year double, spouse string"
+    one = spark.createDataFrame([(1, "jose vaca", "m", None, 1740.0, None), (2, "ana paz", "f", None, None, None)], schema)
+    two = spark.createDataFrame([(11, "jose baca", "m", "indio", 1743.0, "rosa"), (12, "jose baca", "m", "mulato", 1739.0, None), (13, "luz", None, None, None, None)], schema)
+    three = spark.createDataFrame([(21, "jose vacas", "m", "mulato", None, None), (22, "luz", "f", None, None, None), (23, "jose vaca", None, "indio", 1742.0, "rosa")], schema)
+    got = {r["id"]: r["entity"] for r in graph.integrate([(1790, three), (1767, one), (1781, two)]).collect()}
+    assert got == {1: 1, 2: 2, 11: 1, 12: 1, 13: 13, 21: 21, 22: 13, 23: 1}
+
+
+def test_surnames_of_few_tokens(spark):
+    rows = [("Juan", "Ana Ruiz", True), (None, "Ana Ruiz", True), ("Juan Vaca", None, True), ("juan vaca leon", "ana vaca ruiz", True), ("juan vaca leon", "ana soto leonn", True), ("juan vaca leon", "ana vaca", False), ("juan vaca", "xochitl montes", False)]
+    got = [r[0] for r in spark.createDataFrame(rows, "p string, c string, y boolean").select(graph.valid_child_surname(F.col("p"), F.col("c")), "y").collect()]
+    assert got == [y for *_, y in rows]
