@@ -13,8 +13,9 @@ documents of different components meet on these shingles, a frequent shingle's d
 
 Defined cases: a null, empty or white text has an empty set, is linked with nothing and is kept.
 A text of fewer words than a shingle has its whole word sequence as its one shingle.
-Rows that repeat a doc_id count once. Other columns are left alone by :func:`deduplicate`.
-An empty table gives an empty result.
+Rows that repeat a doc_id count once, with the smallest of their texts; what is decided holds for all of them. Null ids are left out of the result, and
+:func:`deduplicate` keeps their rows. Equal fame goes to the smaller id. Other columns, whatever their names, are left alone by :func:`deduplicate`.
+An empty table gives an empty result. A text of any length is hashed in slices; its set takes 8 bytes for each shingle.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import settle, text_of
+from .common import fresh, settle, text_of
 from .components import components
 
 ROWS = 5
@@ -215,6 +216,16 @@ def _apart(open_: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return found[0].unionByName(found[1]).distinct()
 
 
+def _once(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with one row for each id. Only ids are shuffled, and the texts of ids that repeat."""
+    ids = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    ids = settle(ids, "repeated")
+    if ids.isEmpty():
+        return docs
+    one = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return docs.join(ids, "doc_id", "left_anti").unionByName(settle(one, "repeated_texts"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` for every document.
 
@@ -223,6 +234,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     """
     bands = band_count(num / den)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).where("doc_id is not null")
+    docs = _once(docs)
     signed = settle(
         docs.mapInArrow(_signer(size, bands, ROWS), "doc_id long, n_shingles long, f1 long, f2 long, marks binary, bands array<long>"),
         "signatures",
@@ -231,7 +243,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     classes = settle(
         signed.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min(one).alias("r")).select("n_shingles", "f1", "f2", "r.*"), "classes"
     )
-    member = signed.select("doc_id", "n_shingles", "f1", "f2").dropDuplicates(["doc_id"]).join(classes.select("n_shingles", "f1", "f2", F.col("doc_id").alias("rep")), ["n_shingles", "f1", "f2"], "left")
+    member = signed.select("doc_id", "n_shingles", "f1", "f2").join(classes.select("n_shingles", "f1", "f2", F.col("doc_id").alias("rep")), ["n_shingles", "f1", "f2"], "left")
 
     rows = classes.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("crowd")).where("crowd > 1")
@@ -241,7 +253,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
     centre = rows.groupBy("band").agg(F.max_by("doc_id", F.struct("fame", -F.col("doc_id"))).alias("centre"), F.max_by("n_shingles", F.struct("fame", -F.col("doc_id"))).alias("cn"))
     wanted = rows.select("doc_id").distinct()
     # The hint keeps one way at every size: a broadcast of ids would grow with the corpus.
-    sets = settle(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_set_column(size), "id long, members binary"), "sets").dropDuplicates(["id"])
+    sets = settle(docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(_set_column(size), "id long, members binary"), "sets")
     found = _confirm(_spokes(rows, centre, num, den), classes, sets, bands * ROWS, num, den)
 
     # Further centres matter only where they join two components.
@@ -270,5 +282,5 @@ def near_duplicates(docs: DataFrame, size: int = 5, num: int = 80, den: int = 10
 
 def deduplicate(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` with one document, that of the smallest id, of each near-duplicate group; columns unchanged."""
-    verdict = near_duplicates(docs, size, num, den).where("not kept").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(verdict, docs.doc_id == F.col("__dropped"), "left_anti")
+    dropped = near_duplicates(docs, size, num, den).where("not kept").select(F.col("doc_id").alias(fresh(docs) + "dropped"))
+    return docs.join(dropped, docs.doc_id.cast("long") == F.col(dropped.columns[0]), "left_anti")
