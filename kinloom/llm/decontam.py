@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import settle, text_of
+from .common import fresh, settle, text_of
 
 #: Six sampled positions each; 0 is ignored.
 MASKS = ("111111", "1110111", "11011011", "1101011001", "1011001101")
@@ -280,5 +280,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, cover: float = COVER, m
     for more in itertools.chain([block, following], blocks):
         one = settle(_found(_rows(docs), more, cover, min_words).where(F.col("item_words") >= least_words).select("doc_id", "mark").distinct(), "contaminated")
         bad = one if bad is None else bad.unionByName(one)
-    bad = bad.distinct().toDF("__id", "__mark")
-    return docs.join(bad, docs.doc_id.cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs.text.cast("string"), F.lit(""))) == F.col("__mark")), "left_anti")
+    own = fresh(docs)
+    bad = bad.distinct().toDF(own + "id", own + "mark")
+    return docs.join(bad, docs.doc_id.cast("long").eqNullSafe(F.col(own + "id")) & (F.xxhash64(text_of()) == F.col(own + "mark")), "left_anti")

@@ -22,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, settle, text_of
+from .common import WORD, fresh, settle, text_of
 
 WEIGHTS = (5, 2, 1)
 #: For each weight of the cycle, points (training progress, relative weight) joined by straight lines.
@@ -119,11 +119,11 @@ def mixed_documents(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int
     Rows that share a doc_id count as one document of the largest of their sizes; each use returns all of them.
     Columns of ``docs`` named like the three new ones give way to them.
     """
-    plan = _plan(docs, weights, cap, once=True)
-    uses = plan.select(F.col("doc_id").alias("__id"), "source_size", "goal", "kind", "before", "size", F.explode(F.array(*[F.lit(e) for e in range(cap)])).alias("epoch"))
+    plan, own = _plan(docs, weights, cap, once=True), fresh(docs)
+    uses = plan.select(F.col("doc_id").alias(own + "id"), "source_size", "goal", "kind", "before", "size", F.explode(F.array(*[F.lit(e) for e in range(cap)])).alias("epoch"))
     uses = uses.withColumn("taken", _taken(F.col("epoch"))).where("taken > 0").withColumn("position", _position(F.col("epoch"), schedules))
     docs = docs.drop("epoch", "taken", "position")
-    out = docs.join(uses.select("__id", "epoch", "taken", "position"), docs.doc_id.eqNullSafe(F.col("__id"))).drop("__id")
+    out = docs.join(uses.select(own + "id", "epoch", "taken", "position"), docs.doc_id.eqNullSafe(F.col(own + "id"))).drop(own + "id")
     return out.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 

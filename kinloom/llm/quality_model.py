@@ -185,7 +185,7 @@ def described(docs: DataFrame) -> DataFrame:
                 s = statistics(data, off)
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in s.T)], names=["doc_id", *STATISTICS])
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(run, "doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS))
 
 
 def quality(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:

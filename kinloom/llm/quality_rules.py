@@ -82,7 +82,11 @@ def _vote(bad: Column, good: Column) -> Column:
 
 
 def rules() -> dict[str, Column]:
-    """Votes over the columns of :func:`measures`. Most rules know one kind of junk and abstain on the rest; each kind has two rules or more."""
+    """Votes over the columns of :func:`measures`. Most rules know one kind of junk and abstain on the rest.
+
+    ``symbols``, ``symbol_share``, ``fused_symbols`` and ``bars`` look at the same signs from four sides, so they are not independent as EM takes them to be:
+    a text full of signs is held against more strongly than one rule would.
+    """
     upper, bang, symbols, bars = _share("n_upper", "word_chars"), _share("n_bang", "n_words"), _share("n_symbols", "n_words"), _share("n_bars", "n_words")
     length, repeats, copies = _share("word_chars", "n_words"), _share("n_repeat_words", "n_words"), _share("n_dup_lines", "n_lines")
     return {
