@@ -137,6 +137,12 @@ def test_pii_against_plain_patterns(spark):
             assert got == sorted(want, key=lambda x: (x[0], pii.KINDS.index(x[2]))), t
     assert [k for *_, k, _ in pii.find("a" * 30_000 + "@b.c")] == ["email"]
     assert "iban" in [k for *_, k, _ in pii.find("iban GB82 WEST 1234 5698 7654 32 ok")] and not pii.find("iban GB83 WEST 1234 5698 7654 32 ok")
+    assert [k for *_, k, _ in pii.find("GB82 WEST 1234 5698 7654 32 and GB82WEST12345698765432")] == ["iban"] * 2
+    odd = "GB82WE ST1234 569876 5432"
+    assert not pii.find(f"see {odd}") and [k for *_, k, _ in pii.find(f"my bank account {odd}")] == ["iban"] and not pii.find(f"order GB82 WEST 1234 5698 7654 32")
+    assert not pii.find("call about order 555-123-4567") and pii.find("a@b.cd order +1 499 555 6503")[1][2:] == ("phone", 0.5) and pii.find("call +1 499 555 6503")[0][3] == 1.1
+    many = "call 555-123-4567, 1.2.3.4, a@b.cd; " * 3000
+    assert len(pii.find(many)) == 9000
     assert [k for *_, k, _ in pii.find("call 555-123-4567 now")] == ["phone_local"] and not pii.find("item 555-123-4567 now")
 
 
@@ -418,6 +424,38 @@ def test_near_duplicates_that_no_centre_joins(spark, monkeypatch, block):
     assert got == want
 
 
+def test_repeated_ids_with_different_texts(spark):
+    r = random.Random(2)
+    a, b, c = (prose(r, 60, 3000) for _ in range(3))
+    low, high = sorted([a, b])
+    df = spark.createDataFrame([(1, high, 0), (1, low, 1), (2, low, 2), (3, high, 3), (4, c, 4), (4, c, 5), (None, c, 6)], "doc_id int, text string, __dropped int").repartition(3)
+    got = {x["doc_id"]: (x["component_id"], x["kept"]) for x in minhash.near_duplicates(df, 3, 85, 100).collect()}
+    assert got == {1: (1, True), 2: (1, False), 3: (3, True), 4: (4, True)}
+    assert sorted(x["__dropped"] for x in minhash.deduplicate(df, 3, 85, 100).collect()) == [0, 1, 3, 4, 5, 6]
+
+
+def template_corpus(n, words_=2000):
+    """Pairs of documents that are linked (0.8655) and, across pairs, just under the threshold."""
+    template, rows, r = [f"t{k}" for k in range(words_)], [], random.Random(23)
+    for pair in range(n // 2):
+        places = r.sample(range(8, words_ - 8, 8), 60)
+        for one in range(2):
+            w = template[:]
+            for j, at in enumerate(places[:12]):
+                w[at] = f"p{pair}x{j}"
+            for j, at in enumerate(places[12 + 24 * one : 36 + 24 * one]):
+                w[at] = f"d{pair}y{one}z{j}"
+            rows.append((2 * pair + one, " ".join(w)))
+    return rows
+
+
+def test_linked_pairs_of_one_template_are_found(spark):
+    rows = template_corpus(80)
+    want = brute(rows, 3, 85, 100)
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85, 100).collect()}
+    assert len({root for _, root in want.values()}) == 40 and got == want
+
+
 def test_deduplicate_keeps_columns(spark, docs):
     out = minhash.deduplicate(docs, 3, 85, 100)
     kept = {r["doc_id"] for r in out.collect()}
@@ -651,3 +689,43 @@ def test_language_id(spark, none):
     clash = df.select(F.col("doc_id").cast("int").alias("doc_id"), "text", "lang", F.lit(1).alias("words"), F.lit(2).alias("score"), F.lit(3).alias("lang_pred"), F.lit(4).alias("key"))
     assert sorted(map(tuple, langid.identify(clash).collect())) == sorted(map(tuple, got)) and langid.known_language(clash).columns == clash.columns
     assert langid.identify(none).count() == 0 and langid.known_language(none).count() == 0
+
+
+# ---- all operators ------------------------------------------------------------------------------------
+
+
+CLASH = ("host", "site", "band", "bands", "root", "rank", "row", "token", "c", "u", "v", "id", "key", "words", "mark", "position", "epoch", "lines", "label", "p_good", "skey", "bucket", "__id", "__lower", "__banned", "__dropped", "__site")
+
+
+@pytest.mark.parametrize("name", ["mix", "digest", "contamination", "near_duplicates", "toxicity", "judge", "quality", "identify"])
+def test_other_columns_and_narrow_ids_change_nothing(spark, docs, none, name):
+    labels = spark.createDataFrame([(k, k % 2, k % 3 == 0) for k in range(40)], "doc_id int, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+    bench = docs.select(F.col("doc_id").alias("item_id"), "text").where("doc_id < 5")
+    run = {
+        "mix": mixing.mix, "digest": pii.digest, "contamination": lambda d: decontam.contamination(d, bench), "near_duplicates": minhash.near_duplicates, "toxicity": lambda d: toxicity.toxicity(d, labels),
+        "judge": quality_rules.judge, "quality": lambda d: quality_model.quality(d, labels), "identify": langid.identify,
+    }[name]
+    plain = docs.select("doc_id", "text", "lang", "source")
+    clash = plain.withColumn("doc_id", F.col("doc_id").cast("int")).withColumns({k: F.lit(7) for k in CLASH})
+    show = lambda df: sorted(repr(tuple(round(v, 9) if isinstance(v, float) else v for v in r)) for r in df.collect())
+    assert show(run(clash)) == show(run(plain))
+    assert run(none).count() == 0
+
+
+def test_stages_keep_other_columns(spark, docs):
+    clash = docs.withColumns({k: F.lit(7) for k in CLASH})
+    bench = docs.select(F.col("doc_id").alias("item_id"), "text").where("doc_id < 5")
+    assert minhash.deduplicate(clash).columns == langid.known_language(clash).columns == lines.clean_documents(clash).columns == decontam.decontaminate(clash, bench, block_words=50).columns == clash.columns
+    assert minhash.deduplicate(clash).count() > 0 and mixing.mixed_documents(clash).columns == [c for c in clash.columns if c not in ("epoch", "taken", "position")] + ["epoch", "taken", "position"]
+
+
+def test_a_text_of_megabytes(spark):
+    r = random.Random(1)
+    long = " ".join(prose(r, 20_000, 3000) for _ in range(18))
+    assert len(long) > 1_500_000
+    df = spark.createDataFrame([(1, long, "en", "a"), (2, long + " end", "en", "a"), (3, "a b c", "de", "a"), (4, "z" * 1_200_000, "en", "b")], "doc_id long, text string, lang string, source string")
+    got = {x["doc_id"]: x for x in minhash.near_duplicates(df).collect()}
+    assert got[2]["component_id"] == 1 and got[4]["n_shingles"] == 1
+    items = spark.createDataFrame([(9, long[700_000:700_200].split(" ", 1)[1].rsplit(" ", 1)[0])], "item_id long, text string")
+    assert {x["doc_id"] for x in decontam.contamination(df, items).collect()} == {1, 2}
+    assert {x["doc_id"]: x["n_tokens"] for x in lm.score(df).collect()}[1] == len(long.split()) + 1
