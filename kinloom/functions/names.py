@@ -172,6 +172,10 @@ def names_score(a: Column, b: Column, normalized: bool = False) -> Column:
     return match_probability(weighted_distance(x, y), dynamic_max_distance(x, y))
 
 
+def nan_to_null(x: Column) -> Column:
+    return F.when(~F.isnan(x), x)
+
+
 def convert_age(x: Column) -> Column:
     """Number of an age text, 0 where it is none, null where it is null."""
     return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(F.coalesce(F.trim(x.cast("string")).try_cast("double"), F.lit(0.0)))

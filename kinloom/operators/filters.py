@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +38,9 @@ def at_most_age(df: DataFrame, age: str, most: float) -> DataFrame:
 
 def named(df: DataFrame, name: str = "name") -> DataFrame:
     return df.where(F.col(name).isNotNull() & (F.trim(F.col(name)) != ""))
+
+
+def matched_rows(rows: DataFrame, matches: DataFrame, keys: Mapping[str, str]) -> DataFrame:
+    """Rows that some match names, each once; ``keys`` maps columns of ``rows`` to those of ``matches``."""
+    on = [F.col(f"`{a}`").eqNullSafe(F.col(f"`__{b}`")) for a, b in keys.items()]
+    return rows.join(matches.select(*[F.col(f"`{b}`").alias(f"__{b}") for b in keys.values()]), on, "left_semi")

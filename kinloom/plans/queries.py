@@ -14,6 +14,7 @@ from ..operators import extract as X
 from ..operators import family, filters, graph, household, linkage
 from ..session import scratch, settle
 from ..sources import sinks, tabular
+from ..sources import documents as D
 from ..sources.documents import corpus_words
 from ..streaming import incremental
 
@@ -750,3 +751,110 @@ def cell_cleaners(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", N.race_list(F.concat("p_brand", F.lit("., ["), "p_type", F.lit("]"))).alias("races"), C.normalize_grant_number(F.concat(F.lit("#"), F.col("p_size").cast("string"))).alias("number"),
         N.pick_score(kind, price / 7, price / 11, price).alias("score"),
     )
+
+
+# ---- sources and sinks: tables written to the shared folder and read back ----------------------------------
+
+
+@query("SELECT c_custkey::VARCHAR AS key, 'Ana ' || c_name AS name, c_mktsegment AS race, c_nationkey::INT AS age FROM customer")
+def csv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A delimited file with drifting headers, line ends in cells and blank rows."""
+    c = _t(spark, sf_dir, "customer")
+    full = c.select(F.col("c_custkey").cast("string").alias("Key"), F.concat(F.lit("Ana"), F.lit("\n"), F.lit('"q"')).alias("Ego_ First Name"), F.col("c_name").alias("Ego_Paternal  Last Name"), F.col("c_mktsegment").alias("Race"), F.col("c_nationkey").cast("string").alias("Age "))
+    blank = c.where("c_custkey % 3 = 0").select(*[F.lit(v).alias(n) for n, v in zip(full.columns, (None, " ", None, None, None), strict=True)])
+    path = scratch(spark, "csv")
+    sinks.write_csv(full.unionByName(blank), path)
+    read = tabular.drop_blank_rows(tabular.read_csv(spark, path))
+    read = read.withColumn("ego_first name", F.replace("ego_first name", F.lit('\n"q"'), F.lit("")))
+    people = tabular.to_persons(read, {"name": ["ego_first name", "ego_paternal last name"], "race": "race", "age": "age "}).select("ordinal", "name", "race", "age")
+    return read.select("ordinal", "key").join(people, "ordinal").select("key", "name", "race", "age")
+
+
+@query("SELECT n_nationkey::VARCHAR AS key, n_name AS name FROM nation")
+def tsv_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "tsv")
+    _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("Key "), F.col("n_name").alias("NAME")).write.csv(path, header=True, sep="\t")
+    return tabular.read_tsv(spark, path, ordinal=False).select("key", "name")
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def parquet_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches kept as Parquet."""
+    path = scratch(spark, "matches")
+    sinks.write_matches(_t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), path)
+    return spark.read.parquet(path)
+
+
+@query("""SELECT s_name AS "Grant Name", s_suppkey::VARCHAR AS "Grant Number", 'p' || s_nationkey AS "Persons (entities)", s_nationkey::VARCHAR AS "Year" FROM supplier WHERE s_suppkey % 4 > 0""")
+def records_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in JSON lists and in objects of records, one file for each nation; those without a name are dropped."""
+    s = _t(spark, sf_dir, "supplier")
+    record = F.struct(F.when(F.col("s_suppkey") % 4 > 0, F.col("s_name")).alias("Grant Name"), F.concat(F.lit("#"), F.col("s_suppkey").cast("string")).alias("Grant Number"), F.concat(F.lit("p"), F.col("s_nationkey").cast("string")).alias("Persons"), F.col("s_nationkey").alias("Year"))
+    each = s.groupBy("s_nationkey").agg(F.collect_list(record).alias("r"), F.map_from_entries(F.collect_list(F.struct(F.col("s_suppkey").cast("string"), record))).alias("m"))
+    path = scratch(spark, "records")
+    each.select("s_nationkey", F.when(F.col("s_nationkey") % 2 == 0, F.to_json("r")).otherwise(F.to_json("m")).alias("value")).write.partitionBy("s_nationkey").text(path)
+    return D.golden(D.read_records(spark, f"{path}/*")).select("Grant Name", "Grant Number", "Persons (entities)", "Year")
+
+
+@query("SELECT n_name || ' a' || chr(241) || 'o' AS line FROM nation")
+def text_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole text files, by turns in UTF-8 and in ISO-8859-1."""
+    n = _t(spark, sf_dir, "nation").select("n_regionkey", F.concat("n_name", F.lit(" a\u00f1o")).alias("line"))
+    path = scratch(spark, "texts")
+    for odd, encoding in ((0, "UTF-8"), (1, "ISO-8859-1")):
+        n.where(F.col("n_regionkey") % 2 == odd).write.option("encoding", encoding).csv(f"{path}/{odd}")
+    lines = D.read_text(spark, f"{path}/*/*.csv").select(F.explode(F.split("text", "\n")).alias("line"))
+    return lines.where("line <> ''").select(F.element_at(F.split("line", ","), -1).alias("line"))
+
+
+@query(f"""WITH RECURSIVE {_TREE}
+SELECT a.name, t.depth, (SELECT count(*) FROM e WHERE e.src = t.node)::INT AS children, a.age, r.name AS root FROM t JOIN a ON a.id = t.node JOIN a r ON r.id = t.root""")
+def trees_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The region tree written as nested JSON, a file for each root, and read as rows."""
+    nodes, edges = _hierarchy(spark, sf_dir)
+    tree = graph.closure(edges, graph.roots_of(nodes, edges.withColumn("rel", F.lit("father"))))
+    path = scratch(spark, "trees")
+    graph.tree_json(tree, nodes).write.partitionBy("root").text(path)
+    read = settle(D.read_trees(spark, f"{path}/*"), "tree_rows")
+    top = read.where("depth = 1").select("file", "root", F.col("name").alias("root_name"))
+    return read.join(top, ["file", "root"]).select("name", "depth", "children", "age", F.col("root_name").alias("root"))
+
+
+@query("SELECT r_regionkey AS k, r_name AS name FROM region")
+def json_lines_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "lines")
+    sinks.write_json_lines(_t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("name")), path)
+    return spark.read.schema("k int, name string").json(path)
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, nullif(CASE WHEN c_custkey % 4 > 0 THEN c_name END, '') AS name, CASE WHEN c_custkey % 2 = 0 THEN 'M' ELSE 'f' END AS sex, (c_nationkey * 2)::DOUBLE AS age FROM customer)
+SELECT id, lower(sex) AS sex, age FROM p WHERE name IS NOT NULL AND age <= 21""")
+def person_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named persons of 21 or less, split by sex and put together again; ages that are no numbers are null."""
+    k = F.col("c_custkey")
+    age = F.when(F.col("c_nationkey") == 24, F.lit(float("nan"))).otherwise((F.col("c_nationkey") * 2).cast("double"))
+    p = _t(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 4 > 0, F.col("c_name")).otherwise("").alias("name"), F.when(k % 2 == 0, "M").otherwise("f").alias("sex"), N.nan_to_null(age).alias("age"))
+    m, f = filters.split_by_sex(filters.at_most_age(filters.named(p, "name"), "age", 21), "sex")
+    return m.unionByName(f).select("id", F.lower("sex").alias("sex"), "age")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def matched_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a match names, each once."""
+    return filters.matched_rows(_t(spark, sf_dir, "customer"), _t(spark, sf_dir, "orders"), {"c_custkey": "o_custkey"}).select("c_custkey", "c_name")
+
+
+@query("SELECT doc_id, md5(lower(strip_accents(text))) AS normal FROM documents")
+def normalize_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form that decomposes any character."""
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(N.normalize(F.col("text"), exact=True).cast("binary")).alias("normal"))
+
+
+@query(f"""WITH {_NAMES}
+SELECT a.p_name AS a, b.p_name AS b, round({_prob(_dist("a.p_name", "b.p_name"), _most("a.p_name", "b.p_name"))}, 9) AS score, greatest(0.0::DOUBLE, (5 - abs(a.n - b.n)) / 5.0::DOUBLE) AS age_score FROM n a JOIN n b ON a.f = b.f""")
+def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Match probability of names as written (accents and capitals do not count), and the decay of an age difference."""
+    n = _names(spark, sf_dir)
+    a, b = n.select("f", F.col("p_name").alias("a"), F.col("n").alias("x")), n.select("f", F.col("p_name").alias("b"), F.col("n").alias("y"))
+    score = N.names_score(F.upper("a"), F.translate("b", "aeo", "\u00e1\u00e9\u00f3"))
+    return a.join(b, "f").select("a", "b", F.round(score, 9).alias("score"), linkage.age_decay(F.col("x"), F.col("y")).alias("age_score"))

@@ -44,15 +44,15 @@ def golden(df: DataFrame, number: str = "Grant Number") -> DataFrame:
     return out.withColumn(number, normalize_grant_number(F.col(f"`{number}`")))
 
 
-TREE = "root long, node long, parent long, depth int, name string, race string, gender string, birth_year double, age double, circular boolean, children int"
+TREE = "file string, root long, node long, parent long, depth int, name string, race string, gender string, birth_year double, age double, circular boolean, children int"
 
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
-    """Nested trees of a JSON file as rows (root, node, parent, depth ...), numbered in reading order inside each file."""
+    """Nested trees of JSON files as rows (file, root, node, parent, depth ...); ``root`` and ``node`` are numbered in reading order inside each file."""
 
     def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text in batch["value"]:
+            for file, text in zip(batch["file"], batch["value"], strict=True):
                 got = json.loads(text)
                 rows: list[tuple] = []
                 stack = [(t, None, None, 1) for t in reversed(got if isinstance(got, list) else [got])]
@@ -61,10 +61,10 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
                     node = len(rows)
                     root = node if root is None else root
                     kids = [c for c in t.get("children") or [] if isinstance(c, dict)]
-                    rows.append((root, node, parent, depth, t.get("name"), t.get("race"), t.get("gender"), t.get("birth_year"), t.get("age"), bool(t.get("circular_reference")), len(kids)))
+                    rows.append((file, root, node, parent, depth, t.get("name"), t.get("race"), t.get("gender"), t.get("birth_year"), t.get("age"), bool(t.get("circular_reference")), len(kids)))
                     stack += [(c, root, node, depth + 1) for c in reversed(kids)]
                 names = [f.split()[0] for f in TREE.split(", ")]
                 out = pd.DataFrame(rows, columns=names)
                 yield out.astype({"parent": "Int64", "birth_year": "float64", "age": "float64"})
 
-    return spark.read.text(path, wholetext=True).mapInPandas(flatten, TREE)
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").mapInPandas(flatten, TREE)
