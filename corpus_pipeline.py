@@ -7,7 +7,11 @@
 5. ``mixing`` gives the surviving documents to training passes by source weight and sorts them by training position.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; :func:`run` writes each stage's result as Parquet
-in the shared folder and reads it again. The first four return the columns of ``documents``; the last one adds ``epoch``, ``taken`` and ``position``.
+in the shared folder and reads it again. The first four return the columns of ``documents``; the last one adds ``epoch``, ``taken`` and ``position``,
+in place of columns of these names.
+
+Null texts and texts without letters leave in the first stage. Rows that repeat a doc_id go or stay together in ``near_dedup``, and are judged each for itself
+in the other filters. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -46,7 +50,7 @@ STAGES = [
     ("mixing", mixing_stage),
 ]
 
-#: Language identification and the MinHash stage are not SQL; tests hold the pipeline against a brute-force version.
+#: Language identification and the MinHash stage are not SQL. Tests hold the stages, on planted cases, against what brute force keeps.
 ORACLE_SQL = None
 
 
