@@ -48,6 +48,14 @@ def test_stages(spark, folder, tmp_path):
     assert sorted(map(repr, ran.collect())) == sorted(map(repr, docs.collect()))
 
 
+def test_an_empty_table_stays_empty(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{folder}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and {"doc_id", "text", "epoch", "taken", "position"} <= set(out.columns)
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="the generated tables are not here")
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
 def test_queries_with_sql(spark, name):
