@@ -12,7 +12,9 @@ sizes are shuffled until the final sort. All arithmetic on words is exact in int
 
 Defined cases: a null text has size 0; a document without words is never taken. A null source is a
 source of its own, the last. Rows that repeat a doc_id are ordered by size and are otherwise documents of their own. The last pass
-over a source ends inside one document, of which a part counts as taken. An empty table gives an empty result.
+over a source ends inside one document, of which a part counts as taken. An empty table gives an empty result. Documents of equal MD5 key stand by id, then by size.
+Extra columns, whatever their names, are not read by :func:`mix` and returned by :func:`mixed_documents`. In the final sort, rows of one position
+are dealt by id too; only rows that repeat both go to one task.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ the statistics, so that scoring is a projection.
 Fitting sample: at most ``SAMPLE`` labelled rows outside the held-out remainder, those of the smallest MD5 of the id.
 
 Defined cases: null, empty and white texts have all statistics 0 and are scored as such. Repeated rows are scored each for itself. Without
-any labelled row every score is 0.5.
+any labelled row every score is 0.5. For the fit, an id labelled twice has its larger label and an id of several texts the smallest; null labels
+and ids are left out, and equal MD5 keys go by id. An empty table gives an empty result. Extra columns, whatever their names, are not read. ``doc_id`` may be
+any integer type.
 """
 
 from __future__ import annotations

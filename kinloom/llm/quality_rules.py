@@ -5,7 +5,8 @@ estimates the share of good documents and, for either class, how often each rule
 good class replaces the demand that a document pass every rule. The pattern table has at most 3 ** len(RULES) rows at any corpus size.
 
 Defined cases: a null text has no words, fails the base rules and is not kept. Windows are compared by 64-bit hashes of
-their words. Rows that repeat a doc_id are judged each for itself. An empty table gives an empty result.
+their words. Rows that repeat a doc_id are judged each for itself. An empty table gives an empty result. Extra columns, whatever
+their names, are not read. A posterior of exactly the limit keeps the document.
 """
 
 from __future__ import annotations
