@@ -6,19 +6,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..operators.linkage import name_pairs
 
 
 def link_stream(records: DataFrame, known: DataFrame, name: str = "name", k: int = 2) -> DataFrame:
-    """Each record of a stream (or table) with known names within ``k`` edits; a stateless stream-static join on the pieces of names.
+    """Each record of a stream (or table) with known names within ``k`` edits, and their distance.
 
-    A pair that shares several pieces comes from the first of them only, so no state is needed to drop repeats.
+    A table goes through its distinct names. A stream, whose names can't be made distinct without state, is a stateless stream-static
+    join on name length: each difference in length is an edit.
     """
-    fixed = known.select(F.col("name").alias("known")).where("known is not null").distinct().withColumn("own", N.own_keys(F.col("known"), k))
-    fixed = fixed.withColumn("key", F.explode("own"))
-    new = records.withColumn("probe", N.probe_keys(F.col(name), k)).withColumn("key", F.explode("probe"))
-    near = new.join(fixed, "key").where(F.levenshtein(N.canon(F.col(name)), N.canon(F.col("known")), k) >= 0)
-    near = near.where(F.col("key") == F.array_min(F.array_intersect("probe", "own"))).drop("key", "probe", "own")
-    return near.withColumn("distance", N.weighted_distance(F.col(name), F.col("known"))).where(F.col("distance") <= k)
+    fixed = known.select(F.col("name").alias("known")).where("known is not null").distinct()
+    if not records.isStreaming:
+        near = name_pairs(records, fixed, name, "known", k).toDF("__name", "known", "distance")
+        return records.join(near, F.col(name) == F.col("__name")).drop("__name")
+    fixed = fixed.withColumn("len", F.explode(F.sequence(F.greatest(F.length("known") - k, F.lit(0)), F.length("known") + k)))
+    near = records.withColumn("len", F.length(F.col(name))).join(fixed, "len").where(F.levenshtein(N.canon(F.col(name)), N.canon(F.col("known")), k) >= 0)
+    return near.withColumn("distance", N.weighted_distance(F.col(name), F.col("known"))).where(F.col("distance") <= k).drop("len")
 
 
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
