@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lines, lm, mixing, pii, quality_model, quality_rules, toxicity
+from . import decontam, importance, langid, lines, lm, mixing, pii, quality_model, quality_rules, toxicity
 from .common import table
 from .minhash import near_duplicates
 
@@ -51,9 +51,13 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.oracle(), "op6_line_dedup": lines.oracle()}
+    return {"op1_mixing": mixing.oracle(), "op6_line_dedup": lines.oracle(), "op11_importance": importance.oracle()}
