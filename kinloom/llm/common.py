@@ -57,3 +57,14 @@ def fresh(*frames: DataFrame) -> str:
 
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+
+#: A DuckDB table ``crc`` with the 256 remainders of CRC-32 as one list ``t``.
+SQL_CRC = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+
+
+def sql_crc(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes in DuckDB SQL, beside the table of SQL_CRC."""
+    bits = f"hex(encode({text}))"
+    octets = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr({bits}, 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295)"

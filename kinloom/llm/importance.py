@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import fresh, settle, text_of
+from .common import SQL_CRC, fresh, settle, sql_crc, text_of
 
 BUCKETS = 10_000
 SIZE = 1
@@ -229,13 +229,12 @@ def oracle(buckets: int = BUCKETS, least_words: int = LEAST_WORDS, percent: int
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     words = rf"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
     return rf"""
-WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+WITH {SQL_CRC},
 d AS (SELECT row_number() OVER () AS r, doc_id, {words} AS w FROM documents),
 q AS (SELECT unnest({words}) AS w FROM benchmark),
 e AS (SELECT r, unnest(w) AS w FROM d),
-u AS (SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM e UNION SELECT w FROM q)),
-b AS (SELECT w, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT)),
-      lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % {buckets} AS b FROM u, crc),
+u AS (SELECT w FROM e UNION SELECT w FROM q),
+b AS (SELECT w, {sql_crc("w")} % {buckets} AS b FROM u, crc),
 s AS (SELECT b, count(*) AS n FROM e JOIN b USING (w) GROUP BY b),
 t AS (SELECT b, count(*) AS n FROM q JOIN b USING (w) GROUP BY b),
 a AS (SELECT (SELECT coalesce(sum(n), 0) FROM s)::DOUBLE AS s, (SELECT coalesce(sum(n), 0) FROM t)::DOUBLE AS t),

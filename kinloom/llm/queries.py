@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, importance, langid, lines, lm, mixing, pii, quality_model, quality_rules, toxicity
+from . import bpe, decontam, importance, langid, lines, lm, mixing, pii, quality_model, quality_rules, toxicity, trie
 from .common import table
 from .minhash import near_duplicates
 
@@ -55,9 +55,17 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.oracle(), "op6_line_dedup": lines.oracle(), "op11_importance": importance.oracle()}
+    return {"op1_mixing": mixing.oracle(), "op6_line_dedup": lines.oracle(), "op11_importance": importance.oracle(), "op13_prefix_trie": trie.oracle()}
