@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 
 # Fixed value: substitutions that cost nothing in colonial Spanish spelling.
 FREE_PAIRS = ("bv", "cs", "cz", "sz", "iy", "gj", "cq", "uv")
+# Two letters that stand for one at no cost, and the silent letter, which comes and goes at no cost.
+DIGRAPHS = (("ph", "j"), ("ll", "y"))
+SILENT = "h"
 # Fixed value: name particles, deleted in this order.
 PARTICLES = ("de ", "del ", "de la ", "y ", "los ")
 # Letters of one zero-cost class (the transitive closure of FREE_PAIRS) and their representative.
@@ -122,6 +125,35 @@ def weighted_distance(a: Column, b: Column) -> Column:
     return F.element_at(F.aggregate(rows, first, lambda acc, s: row(acc, s["x"], s["i"])), -1).cast("int")
 
 
+def digraph_distance(a: Column, b: Column) -> Column:
+    """:func:`weighted_distance` in which DIGRAPHS substitute for one letter and SILENT is inserted and deleted for nothing. Null in, null out.
+
+    A cell looks two letters back on either side, so two rows are kept.
+    """
+    chars = lambda c: F.filter(F.split(c, ""), lambda x: x != "")
+    heard = lambda c, n: F.length(F.replace(F.substring(c, 1, n), F.lit(SILENT), F.lit("")))
+    two = lambda c, end: F.when(end > 0, F.substring(c, end, 2))
+    step = lambda x: F.when(x == SILENT, F.lit(0)).otherwise(F.lit(1))
+    stands = lambda pair, one: F.coalesce(F.concat(pair, F.lit(":"), one).isin([f"{p}:{x}" for p, x in DIGRAPHS]), F.lit(False))
+    first = F.transform(F.sequence(F.lit(0), F.length(b)), lambda n: heard(b, n))
+
+    def row(over: Column, above: Column, x: Column, i: Column) -> Column:
+        def cell(acc: Column, y: Column, j: Column) -> Column:
+            edits = F.least(
+                F.element_at(acc, -1) + step(y), F.get(above, j + 1) + step(x), F.get(above, j) + F.when(_free(x, y), F.lit(0)).otherwise(F.lit(1)),
+                F.when(stands(two(a, i), y), F.get(over, j)), F.when(stands(two(b, j), x), F.get(above, j - 1)),
+            )
+            return F.concat(acc, F.array(edits))
+
+        steps = F.transform(chars(b), lambda y, j: F.struct(y.alias("y"), j.alias("j")))
+        return F.aggregate(steps, F.array(heard(a, i + 1)), lambda acc, s: cell(acc, s["y"], s["j"]))
+
+    rows = F.transform(chars(a), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    start = F.struct(F.array().cast("array<int>").alias("over"), first.alias("above"))
+    last = F.aggregate(rows, start, lambda acc, s: F.struct(acc["above"].alias("over"), row(acc["over"], acc["above"], s["x"], s["i"]).alias("above")))
+    return F.element_at(last["above"], -1).cast("int")
+
+
 def _dp(a: str, b: str) -> int:
     free = {p for x in FREE_PAIRS for p in (x, x[::-1])}
     row = list(range(len(b) + 1))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..sources.sinks import RULE
 
-# Patterns of the grant texts.
+# Patterns of the grant texts. White space and digits are spelt out as ASCII classes: Java's \s and \d and RE2's, with which the results
+# are compared, differ on form feeds, vertical tabs and other digits. Form feed, vertical tab and no-break space therefore do not separate.
 NAME_NUMBER = r"Grant Name:[ \t\n\r]*(.*?),[ \t\n\r]*Grant Number:[ \t\n\r]*([0-9]+)"
 DESCRIPTION = r"(?s)Description:[ \t\n\r]*(.*)"
 COUNTY = r"Description:[ \t\n\r]*(.*?)[ \t\n\r]*(Co\.|County)"
@@ -34,7 +35,7 @@ NEAR = r"(?i)near ([^,.]+?)(?:,|\.|on)"
 WATER = r"(?i)(?:on|along) (?:the)?[ \t\n\r]+([A-Z][a-z]+ (?:River|Creek|Lake))"
 CORPUS_START = "ALAMEDA COUNTY"
 MERIDIANS = ("MDM", "MDM.", "SBM", "SBM.", "SDM", "SDM.", "MDBM", "MDBM.", "SBBM", "SBBM.", "G&SR", "G&SR.", "HBM", "HBM.")
-COORDINATE_PARTS = (r"T \d+(?:-\d+)?[NS]", r"R \d+(?:-\d+)?[EW]", "MDM", "SBM", "HBM", "MDBM")
+COORDINATE_PARTS = (r"T [0-9]+(?:-[0-9]+)?[NS]", r"R [0-9]+(?:-[0-9]+)?[EW]", "MDM", "SBM", "HBM", "MDBM")
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -127,17 +128,8 @@ _RULES = (
 
 def rule_tagger() -> Tagger:
     """Deterministic tagger by patterns; earlier labels take a span before later ones."""
-
-    def tag(texts: list[str]) -> list[list[tuple[str, str]]]:
-        out = []
-        for text in texts:
-            spans: list[tuple[int, int, str]] = []
-            for label, pattern in _RULES:
-                spans += [(m.start(), m.end(), label) for m in pattern.finditer(text) if all(m.end() <= s or e <= m.start() for s, e, _ in spans)]
-            out.append([(text[s:e], label) for s, e, label in sorted(spans)])
-        return out
-
-    return tag
+    model = rule_model()
+    return lambda texts: [[(t[s:e], label) for s, e, label in spans] for t, spans in zip(texts, model(texts), strict=True)]
 
 
 ENTITY = "array<struct<text:string,label:string>>"
@@ -156,6 +148,85 @@ def tag_entities(df: DataFrame, text: str, make: Callable[[], Tagger] = rule_tag
     return df.withColumn(out, run(F.col(text)))
 
 
+SPANS = "array<struct<start:int,end:int,label:string,text:string>>"
+#: A model maps texts to lists of (start, end, label).
+Model = Callable[[list[str]], list[list[tuple[int, int, str]]]]
+_LOADED: dict[str, Model] = {}
+
+
+def loaded(key: str, make: Callable[[], Model]) -> Model:
+    """The model of that key, made once in each worker process and kept for all its tasks."""
+    if key not in _LOADED:
+        _LOADED[key] = make()
+    return _LOADED[key]
+
+
+def windows_of(text: str, window: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """(start, end, first, last) of the windows over a text: each answers for the spans that start from ``first`` to before ``last``, half an overlap from its ends."""
+    out, start, step, half = [], 0, window - overlap, overlap // 2
+    while True:
+        end = min(len(text), start + window)
+        final = end == len(text)
+        out.append((start, end, start + half if start else 0, end + 1 if final else start + step + half))
+        if final:
+            return out
+        start += step
+
+
+def tag_spans(df: DataFrame, text: str, make: Callable[[], Model], key: str, out: str = "spans", window: int = 2000, overlap: int = 200, batch: int = 32, pool: int = 2048) -> DataFrame:
+    """``df`` with the spans that a model finds in the whole text.
+
+    The model is loaded once a worker. Long texts go in overlapping windows, and windows of like length go together, ``batch`` at a time out of ``pool``, so that a model which pads loses little. A span
+    is taken from the one window that answers for its start, so none comes twice; one of at most half an overlap is never cut, and is found as in one pass if the model looks no farther than that.
+    A null text has no span.
+    """
+
+    @F.pandas_udf(SPANS)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = loaded(key, make)
+        for texts in batches:
+            found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+            waiting: list[tuple[int, int, int, int, str]] = []
+
+            def flush(waiting=waiting, found=found) -> None:
+                waiting.sort(key=lambda w: len(w[4]))
+                for k in range(0, len(waiting), batch):
+                    part = waiting[k : k + batch]
+                    for (row, start, first, last, _), spans in zip(part, model([w[4] for w in part]), strict=True):
+                        found[row] += [(start + s, start + e, label) for s, e, label in spans if first <= start + s < last]
+                waiting.clear()
+
+            for row, t in enumerate(texts):
+                for start, end, first, last in windows_of(t or "", window, overlap):
+                    waiting.append((row, start, first, last, (t or "")[start:end]))
+                    if len(waiting) >= pool:
+                        flush()
+            flush()
+            yield pd.Series([[{"start": s, "end": e, "label": x, "text": t[s:e]} for s, e, x in sorted(spans)] for t, spans in zip(texts, found, strict=True)])
+
+    return df.withColumn(out, run(F.col(text)))
+
+
+def rule_model() -> Model:
+    """:func:`rule_tagger` with places."""
+
+    def tag(texts: list[str]) -> list[list[tuple[int, int, str]]]:
+        out = []
+        for text in texts:
+            spans: list[tuple[int, int, str]] = []
+            for label, pattern in _RULES:
+                spans += [(m.start(), m.end(), label) for m in pattern.finditer(text) if all(m.end() <= s or e <= m.start() for s, e, _ in spans)]
+            out.append(sorted(spans))
+        return out
+
+    return tag
+
+
+def entities_of(spans: Column) -> Column:
+    """Spans as the entities that :func:`route_entities` and :func:`entity_roles` take."""
+    return F.transform(spans, lambda s: F.struct(s["text"].alias("text"), s["label"].alias("label")))
+
+
 def of_labels(entities: Column, *labels: str) -> Column:
     return F.transform(F.filter(entities, lambda e: e["label"].isin(*labels)), lambda e: e["text"])
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..session import scratch, settle
+from .components import components
 from .linkage import name_pairs
 
 # Limits of the compatibility rules.
@@ -33,29 +34,52 @@ def compatible(a: str, b: str) -> Column:
     )
 
 
+FIELDS = ("gender", "race", "birth_year", "spouse")
+
+
+def classes(nodes: DataFrame) -> DataFrame:
+    """One node, that of the smallest id, for all of equal name and attributes."""
+    return nodes.groupBy("name", *FIELDS).agg(F.min("id").alias("id"))
+
+
+def compatible_pairs(a: DataFrame, b: DataFrame, k: int = NAME_LIMIT) -> DataFrame:
+    """(a_id, b_id, distance) of compatible nodes of two tables with names within ``k``.
+
+    Namesakes are not compared all with all. Two known spouses must be near, so such pairs meet on both names. Where a spouse is unknown, two known
+    years of birth must be near, so these meet on the name and a band of years: bands are one year wider than the slack, and each node looks into three. Only nodes without
+    spouse and year meet all their namesakes, and of those there are few once equal nodes are one.
+    """
+    near = settle(name_pairs(a, b, "name", "name", k).toDF("a_name", "b_name", "distance"), "near")
+    spouses = name_pairs(a, b, "spouse", "spouse", SPOUSE_LIMIT).select(F.col("l").alias("a_spouse"), F.col("r").alias("b_spouse"))
+    width = BIRTH_SLACK + 1
+    band = lambda y: F.floor(y / width)
+    left = a.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "name", *FIELDS)]).join(near, "a_name")
+    right = b.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "name", *FIELDS)])
+    left_free, right_free, left_year, right_year = (F.col(c).isNull() for c in ("a_spouse", "b_spouse", "a_birth_year", "b_birth_year"))
+    couples = left.where(~left_free).join(spouses, "a_spouse").join(right.where(~right_free), ["b_name", "b_spouse"])
+    open_left = left.withColumn("band", F.explode(F.when(left_year, F.array(F.lit(None).cast("long"))).otherwise(F.sequence(band(F.col("a_birth_year")) - 1, band(F.col("a_birth_year")) + 1))))
+    open_right = right.withColumn("band", band(F.col("b_birth_year")))
+    parts = [couples]
+    # A spouse is unknown on the left, or on the right only; years known on both sides, or not.
+    for l, r in ((left_free, F.lit(True)), (~left_free, right_free)):  # noqa: E741
+        parts.append(open_left.where(l & ~left_year).join(open_right.where(r & ~right_year), ["b_name", "band"]).drop("band"))
+        parts.append(left.where(l & left_year).join(right.where(r), "b_name"))
+        parts.append(left.where(l & ~left_year).join(right.where(r & right_year), "b_name"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where(compatible("a_", "b_")).select("a_id", "b_id", "distance")
+
+
 def node_edges(nodes: DataFrame, k: int = NAME_LIMIT) -> DataFrame:
-    """(u, v) ids of compatible nodes with names within ``k``; nodes: id, name, gender, race, birth_year, spouse."""
-    near = name_pairs(nodes, nodes, "name", "name", k)
-    a = nodes.select(*[F.col(c).alias(f"a_{c}") for c in nodes.columns])
-    b = nodes.select(*[F.col(c).alias(f"b_{c}") for c in nodes.columns])
-    pairs = a.join(near, F.col("a_name") == F.col("l")).join(b, F.col("b_name") == F.col("r")).where("a_id < b_id")
-    return pairs.where(compatible("a_", "b_")).select(F.col("a_id").alias("u"), F.col("b_id").alias("v"))
-
-
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, root): smallest id reachable, by passing on minima and halving paths; each round is written to the shared folder."""
-    both = edges.where("u <> v").select("u", "v").unionByName(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    both = settle(both, "edges")
-    label = settle(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("root")).select(F.col("u").alias("node"), "root"), "labels")
-    for _ in range(rounds):
-        seen = both.join(label.select(F.col("node").alias("v"), F.col("root").alias("r")), "v").groupBy("u").agg(F.min("r").alias("r"))
-        step = label.join(seen, label.node == seen.u).select("node", F.least("root", "r").alias("mid"), F.col("root").alias("old"))
-        jump = label.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        new = settle(step.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("root")), "labels")
-        label = new.select("node", "root")
-        if new.where("root <> old").isEmpty():
-            return label
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    """(u, v) edges that join what compatible nodes with names within ``k`` join: equal nodes through the one of the smallest id, and compatible pairs of unequal ones.
+
+    nodes: id, name, gender, race, birth_year, spouse.
+    """
+    one = settle(classes(nodes), "classes")
+    same = nodes.select("id", "name", *FIELDS).join(one.withColumnRenamed("id", "v").toDF(*[f"o_{c}" for c in ("name", *FIELDS)], "v"), F.expr(" AND ".join(f"{c} <=> o_{c}" for c in ("name", *FIELDS))))
+    copies = same.where("id <> v").select(F.col("id").alias("u"), "v")
+    return copies.unionByName(compatible_pairs(one, one, k).where("a_id < b_id").select(F.col("a_id").alias("u"), F.col("b_id").alias("v")))
 
 
 def resolve(nodes: DataFrame, k: int = NAME_LIMIT) -> DataFrame:
@@ -71,18 +95,18 @@ def integrate(censuses: Sequence[tuple[int | None, DataFrame]], k: int = NAME_LI
     its founder's name and takes what attributes it lacks from the node of the smallest id that joins it in a census. Nodes have distinct
     ids: id, name, gender, race, birth_year, spouse. The loop is over censuses, a handful; each step is a set of joins.
     """
-    fields = ("gender", "race", "birth_year", "spouse")
+    fields = FIELDS
     base = placed = None
     for _, nodes in sorted(censuses, key=lambda c: c[0] or 0):
         nodes = nodes.select("id", "name", *fields)
         if base is None:
             placed, base = nodes.select("id", F.col("id").alias("entity")), settle(nodes, "entities")
             continue
-        near = name_pairs(nodes, base, "name", "name", k)
-        a = nodes.select(*[F.col(c).alias(f"a_{c}") for c in nodes.columns])
-        b = base.select(*[F.col(c).alias(f"b_{c}") for c in base.columns])
-        pairs = a.join(near, F.col("a_name") == F.col("l")).join(b, F.col("b_name") == F.col("r")).where(compatible("a_", "b_"))
+        ours = settle(classes(nodes), "classes")
+        pairs = compatible_pairs(ours, classes(base), k)
         best = pairs.groupBy(F.col("a_id").alias("id")).agg(F.min(F.struct("distance", "b_id")).alias("m")).select("id", F.col("m.b_id").alias("entity"))
+        best = ours.join(best, "id").select("entity", *[F.col(c).alias(f"o_{c}") for c in ("name", *fields)])
+        best = nodes.join(best, F.expr(" AND ".join(f"{c} <=> o_{c}" for c in ("name", *fields)))).select("id", "entity")
         found = settle(nodes.join(best, "id", "left"), "joined")
         gains = found.where("entity is not null").groupBy("entity").agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("id"))).alias(f"new_{c}") for c in fields])
         kept = base.join(gains, base.id == gains.entity, "left").select("id", "name", *[F.coalesce(c, f"new_{c}").alias(c) for c in fields])

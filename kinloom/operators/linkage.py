@@ -2,12 +2,16 @@
 
 Names repeat, so distances are computed once for each pair of distinct names. Within a fixed number of edits, distinct names meet through an
 equi-join on pieces: of two names within k edits, one has one of the k + 1 even pieces of the other unedited and at most k places away. Built-in
-bounds drop most pairs, and scores are joined back to the records. No step is a product of records. Only the dynamic limit, five edits and
-more, leaves pieces of a letter or two; there, names meet on length (a length difference is an edit each).
+bounds drop most pairs. Full names then meet on both parts at once: a side's full name with each first name near its own, the other side's with each last name near its own,
+joined on (first, last); so no two full names meet that are near in one part only, and records meet last.
+
+Under the dynamic limit of the v0 profile a part may be far (five edits and more) if the other one is near, for the score bars two far parts. So the near part is found by pieces, and the far one
+is compared only where the near one holds.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -98,17 +102,69 @@ def criteria(features: Mapping[str, Column]) -> Column:
     return F.concat_ws(", ", *[F.when(v == 1, F.lit(k)) for k, v in features.items()])
 
 
+def full_name_pairs(c: DataFrame, b: DataFrame, first: DataFrame, last: DataFrame) -> DataFrame:
+    """Distinct full names (cf, cl) and (bf, bl) whose first names are in ``first`` (cf, bf, first_distance) and whose last names are in ``last`` (cl, bl, last_distance)."""
+    left = c.select("cf", "cl").distinct().join(first, "cf")
+    right = b.select("bf", "bl").distinct().join(last, "bl")
+    return left.join(right, ["bf", "cl"])
+
+
+def _far(pairs: DataFrame, l: str, r: str, out: str) -> DataFrame:  # noqa: E741
+    """Pairs whose names ``l`` and ``r`` are within their dynamic maximum, with the distance; each two names are compared once."""
+    names = pairs.select(l, r).distinct()
+    most = N.dynamic_max_distance(F.col(l), F.col(r))
+    names = names.where(F.levenshtein(N.canon(F.col(l)), N.canon(F.col(r))) <= F.floor(most)).withColumn(out, N.weighted_distance(F.col(l), F.col(r))).where(F.col(out) <= most)
+    return pairs.join(names, [l, r])
+
+
+def near_share() -> float:
+    """The share of its dynamic maximum within which one of the two distances of an accepted pair lies at least: with both beyond it, even equal genders do not reach the cut."""
+    left = 1 - (V0_CUT - V0_WEIGHTS["gender"]) / (V0_WEIGHTS["first"] + V0_WEIGHTS["last"])
+    return 1 + math.log(left)
+
+
+def near_name_pairs(left: DataFrame, right: DataFrame, l: str, r: str) -> DataFrame:  # noqa: E741
+    """(l, r, distance) of distinct names within :func:`near_share` of their dynamic maximum, by pieces: one join for each number of edits that some length allows."""
+    a = left.select(F.col(l).alias("l")).where("l is not null").distinct()
+    b = right.select(F.col(r).alias("r")).where("r is not null").distinct()
+    longest = a.select(F.length("l").alias("n")).unionByName(b.select(F.length("r").alias("n"))).agg(F.max("n")).first()[0] or 0
+    share, out, low = near_share(), None, 0
+    while low <= longest:
+        k = math.floor(share * 5 + share * 0.2 * max(0, low - 8) + 1e-9)
+        high = max(8, math.ceil(8 + ((k + 1) / share - 5) / 0.2) - 1)  # the last length with this number of edits
+        size = F.greatest(F.length("l"), F.length("r"))
+        met = candidate_names(a.where(F.length("l") <= high), b.where(F.length("r") <= high), k).where(size.between(low, high)).distinct()
+        met = met.withColumn("distance", N.weighted_distance(F.col("l"), F.col("r"))).where(F.col("distance") <= F.lit(share) * N.dynamic_max_distance(F.col("l"), F.col("r")))
+        out = met if out is None else out.unionByName(met)
+        low = high + 1
+    return out.select("l", "r", "distance")
+
+
 def candidates(census: DataFrame, baptisms: DataFrame, role: str, census_columns: Mapping = CENSUS_COLUMNS, baptism_columns: Mapping = BAPTISM_COLUMNS, most: int | None = None) -> DataFrame:
-    """Pairs of census and baptism records whose first and last names are near in one role, with both distances.
+    """Pairs of census and baptism records whose names can match in one role, with both distances: within ``most`` edits in either part, or, without it, all that the v0 profile can accept.
 
     Columns of the census side get the prefix ``c_``, those of the baptisms ``b_``.
     """
     (cf, cl), (bf, bl) = census_columns["name"], baptism_columns[role]
     norm = lambda df, p, f, l: df.select(*[F.col(f"`{c}`").alias(f"{p}_{c}") for c in df.columns], N.normalize(F.col(f"`{f}`")).alias(f"{p}f"), N.normalize(F.col(f"`{l}`")).alias(f"{p}l"))  # noqa: E731, E741
     c, b = norm(census, "c", cf, cl), norm(baptisms, "b", bf, bl)
-    first = name_pairs(c, b, "cf", "bf", most).toDF("cf", "bf", "first_distance")
-    last = name_pairs(c, b, "cl", "bl", most).toDF("cl", "bl", "last_distance")
-    return c.join(first, "cf").join(b, "bf").join(last, ["cl", "bl"]).withColumn("role", F.lit(role))
+    if most is not None:
+        first = name_pairs(c, b, "cf", "bf", most).toDF("cf", "bf", "first_distance")
+        last = name_pairs(c, b, "cl", "bl", most).toDF("cl", "bl", "last_distance")
+        names = full_name_pairs(c, b, first, last)
+    else:
+        names = coupled_names(c, b)
+    return c.join(names, ["cf", "cl"]).join(b, ["bf", "bl"]).withColumn("role", F.lit(role))
+
+
+def coupled_names(c: DataFrame, b: DataFrame) -> DataFrame:
+    """Distinct full names (cf, cl) and (bf, bl) within their dynamic maxima, one part of which is near, with both distances."""
+    ours, theirs = c.select("cf", "cl").distinct(), b.select("bf", "bl").distinct()
+    first = near_name_pairs(c, b, "cf", "bf").toDF("cf", "bf", "first_distance")
+    last = near_name_pairs(c, b, "cl", "bl").toDF("cl", "bl", "last_distance")
+    by_first = _far(ours.join(first, "cf").join(theirs, "bf"), "cl", "bl", "last_distance")
+    by_last = ours.join(last, "cl").join(theirs, "bl").join(first.drop("first_distance"), ["cf", "bf"], "left_anti")
+    return by_first.unionByName(_far(by_last, "cf", "bf", "first_distance"))
 
 
 def v0_scores(pairs: DataFrame, c_gender: str, b_gender: str) -> DataFrame:

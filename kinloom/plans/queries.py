@@ -11,7 +11,7 @@ from ..functions import cells as C
 from ..functions import names as N
 from ..operators import evaluate as E
 from ..operators import extract as X
-from ..operators import family, filters, graph, household, linkage
+from ..operators import family, filters, graph, household, kinship, linkage
 from ..session import scratch, settle
 from ..sources import sinks, tabular
 from ..sources import documents as D
@@ -396,6 +396,111 @@ def integrated_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged_table(spark, sf_dir, graph.integrate([(y, n.where(F.col("census_year") == y)) for y in (1770, 1750, 1760)]))
 
 
+# ---- families of integrated people -------------------------------------------------------------------------
+
+# Columns of a person that both dialects derive alike.
+_KIN_COLUMNS = {
+    "race": "CASE size % 4 WHEN 1 THEN 'indio' WHEN 2 THEN 'indio; mulato' WHEN 3 THEN 'mulato' END",
+    "birth_year": "CASE WHEN size % 7 > 0 THEN CAST(1750 + size % 3 * 10 - size AS DOUBLE) END",
+    "father": "f || ' ' || CASE id % 4 WHEN 0 THEN 'bolt' WHEN 1 THEN 'bolts' WHEN 2 THEN 'gear' END",
+    "mother": "CASE f WHEN 'old' THEN 'new ' WHEN 'hot' THEN 'cold ' ELSE 'red ' END || l",
+    "spouse": "CASE WHEN size % 3 > 0 THEN CASE f WHEN 'small' THEN 'large ' WHEN 'large' THEN 'small ' ELSE 'red ' END || l END",
+    "census_year": "CAST(1750 + size % 3 * 10 AS INT)",
+    "age": "CASE WHEN size % 11 > 0 THEN CAST(size AS DOUBLE) END",
+}
+
+
+def _kin(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Persons of three censuses with parents and spouses by name, and their entities."""
+    p = _t(spark, sf_dir, "part")
+    g = p.groupBy(F.col("p_name").alias("name"), F.col("p_type").alias("gender"), F.col("p_size").cast("int").alias("size")).agg(F.min("p_partkey").alias("id"))
+    g = g.withColumns({"f": F.split_part("name", F.lit(" "), F.lit(1)), "l": F.split_part("name", F.lit(" "), F.lit(2))})
+    persons = g.select("id", "name", "gender", *[F.expr(e).alias(c) for c, e in _KIN_COLUMNS.items()])
+    entities = graph.integrate([(y, persons.where(F.col("census_year") == y)) for y in (1750, 1760, 1770)])
+    return persons, settle(entities, "entities")
+
+
+_KIN = f"""
+g AS (SELECT p_name AS name, p_type AS gender, p_size::INT AS size, min(p_partkey) AS id, split_part(p_name, ' ', 1) AS f, split_part(p_name, ' ', 2) AS l FROM part GROUP BY p_name, p_type, p_size),
+n AS (SELECT id, name, gender, {", ".join(f"{e} AS {c}" for c, e in _KIN_COLUMNS.items())} FROM g), {_NEAR},
+b0 AS (SELECT id, name, gender, race, birth_year, spouse FROM n WHERE census_year = 1750),{_step("b0", 1760, "b1")},{_step("b1", 1770, "b2")},
+q AS (SELECT id, id AS entity FROM b0 UNION ALL SELECT id, coalesce(entity, id) FROM fb1 UNION ALL SELECT id, coalesce(entity, id) FROM fb2),
+r AS (SELECT * FROM (SELECT census_year, id, name, unnest(['father', 'mother', 'spouse']) AS rel, unnest([father, mother, spouse]) AS ref FROM n) WHERE ref IS NOT NULL AND ref <> name),
+o AS (SELECT census_year, name, min(id) AS target FROM n GROUP BY ALL),
+x AS (SELECT x.*, o.target, row_number() OVER (PARTITION BY x.census_year, x.ref ORDER BY o.name <> x.ref, {_dist("x.ref", "o.name")}, o.target) AS k
+      FROM (SELECT DISTINCT census_year, ref FROM r) x JOIN o ON x.census_year = o.census_year AND {_dist("x.ref", "o.name")} <= 2),
+pairs AS (SELECT r.census_year, r.rel, me.id AS me, ot.id AS other, me.name <> ot.name AS named, me.birth_year - ot.birth_year AS gap, ot.age - me.age AS older, me.gender <> ot.gender AS mixed
+      FROM r JOIN x ON x.k = 1 AND r.census_year = x.census_year AND r.ref = x.ref JOIN n me ON me.id = r.id JOIN n ot ON ot.id = x.target WHERE me.id <> ot.id),
+ok AS (SELECT * FROM pairs WHERE CASE WHEN rel = 'spouse' THEN coalesce(mixed, true) AND coalesce(abs(gap) <= 25, true) ELSE named AND coalesce(gap BETWEEN 13 AND 60, older >= 13, true) END),
+e AS (SELECT DISTINCT census_year, other AS src, me AS dst, rel FROM ok UNION SELECT census_year, me, other, rel FROM ok WHERE rel = 'spouse'),
+cv AS (SELECT census_year, a.entity AS src, b.entity AS dst, rel, count(*) AS votes FROM e JOIN q a ON a.id = e.src JOIN q b ON b.id = e.dst WHERE a.entity <> b.entity GROUP BY ALL),
+jn AS (SELECT n.*, q.entity, row_number() OVER (PARTITION BY entity, census_year ORDER BY n.id) AS turn FROM n JOIN q ON n.id = q.id)"""
+_FAMILY = f"""{_KIN},
+ab AS (SELECT entity AS id, any_value(name) FILTER (id = entity) AS name, first(gender ORDER BY census_year, id) AS gender, coalesce(avg(CASE WHEN turn = 1 THEN census_year - age END), avg(birth_year)) AS birth_year,
+      arg_max(age, census_year) FILTER (turn = 1 AND age IS NOT NULL) AS age FROM jn GROUP BY entity),
+vt AS (SELECT src, dst, rel, sum(votes)::BIGINT AS votes, min(census_year) AS first_year FROM cv GROUP BY ALL),
+vv AS (SELECT vt.*, c.birth_year - p.birth_year AS gap, p.age - c.age AS older, p.name <> c.name AS named, p.gender <> c.gender AS mixed FROM vt JOIN ab p ON p.id = src JOIN ab c ON c.id = dst),
+vw AS (SELECT * FROM vv WHERE CASE WHEN rel = 'spouse' THEN coalesce(mixed, true) AND coalesce(abs(gap) <= 25, true) ELSE named AND coalesce(gap BETWEEN 13 AND 60, older >= 13, true) END),
+vb AS (SELECT src, dst, rel, votes, count(*) OVER (PARTITION BY dst, rel) - 1 AS rivals, first_year, row_number() OVER (PARTITION BY dst, rel ORDER BY votes DESC, first_year, src) AS place FROM vw),
+fam AS (SELECT src, dst, rel, votes, rivals, first_year FROM vb b WHERE place = 1 AND (rel <> 'spouse' OR EXISTS (SELECT 1 FROM vb z WHERE z.place = 1 AND z.rel = 'spouse' AND z.src = b.dst AND z.dst = b.src)))"""
+
+
+@query(f"WITH {_FAMILY} SELECT * FROM fam")
+def integrated_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One father, mother and spouse at most for each entity of three censuses, by votes of its members."""
+    return kinship.integrated_family(*_kin(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_FAMILY},
+up AS (SELECT DISTINCT src, dst FROM fam WHERE rel <> 'spouse'),
+t AS (SELECT id AS root, id AS node, NULL::BIGINT AS parent, 1 AS depth, [id] AS path, false AS circular FROM ab WHERE id NOT IN (SELECT dst FROM up)
+      UNION ALL SELECT t.root, up.dst, up.src, t.depth + 1, list_append(t.path, up.dst), list_contains(t.path, up.dst) FROM t JOIN up ON up.src = t.node WHERE NOT t.circular)
+SELECT root, r.name AS root_name, node, c.name AS name, round(c.birth_year, 6) AS birth_year, parent, depth, array_to_string(path, '/') AS path, circular FROM t JOIN ab r ON r.id = root JOIN ab c ON c.id = node""")
+def integrated_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Family trees of the people that three censuses were integrated into, from those without parents down."""
+    persons, entities = _kin(spark, sf_dir)
+    about = settle(kinship.about_entities(persons, entities), "about")
+    edges = settle(kinship.contract(kinship.link_censuses(persons), entities, about).where("rel <> 'spouse'"), "family")
+    tree = graph.closure(edges, graph.roots_of(about, edges))
+    named = tree.join(about.select(F.col("id").alias("root"), F.col("name").alias("root_name")), "root").join(about.select(F.col("id").alias("node"), "name", F.round("birth_year", 6).alias("birth_year")), "node")
+    return named.select("root", "root_name", "node", "name", "birth_year", "parent", "depth", F.array_join("path", "/").alias("path"), "circular")
+
+
+_TIMELINE = f"""{_KIN},
+rw AS (SELECT dst AS entity, census_year, rel, src AS other, votes FROM cv UNION ALL SELECT src, census_year, 'child', dst, sum(votes)::BIGINT FROM cv WHERE rel <> 'spouse' GROUP BY src, census_year, dst),
+ch AS (SELECT entity, census_year, rel, other FROM (SELECT *, row_number() OVER (PARTITION BY entity, census_year, rel ORDER BY votes DESC, other) AS k FROM rw WHERE rel <> 'child') WHERE k = 1),
+fr AS (SELECT entity, census_year, count(*) AS fresh FROM (SELECT entity, other, min(census_year) AS census_year FROM rw WHERE rel = 'child' GROUP BY entity, other) GROUP BY ALL),
+ln AS (SELECT entity, census_year, age, race FROM jn WHERE turn = 1),
+kn AS (SELECT ln.*, f.other AS father, m.other AS mother, s.other AS spouse, (SELECT count(*) FROM rw WHERE rw.rel = 'child' AND rw.entity = ln.entity AND rw.census_year = ln.census_year) AS n_children, coalesce(fr.fresh, 0) AS fresh,
+      (SELECT array_to_string(list(other ORDER BY other), '+') FROM rw WHERE rw.rel = 'child' AND rw.entity = ln.entity AND rw.census_year = ln.census_year) AS kids
+      FROM ln LEFT JOIN fr USING (entity, census_year) LEFT JOIN ch f ON f.rel = 'father' AND f.entity = ln.entity AND f.census_year = ln.census_year
+      LEFT JOIN ch m ON m.rel = 'mother' AND m.entity = ln.entity AND m.census_year = ln.census_year LEFT JOIN ch s ON s.rel = 'spouse' AND s.entity = ln.entity AND s.census_year = ln.census_year)"""
+
+
+@query(f"""WITH {_TIMELINE}
+SELECT entity, census_year, age, race, father, mother, spouse, n_children, {", ".join(f"first_value({r} IGNORE NULLS) OVER w AS known_{r}" for r in ("father", "mother", "spouse"))}, (sum(fresh) OVER w)::BIGINT AS all_children
+FROM kn WINDOW w AS (PARTITION BY entity ORDER BY census_year ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+def relation_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Age, race, parents, spouse and children of every entity in each census, and what was known by then."""
+    persons, entities = _kin(spark, sf_dir)
+    relations = settle(kinship.relation_rows(kinship.link_censuses(persons), entities), "relations")
+    return kinship.timeline(persons, entities, relations)
+
+
+@query(f"""WITH {_TIMELINE}
+SELECT entity, string_agg(census_year || ':' || concat_ws('/', coalesce(age::INT::VARCHAR, '-'), coalesce(race, '-'), coalesce(father::VARCHAR, '-'), coalesce(mother::VARCHAR, '-'), coalesce(spouse::VARCHAR, '-'), coalesce(kids, '')), '|' ORDER BY census_year) AS timeline,
+       coalesce((SELECT array_to_string(list(DISTINCT other ORDER BY other), '+') FROM rw WHERE rw.rel = 'child' AND rw.entity = kn.entity), '') AS children FROM kn GROUP BY entity""")
+def nested_timelines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as one nested document for each entity, here flattened to text."""
+    persons, entities = _kin(spark, sf_dir)
+    relations = settle(kinship.relation_rows(kinship.link_censuses(persons), entities), "relations")
+    nested = kinship.nested_timeline(kinship.timeline(persons, entities, relations), relations)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit("-"))
+    record = lambda e: F.concat_ws("/", text(e["value"]["age"].cast("int")), text(e["value"]["race"]), *[text(e["value"][r]) for r in kinship.RELATIONS], F.array_join(e["value"]["children"].cast("array<string>"), "+"))
+    line = F.transform(F.map_entries("timeline"), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), record(e)))
+    return nested.select("entity", F.array_join(line, "|").alias("timeline"), F.array_join(F.col("children").cast("array<string>"), "+").alias("children"))
+
+
 _PERSONS = """
 n AS (SELECT p_name AS name, split_part(p_name, ' ', 1) AS f, split_part(p_name, ' ', 2) AS l, min(p_partkey) AS id FROM part GROUP BY p_name),
 p AS (SELECT id, name, f || ' bolt' AS father, f || 's gear' AS mother, CASE WHEN l = 'anvil' THEN f || ' ring' WHEN l = 'rod' THEN 'nobody at all' END AS spouse, CASE WHEN id % 4 = 0 THEN NULL WHEN id % 4 = 1 THEN 'm' ELSE 'f' END AS gender,

@@ -1,9 +1,13 @@
-"""Incremental linkage: a stream of new records against a fixed set of names."""
+"""Incremental linkage: a stream of records against a fixed set of names, or against the names seen earlier in it."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import names as N
 from ..operators.linkage import name_pairs
@@ -12,16 +16,88 @@ from ..operators.linkage import name_pairs
 def link_stream(records: DataFrame, known: DataFrame, name: str = "name", k: int = 2) -> DataFrame:
     """Each record of a stream (or table) with known names within ``k`` edits, and their distance.
 
-    A table goes through its distinct names. A stream, whose names can't be made distinct without state, is a stateless stream-static
-    join on name length: each difference in length is an edit.
+    A table goes through its distinct names. A stream, whose names can't be made distinct without state, joins the known names on pieces without any: of the pieces
+    that a pair shares, the first of the known name's gives it, so no pair comes twice.
     """
     fixed = known.select(F.col("name").alias("known")).where("known is not null").distinct()
     if not records.isStreaming:
         near = name_pairs(records, fixed, name, "known", k).toDF("__name", "known", "distance")
         return records.join(near, F.col(name) == F.col("__name")).drop("__name")
-    fixed = fixed.withColumn("len", F.explode(F.sequence(F.greatest(F.length("known") - k, F.lit(0)), F.length("known") + k)))
-    near = records.withColumn("len", F.length(F.col(name))).join(fixed, "len").where(F.levenshtein(N.canon(F.col(name)), N.canon(F.col("known")), k) >= 0)
-    return near.withColumn("distance", N.weighted_distance(F.col(name), F.col("known"))).where(F.col("distance") <= k).drop("len")
+    own = fixed.withColumn("__own", N.own_keys(F.col("known"), k)).withColumn("__key", F.explode(F.array_distinct("__own")))
+    probe = records.withColumn("__probe", N.probe_keys(F.col(name), k)).withColumn("__key", F.explode("__probe"))
+    met = probe.join(own, "__key").where(F.col("__key") == F.get(F.filter("__own", lambda x: F.array_contains("__probe", x)), F.lit(0)))
+    near = met.where(F.levenshtein(N.canon(F.col(name)), N.canon(F.col("known")), k) >= 0).drop("__key", "__own", "__probe")
+    return near.withColumn("distance", N.weighted_distance(F.col(name), F.col("known"))).where(F.col("distance") <= k)
+
+
+SEEN = "id long, name string, known_id long, known string, distance int"
+
+
+def _first_shared(plain: str, known: str, k: int) -> str | None:
+    """The first piece key of ``known`` that :func:`N.probe_keys` gives for ``plain``; both in canonical letters."""
+    n, m = len(plain), len(known)
+    for i in range(k + 1):
+        low, high = m * i // (k + 1), m * (i + 1) // (k + 1)
+        size = high - low
+        first, last = max(0, low + -(-(n - m - k) // 2)), min(low + (n - m + k) // 2, n - size)
+        if any(plain[at : at + size] == known[low:high] for at in range(first, last + 1)):
+            return f"{m}:{i}:{known[low:high]}"
+    return None
+
+
+class _Seen(StatefulProcessor):
+    """For one piece: the names that own it, each with the id that first brought it. A record probes what is there, then leaves its own name."""
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.names = handle.getMapState("names", "name string", "id long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        canon = str.maketrans(N.CLASS_FROM, N.CLASS_TO)
+        batch = pd.concat(list(rows)).sort_values(["id", "own"], kind="stable")
+        out = []
+        seen = [(x[0], y[0]) for x, y in self.names.iterator()]
+        there = {x for x, _ in seen}
+        for rid, name, own in zip(batch["id"].tolist(), batch["name"].tolist(), batch["own"].tolist(), strict=True):
+            if own:
+                if name not in there:
+                    there.add(name)
+                    seen.append((name, rid))
+                    self.names.updateValue((name,), (rid,))
+                continue
+            plain = name.translate(canon)
+            for known, known_id in seen:
+                if known_id != rid and abs(len(known) - len(name)) <= self.k and _first_shared(plain, known.translate(canon), self.k) == key[0]:
+                    distance = N._dp(name, known)
+                    if distance <= self.k:
+                        out.append((rid, name, known_id, known, distance))
+        yield pd.DataFrame(out, columns=["id", "name", "known_id", "known", "distance"])
+
+    def close(self) -> None:
+        pass
+
+
+def link_seen(records: DataFrame, k: int = 2) -> DataFrame:
+    """Each record (id, name) of a stream with the distinct names within ``k`` edits that were seen before it: (id, name, known_id, known, distance).
+
+    A name gets the id of the record that first brings it. Records count as seen in the order of batches, and inside a batch in that of ids; so with ids that rise from batch to batch the result does not depend on how the
+    stream was cut, and equals :func:`link_earlier` over all records. State is kept by name piece: a record's own pieces take its name in, and the pieces that a near name may have are
+    asked. Each state holds the distinct names with one piece; it grows with names, not with records. Needs the RocksDB state store.
+    """
+    named = records.where(F.col("name").isNotNull() & F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), "name")
+    key = lambda keys, own: F.transform(F.array_distinct(keys), lambda x: F.struct(x.alias("key"), F.lit(own).alias("own")))
+    rows = named.select("id", "name", F.inline(F.concat(key(N.own_keys(F.col("name"), k), True), key(N.probe_keys(F.col("name"), k), False))))
+    return rows.groupBy("key").transformWithStateInPandas(statefulProcessor=_Seen(k), outputStructType=SEEN, outputMode="Append", timeMode="None")
+
+
+def link_earlier(records: DataFrame, k: int = 2) -> DataFrame:
+    """:func:`link_seen` of a table, all at once: pairs of distinct names, each name with its smallest id, joined to the later records."""
+    named = records.where(F.col("name").isNotNull() & F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), "name")
+    first = named.groupBy(F.col("name").alias("known")).agg(F.min("id").alias("known_id"))
+    near = name_pairs(named, first, "name", "known", k).toDF("name", "known", "distance")
+    return named.join(near, "name").join(first, "known").where("known_id < id").select("id", "name", "known_id", "known", "distance")
 
 
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
