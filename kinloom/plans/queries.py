@@ -13,7 +13,7 @@ from ..operators import evaluate as E
 from ..operators import extract as X
 from ..operators import family, filters, graph, household, kinship, linkage
 from ..session import scratch, settle
-from ..sources import sinks, tabular
+from ..sources import ingest, sinks, tabular
 from ..sources import documents as D
 from ..sources.documents import corpus_words
 from ..streaming import incremental
@@ -51,6 +51,22 @@ def _dist(a: str, b: str) -> str:
     return f"(list_reduce(list_prepend(range(0, length({b}) + 1), list_transform(range(1, length({a}) + 1), lambda i: [i])), lambda prev, ii: {inner}))[-1]"
 
 
+def _digraph_dist(a: str, b: str) -> str:
+    """The distance that looks two letters back, in DuckDB SQL: the state is the row before the last one and the last one."""
+    heard = lambda x, n: f"length(replace(substr({x}, 1, {n}), '{N.SILENT}', ''))"
+    one = lambda x: f"CASE WHEN {x} = '{N.SILENT}' THEN 0 ELSE 1 END"
+    stands = ", ".join(f"'{p}:{x}'" for p, x in N.DIGRAPHS)
+    i, j = "ii[1][1]", "jj[1]"
+    x, y = f"substr({a}, {i}, 1)", f"substr({b}, {j}, 1)"
+    cell = (
+        f"list_append(acc, least(acc[-1] + {one(y)}, st[2][{j} + 1] + {one(x)}, st[2][{j}] + CASE WHEN {x} = {y} OR {x} || {y} IN ({_PAIRS}) THEN 0 ELSE 1 END, "
+        f"CASE WHEN {i} > 1 AND substr({a}, {i} - 1, 2) || ':' || {y} IN ({stands}) THEN st[1][{j}] END, CASE WHEN {j} > 1 AND substr({b}, {j} - 1, 2) || ':' || {x} IN ({stands}) THEN st[2][{j} - 1] END))"
+    )
+    inner = f"list_reduce(list_prepend([{heard(a, i)}], list_transform(range(1, length({b}) + 1), lambda j: [j])), lambda acc, jj: {cell})"
+    first = f"list_transform(range(0, length({b}) + 1), lambda n: {heard(b, 'n')})"
+    return f"(list_reduce(list_prepend([[]::BIGINT[], {first}], list_transform(range(1, length({a}) + 1), lambda i: [[i]])), lambda st, ii: [st[2], {inner}]))[2][-1]"
+
+
 def _canon(x: str) -> str:
     return f"translate({x}, '{N.CLASS_FROM}', '{N.CLASS_TO}')"
 
@@ -963,3 +979,66 @@ def name_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = n.select("f", F.col("p_name").alias("a"), F.col("n").alias("x")), n.select("f", F.col("p_name").alias("b"), F.col("n").alias("y"))
     score = N.names_score(F.upper("a"), F.translate("b", "aeo", "\u00e1\u00e9\u00f3"))
     return a.join(b, "f").select("a", "b", F.round(score, 9).alias("score"), linkage.age_decay(F.col("x"), F.col("y")).alias("age_score"))
+
+
+_SPELT = "replace(replace({0}.p_name, 'g', 'ph'), 'bolt', 'bollt')", "replace(replace(replace({0}.p_name, 'g', 'j'), 'hot', 'ot'), 'bolt', 'boyt')"
+
+
+@query(f"""WITH {_NAMES}, p AS (SELECT a.p_name AS a, b.p_name AS b, {_SPELT[0].format("a")} AS x, {_SPELT[1].format("b")} AS y FROM n a JOIN n b ON a.f = b.f OR a.l = b.l)
+SELECT a, b, {_digraph_dist("x", "y")}::INT AS distance, {_digraph_dist("y", "x")}::INT AS back FROM p""")
+def digraph_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances of names in two spellings, with two letters that stand for one and a silent letter."""
+    n = _names(spark, sf_dir)
+    by = lambda w: n.select(F.col("p_name").alias("a"), w).join(n.select(F.col("p_name").alias("b"), w), w)
+    pairs = by("f").select("a", "b").unionByName(by("l").select("a", "b")).distinct()
+    x = F.replace(F.replace("a", F.lit("g"), F.lit("ph")), F.lit("bolt"), F.lit("bollt"))
+    y = F.replace(F.replace(F.replace("b", F.lit("g"), F.lit("j")), F.lit("hot"), F.lit("ot")), F.lit("bolt"), F.lit("boyt"))
+    return pairs.select("a", "b", N.digraph_distance(x, y).alias("distance"), N.digraph_distance(y, x).alias("back"))
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+'))::BIGINT AS n_spans, md5(array_to_string(regexp_extract_all(coalesce(text, ''), '[A-Z][a-z]+'), ',')) AS texts FROM documents""")
+def windowed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capitalised words of whole documents by a model that gets texts in overlapping windows."""
+
+    def make():
+        import re
+
+        word = re.compile("[A-Z][a-z]+")
+        return lambda texts: [[(m.start(), m.end(), "NAME") for m in word.finditer(t)] for t in texts]
+
+    d = X.tag_spans(_t(spark, sf_dir, "documents").select("doc_id", "text"), "text", make, "capitalised", window=1000, overlap=200)
+    return d.select("doc_id", F.size("spans").cast("long").alias("n_spans"), F.md5(F.array_join(F.transform("spans", lambda x: x["text"]), ",").cast("binary")).alias("texts"))
+
+
+@query("""SELECT 'customers' AS dataset, 'person' AS kind, c_name AS value FROM customer
+UNION ALL SELECT 'suppliers', CASE WHEN s_suppkey % 3 = 0 OR s_suppkey % 5 = 0 THEN 'rejected' ELSE 'person' END, CASE WHEN s_suppkey % 3 = 0 THEN s_name WHEN s_suppkey % 5 = 0 THEN s_name || ',' || s_nationkey || ',x' ELSE s_name END FROM supplier
+UNION ALL SELECT 'absent', 'failed', NULL UNION ALL SELECT 'other', 'failed', NULL""")
+def isolated_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A good file, one with short and long rows, one that is absent and one without the columns asked for, ingested together."""
+    path = scratch(spark, "ingest")
+    c, s = _t(spark, sf_dir, "customer"), _t(spark, sf_dir, "supplier")
+    c.select(F.col("c_name").alias("Name "), F.col("c_nationkey").cast("string").alias("AGE")).write.csv(f"{path}/good", header=True, sep="\t")
+    short, long = F.col("s_suppkey") % 3 == 0, F.col("s_suppkey") % 5 == 0
+    line = F.when(short, F.col("s_name")).when(long, F.concat_ws(",", "s_name", "s_nationkey", F.lit("x"))).otherwise(F.concat_ws(",", "s_name", "s_nationkey"))
+    s.select(line.alias("value")).write.text(f"{path}/malformed")
+    who = {"name": "name", "age": "age"}
+    all_of = ingest.Ingest(spark, {
+        "customers": ingest.Dataset(f"{path}/good", who, "\t"), "suppliers": ingest.Dataset(f"{path}/malformed", who, columns=("name", "age")),
+        "absent": ingest.Dataset(f"{path}/absent", who), "other": ingest.Dataset(f"{path}/good", {"name": "no such column"}, "\t"),
+    })
+    persons = all_of.all_persons().select("dataset", F.lit("person").alias("kind"), F.col("name").alias("value"))
+    rejected = all_of.rejected().select("dataset", F.lit("rejected").alias("kind"), F.col("record").alias("value"))
+    return persons.unionByName(rejected).unionByName(all_of.errors().select("dataset", F.lit("failed").alias("kind"), F.lit(None).cast("string").alias("value")))
+
+
+@query(f"""WITH k AS (SELECT p_name AS name, min(p_partkey) AS id FROM part GROUP BY p_name), d AS (SELECT * FROM (SELECT a.name AS l, b.name AS r, {_dist("a.name", "b.name")}::INT AS d FROM k a, k b) WHERE d <= 2)
+SELECT p.p_partkey AS id, p.p_name AS name, k.id AS known_id, k.name AS known, d.d AS distance FROM part p JOIN d ON d.l = p.p_name JOIN k ON k.name = d.r WHERE k.id < p.p_partkey""")
+def stateful_linkage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as a stream in three batches, each record matched with the names that came before it."""
+    base = scratch(spark, "stream")
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    step = (p.agg(F.max("id")).first()[0] or 0) // 3 + 1
+    for k in range(3):
+        p.where(F.floor(F.col("id") / step) == k).write.mode("append").parquet(f"{base}/in")
+        out = incremental.advance(spark, f"{base}/in", "id long, name string", incremental.link_seen, f"{base}/out", f"{base}/state")
+    return out

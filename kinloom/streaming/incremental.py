@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -100,6 +100,27 @@ def link_earlier(records: DataFrame, k: int = 2) -> DataFrame:
     return named.join(near, "name").join(first, "known").where("known_id < id").select("id", "name", "known_id", "known", "distance")
 
 
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def advance(spark: SparkSession, source: str, schema: str, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, timeout: int = 3600) -> DataFrame:
+    """Runs ``transform`` over what the folder ``source`` has got since the last call with this ``checkpoint``, appends the result to ``out`` and returns all of that. All are in shared storage."""
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = transform(spark.readStream.schema(schema).parquet(source))
+        run = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        if not run.awaitTermination(timeout):
+            run.stop()
+            raise TimeoutError(f"the stream did not finish in {timeout} s")
+    finally:
+        if before is None:
+            spark.conf.unset(_STORE)
+        else:
+            spark.conf.set(_STORE, before)
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Matches for each key in tumbling windows, with a watermark for late rows."""
     return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), key, "n")
