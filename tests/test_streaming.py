@@ -18,3 +18,34 @@ def test_stream_gives_what_the_table_gives(spark, tmp_path):
 def test_windows(spark):
     df = spark.sql("select timestamp'2024-01-01 00:10:00' t, 'a' k union all select timestamp'2024-01-01 00:50:00', 'a' union all select timestamp'2024-01-01 01:10:00', 'a'")
     assert sorted(r["n"] for r in incremental.windowed_counts(df, "t", "k").collect()) == [1, 2]
+
+
+def test_names_seen_earlier_in_a_stream(spark, tmp_path):
+    """Several batches, with names that come again, near names inside one batch, and an empty batch; the result is that of the table."""
+    import random
+
+    r = random.Random(21)
+    names = ["".join(r.choice("abvcs") for _ in range(r.randint(1, 7))) for _ in range(40)]
+    rows = [(k, r.choice(names)) for k in range(120)] + [(500, None), (501, "new"), (502, "mew")]
+    parts = [rows[:50], rows[50:51], [], rows[51:]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, "id long, name string").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        out = incremental.advance(spark, f"file://{tmp_path}/in", "id long, name string", incremental.link_seen, f"file://{tmp_path}/out", f"file://{tmp_path}/state")
+        so_far = spark.createDataFrame(sum(parts[: k + 1], []), "id long, name string")
+        assert sorted(map(tuple, out.collect())) == sorted(map(tuple, incremental.link_earlier(so_far).collect()))
+    assert out.count() > 100 and (502, "mew", 501, "new", 1) in {tuple(x) for x in out.collect()}
+
+
+def test_a_stream_meets_known_names_on_pieces(spark, tmp_path):
+    import random
+
+    r = random.Random(22)
+    word = lambda: "".join(r.choice("abvcs") for _ in range(r.randint(0, 8)))
+    known = spark.createDataFrame([(word(),) for _ in range(150)], "name string")
+    table = spark.createDataFrame([(k, word()) for k in range(150)], "id long, name string")
+    table.write.parquet(f"file://{tmp_path}/in")
+    stream = spark.readStream.schema("id long, name string").parquet(f"file://{tmp_path}/in")
+    q = incremental.link_stream(stream, known).writeStream.format("memory").queryName("pieces").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(120)
+    want = sorted(map(tuple, incremental.link_stream(table, known).select("id", "name", "known", "distance").collect()))
+    assert sorted(map(tuple, spark.table("pieces").select("id", "name", "known", "distance").collect())) == want and len(want) > 50
