@@ -7,7 +7,7 @@ scoring, so a document's score is the log-probability of all of it, its end incl
 
 Counts and network cover all training documents, each of which the network reads once. The documents are dealt to ``ROUNDS`` rounds and in
 each round to shards of about ``SHARD_TOKENS`` tokens by the hash of the id; every shard trains a copy of the weights so far, and the
-copies are averaged, weighted by tokens. A shard is a stream of windows: a trainer holds LANES documents at a time. Averages are summed on executors;
+copies are averaged, weighted by tokens. A shard is a stream of windows: a trainer holds LANES documents at a time, fewer where the corpus is small. Averages are summed on executors;
 the driver reads ``SUMS`` of them at most.
 
 Texts are read twice: once for the counts, once for token numbers (two bytes a token) and the sums of the base score, which are written. The
@@ -38,7 +38,9 @@ WINDOW, LANES = 20, 384
 SHARD_TOKENS = 4_000_000
 ROUNDS = 2
 SUMS = 32
-#: Step of the optimiser after WARM windows. Gradients are divided by a full window, so the last windows of a shard, which few documents fill, weigh little.
+#: Windows that a shard should give at least: one of few tokens has so many fewer lanes, LEAST_LANES at least.
+STEPS, LEAST_LANES = 300, 16
+#: Step of the optimiser after WARM steps. A step takes half the tokens of a full window at least; where few long documents are left, their windows are gathered until it has them.
 RATE, WARM = 0.015, 20
 END = tk.hash_bytes(b"\n")
 _LN10 = float(np.log(10.0))
@@ -235,10 +237,32 @@ def _windows(d: np.ndarray, begin: int) -> list[np.ndarray]:
     return [padded[k : k + WINDOW + 1] for k in range(0, n * WINDOW, WINDOW)]
 
 
-def train(p: dict, texts: Iterable[np.ndarray], classes: int) -> tuple[dict, int]:
-    """Adam over windows of WINDOW tokens; LANES documents run side by side, each state through its document's windows. Input rows change only in windows that have them."""
+def lanes_of(tokens: float) -> int:
+    """Documents to hold at a time for a shard of so many tokens."""
+    return int(min(LANES, max(LEAST_LANES, tokens / (WINDOW * STEPS))))
+
+
+def _gathered(held: tuple[dict, np.ndarray, int] | None, g: dict, rows: np.ndarray, n: int, height: int) -> tuple[dict, np.ndarray, int]:
+    """Gradients added to those held: (gradients, input rows with one, tokens)."""
+    if held is None:
+        return g, rows, n
+    total, seen, m = held
+    x = np.zeros((height, HIDDEN), g["x"].dtype)
+    x[seen] = total["x"]
+    x[rows] += g["x"]
+    every = np.union1d(seen, rows)
+    return {k: x[every] if k == "x" else total[k] + v for k, v in g.items()}, every, m + n
+
+
+def train(p: dict, texts: Iterable[np.ndarray], classes: int, width: int | None = None) -> tuple[dict, int]:
+    """Adam over windows of WINDOW tokens; ``width`` documents run side by side, each state through its document's windows. Input rows change only in steps that have them.
+
+    All tokens are learned from, and a step never rests on a few: the last windows of a shard, in which only its longest documents go on, are gathered,
+    and what is left at the end is a step smaller by what it lacks.
+    """
+    width = LANES if width is None else width
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    seen, t, more = 0, 0, True
+    seen, t, more, held, full = 0, 0, True, None, WINDOW * width
     begin = (classes - 1) * WITHIN + 1
     queue = iter(texts)
     lanes: list[Iterator[np.ndarray]] = []
@@ -248,24 +272,28 @@ def train(p: dict, texts: Iterable[np.ndarray], classes: int) -> tuple[dict, int
         parts = [next(lane, None) for lane in lanes]
         on = [k for k, v in enumerate(parts) if v is not None]
         lanes, parts = [lanes[k] for k in on], [parts[k] for k in on]
-        while more and len(lanes) < LANES:
+        while more and len(lanes) < width:
             d = next(queue, None)
             if d is None:
                 more = False
             elif len(d):
                 lanes.append(iter(_windows(d, begin)))
                 parts.append(next(lanes[-1]))
-        if not lanes:
+        if lanes:
+            s = np.concatenate([s[on], np.zeros((len(lanes) - len(on), HIDDEN), np.float32)])
+            both = np.ascontiguousarray(np.concatenate(parts).reshape(len(parts), WINDOW + 1).T)
+            live = both[1:] >= 0
+            np.maximum(both, 0, out=both)
+            g, rows, s, n = _window(p, both[:-1], both[1:], live.astype(np.float32), s, classes)
+            seen, held = seen + n, _gathered(held, g, rows, n, len(p["x"]))
+            if 2 * held[2] < full:
+                continue
+        elif held is None:
             break
-        s = np.concatenate([s[on], np.zeros((len(lanes) - len(on), HIDDEN), np.float32)])
-        both = np.ascontiguousarray(np.concatenate(parts).reshape(len(parts), WINDOW + 1).T)
-        live = both[1:] >= 0
-        np.maximum(both, 0, out=both)
-        g, rows, s, n = _window(p, both[:-1], both[1:], live.astype(np.float32), s, classes)
-        seen, t = seen + n, t + 1
-        step = RATE * min(1.0, t / WARM) / (1 + t / 400) ** 0.5
+        (g, rows, n), held, t = held, None, t + 1
+        step = RATE * min(1.0, t / WARM) / (1 + t / 400) ** 0.5 * min(1.0, 2 * n / full)
         for k, v in g.items():
-            v /= WINDOW * LANES
+            v /= n
             at = rows if k == "x" else slice(None)
             m = first[k][at]
             m += 0.1 * (v - m)
@@ -298,13 +326,13 @@ def _width(lexicon: Lexicon) -> type:
     return np.int16 if lexicon.rest < 1 << 15 else np.int32
 
 
-def _trainer(now, lex):
+def _trainer(now, lex, width: int):
     """Trains one copy over the shard that a partition holds, document by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = _width(lex.value)
         texts = (np.frombuffer(v.as_buffer(), kind) for batch in batches for v in batch.column(0))
-        p, seen = train(_unpack(now.value), texts, lex.value.classes)
+        p, seen = train(_unpack(now.value), texts, lex.value.classes, width)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([_pack(p)], pa.binary()), pa.array([seen], pa.int64())], names=["weights", "seen"])
 
@@ -336,7 +364,7 @@ def learn(numbered: DataFrame, lexicon: Lexicon) -> dict:
         own = dealt.where(F.col("deal") % ROUNDS == k).repartitionByRange(shards, "deal") if shards > 1 else dealt.where(F.col("deal") % ROUNDS == k).coalesce(1)
         # The longest first, so that none is left to run alone at the end; the others by hash.
         own = own.sortWithinPartitions(F.desc(F.greatest(F.length("numbers"), F.lit(8192))), "order", "numbers").select("numbers")
-        parts = settle(own.mapInArrow(_trainer(now, lex), schema), "weights")
+        parts = settle(own.mapInArrow(_trainer(now, lex, lanes_of(lexicon.total / ROUNDS / shards)), schema), "weights")
         sums = settle(parts.repartition(min(SUMS, shards)).mapInArrow(_summed, schema), "averages")
         rows = sums.collect()
         total = sum(r["seen"] for r in rows)

@@ -316,6 +316,46 @@ def test_training_beats_the_unigram_it_starts_from(monkeypatch):
     assert before == pytest.approx(sum(n * math.log(lexicon.counts[y] / lexicon.total) for y, n in c.items()) / len(held), abs=0.05) and after > before + 1
 
 
+@pytest.mark.parametrize("width", [None, 8])
+def test_long_documents_at_the_end_do_not_spoil_the_rest(monkeypatch, width):
+    """Few windows of all documents, then hundreds of one that is unlike them; all of it is learned from, and held-out documents gain."""
+    monkeypatch.setattr(lm, "LANES", 64)
+    r = random.Random(8)
+    step = lambda w, a: (w * a + r.choice([1, 2])) % 30
+
+    def text(n, a):
+        w = [r.randrange(30)]
+        for _ in range(n):
+            w.append(step(w[-1], a))
+        return " ".join(f"t{k}" for k in w)
+
+    texts = [text(r.randint(20, 60), 7) for _ in range(700)] + [text(6000, 11)]
+    held = [text(r.randint(20, 60), 7) for _ in range(100)]
+    lexicon = lexicon_of(texts)
+    numbers, flat = numbers_of([texts[-1], *texts[:-1]], lexicon), numbers_of(held, lexicon)
+    y, first = np.concatenate(flat), np.concatenate([[0], np.cumsum([len(x) for x in flat])])
+    p, seen = lm.train(lm.start(lexicon.counts), numbers, lexicon.classes, width)
+    before, after = (lm.score_texts(q, y, first, lexicon.classes).sum() / len(y) for q in (lm.start(lexicon.counts), p))
+    assert seen == sum(map(len, numbers)) and after > before + 0.1
+
+
+def test_gathered_windows_are_one_step(monkeypatch):
+    """Gradients of windows that are gathered are those of the windows together."""
+    r = np.random.default_rng(3)
+    parts = []
+    for rows in ([1, 4], [2, 4, 5], [0]):
+        parts.append(({"a": r.normal(size=3), "x": r.normal(size=(len(rows), lm.HIDDEN))}, np.array(rows), len(rows) * 10))
+    held = None
+    for g, rows, n in parts:
+        held = lm._gathered(held, {k: v.copy() for k, v in g.items()}, rows, n, 7)
+    dense = np.zeros((7, lm.HIDDEN))
+    for g, rows, _ in parts:
+        dense[rows] += g["x"]
+    assert held[1].tolist() == [0, 1, 2, 4, 5] and held[2] == 60
+    np.testing.assert_allclose(held[0]["x"], dense[held[1]])
+    np.testing.assert_allclose(held[0]["a"], sum(g["a"] for g, _, _ in parts))
+
+
 def test_lm_reads_no_other_columns(spark, docs):
     clash = docs.select(F.col("doc_id").cast("int").alias("doc_id"), "text", F.lit(1).alias("numbers"), F.lit(2).alias("row"), F.lit(3).alias("score"), F.lit(4).alias("tail"))
     want = lm.score(docs)
