@@ -55,6 +55,18 @@ def fresh(*frames: DataFrame) -> str:
     return prefix
 
 
+#: Scripts written without blanks between words.
+SOLID_SCRIPTS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+
+
+def plain_words(text: Column) -> Column:
+    """``text`` so that its tokens are runs of anything but ASCII other than letters and digits: in lower case by Unicode, with blanks for all but letters, marks and digits,
+    and each character of a script without blanks as a word of its own. ASCII texts stay as they are."""
+    words = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}\p{N}]+", " ")
+    words = F.when(words.rlike(f"[{SOLID_SCRIPTS}]"), F.regexp_replace(words, f"([{SOLID_SCRIPTS}])", " $1 ")).otherwise(words)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), words).otherwise(text)
+
+
 def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -199,8 +199,8 @@ def test_decontamination_against_all_alignments(monkeypatch):
                 at = [k for k in range(n) if 0 <= k + shift < len(t)]
                 same = [t[k + shift] == item[k] for k in at]
                 if n < 8:
-                    if len(at) == n and all(same):
-                        want.setdefault((d, i), []).append((n, -shift))
+                    if len(at) == n and sum(same) >= (n - 1 if n >= 6 else n):
+                        want.setdefault((d, i), []).append((sum(same), -shift))
                     continue
                 if not any(all(same[k + j] for j, bit in enumerate(m) if bit == "1") for m in decontam.MASKS for k in range(len(at) - len(m) + 1)):
                     continue
@@ -230,6 +230,38 @@ def test_a_passage_that_many_items_share(spark):
     assert [(x["doc_id"], x["item_id"], x["matched"], x["at"]) for x in got] == [(99, 77, 28, 1)]
 
 
+def test_twenty_thousand_items_share_a_header():
+    """A million alignments of fifty documents, in bounded portions."""
+    import time
+
+    r = np.random.default_rng(5)
+    header = r.integers(1, 1 << 62, 12, dtype=np.uint64)
+    index = decontam.Index.of([(k, np.concatenate([header, r.integers(1, 1 << 62, 16, dtype=np.uint64)]).tobytes()) for k in range(20_000)])
+    texts = [np.concatenate([r.integers(1, 1 << 62, 3, dtype=np.uint64), header]) for _ in range(50)]
+    texts.append(index.tokens[index.first[77] : index.first[78]])
+    first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    began = time.perf_counter()
+    assert [x.tolist() for x in decontam._matches(np.concatenate(texts), first, index, 0.5, 8)] == [[50], [77], [28], [28], [0]]
+    assert time.perf_counter() - began < 60
+    assert max(len(x) for x in decontam._alignments(np.concatenate(texts), first, index)) < decontam.HITS
+
+
+def test_decontamination_of_other_scripts(spark):
+    """Case and punctuation by Unicode, scripts without blanks by characters, and substitutions in items of six and seven words."""
+    items = [
+        (1, "人们在河边种树并且每年秋天一起收获果实庆祝"), (2, "she said “never again” and left the old house for good"), (3, "ÄRGER Über die ÖFEN in der KÜCHE von gestern abend"), (4, "who wrote the great gatsby novel"),
+        (5, "สวัสดีครับผมชื่อ"),
+    ]
+    docs = [
+        (10, "昨天我听说" + items[0][1] + "这件事很好"), (11, 'then she said "never again" and left the old house for good.'), (12, "so: ärger über die öfen, in der küche von gestern abend"), (13, "tell me who wrote the big gatsby novel please"),
+        (14, "tell me who wrote a big gatsby novel please"), (15, "昨天我听说这件事很好"), (16, "x ผม " + items[4][1] + " y"), (17, "ärger über die küche"), (18, "who wrote the great gatsby novel"),
+    ]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((x["doc_id"], x["item_id"], x["matched"]) for x in decontam.contamination(df, bench).collect())
+    assert [g[:2] for g in got] == [(10, 1), (11, 2), (12, 3), (13, 4), (16, 5), (18, 4)] and got[3][2] == 5 and got[5][2] == 6
+    assert sorted(r[0] for r in decontam.decontaminate(df, bench).select("doc_id").collect()) == [14, 15, 17]
+
+
 # ---- 4 language model ----------------------------------------------------------------------------------
 
 
@@ -517,6 +549,18 @@ def test_line_dedup(spark, none):
     assert sorted(map(tuple, lines.clean_documents(clash, 0.5, 5).select("doc_id", "text", "n_chars").collect()), key=str) == want
 
 
+def test_a_host_of_two_pages(spark):
+    """The plain share: a menu on both pages of a host goes, a line of one page stays."""
+    pages = [(1, "a", "menu\nhome\none"), (2, "a", "menu\nhome\ntwo"), (3, "b", "menu\nonly"), *((10 + k, "c", f"menu\nown {k}\n" + ("pair" if k < 2 else "")) for k in range(30))]
+    df = spark.createDataFrame(pages, "page_id long, host string, text string")
+    got = {r["page_id"]: (r["text"], r["n"], r["gone"]) for r in lines.drop_boilerplate(df, "host", counts=("n", "gone")).collect()}
+    assert got[1] == ("one", 3, 2) and got[2] == ("two", 3, 2) and got[3] == ("menu\nonly", 2, 0)
+    # Two of thirty pages are less than a tenth.
+    assert got[10] == ("own 0\npair", 3, 1) and got[15] == ("own 5\n", 2, 1)
+    kept = {r["page_id"]: r["text"] for r in lines.drop_boilerplate(df, "host", prior=20).collect()}
+    assert kept[1] == "menu\nhome\none" and kept[15] == "own 5\n"
+
+
 def test_page_lines(spark):
     html = "<html><head><title>T &amp; x</title><style>p{}</style></head><body><nav><a href='x'>home</a></nav><!-- c --><p>One <b>two</b></p><script>var t='</p>';</script><p>  </p></body></html>"
     pages = spark.createDataFrame([(k, f"https://u@A.example.com:80/p/{k}", html) for k in range(6)] + [(9, None, None)], "page_id long, url string, html string")
