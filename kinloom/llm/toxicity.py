@@ -1,7 +1,7 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are binary: single words, pairs of neighbours, and pairs with one word between, of the text in lower case without
-punctuation, hashed to 64 bits. Per-coordinate learning rates and a constant L1 term, in units of one document's
+punctuation, both by Unicode (of scripts without blanks, each character is a word), hashed to 64 bits. Per-coordinate learning rates and a constant L1 term, in units of one document's
 gradient, leave few weights, which are broadcast as two short arrays. Their number is bounded by the features of the fitting sample.
 
 Fitting sample: at most ``sample`` labelled rows outside the held-out remainder, those of the smallest MD5 of the id. A feature of fewer
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .common import id_remainder, text_of
+from .common import id_remainder, plain_words, text_of
 
 SAMPLE = 12_000
 EPOCHS = 8
@@ -148,5 +148,6 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]) -> DataF
 
 def toxicity(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """``doc_id``, ``held_out``, ``score`` and ``predicted`` of every document."""
+    docs = docs.select("doc_id", plain_words(text_of()).alias("text"))
     out = score(docs, fit(sample(docs, labels, "toxic", most)))
     return out.select("doc_id", (id_remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -639,6 +639,21 @@ def test_rare_insults_of_a_language_are_learned(spark):
     assert sum(x["predicted"] for x in held if truth[x["doc_id"]]) >= 0.95 * sum(truth[x["doc_id"]] for x in held) and not any(x["predicted"] for x in held if not truth[x["doc_id"]])
 
 
+def test_insults_in_quotes_and_without_blanks(spark):
+    r = random.Random(41)
+    rows, labels = [], []
+    for k in range(600):
+        bad = k % 3 == 0
+        insult = r.choice(["“schuft”", "ÄRGERLING!", "你是笨蛋吧", "»Lump«"]) if bad else r.choice(["“freund”", "ÄRZTE!", "你是朋友吧", "»Haus«"])
+        rows.append((k, f"{prose(r, 12)} {insult} {prose(r, 12)}"))
+        labels.append((k, int(bad)))
+    rows += [(1000, f"{prose(r, 9)} schuft"), (1001, "ärgerling"), (1002, "他说笨蛋"), (1003, "lump, " + prose(r, 5)), (1004, prose(r, 20)), (1005, "freund haus ärzte 朋友")]
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert [got[k] for k in range(1000, 1006)] == [1, 1, 1, 1, 0, 0]
+    held = [k for k, _ in labels if zlib.crc32(str(k).encode()) % 3 == 1]
+    assert all(got[k] == int(k % 3 == 0) for k in held)
+
+
 def test_rules_compile_to_what_they_mean(spark):
     r = np.random.default_rng(1)
     x = r.random((300, len(quality_model.STATISTICS)))
