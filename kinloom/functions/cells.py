@@ -52,24 +52,12 @@ def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([known[p] for p in zip(a, b, strict=True)])
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in ("tp", "fp", "fn")]))
-def compare_sets_fuzzy(gold: pd.Series, predicted: pd.Series, limit: pd.Series) -> pd.DataFrame:
-    """Exact matches first; each golden value left takes its best predicted value of a ratio of ``limit`` or more; predicted values may serve again."""
-    out = []
-    for g, p, least in zip(gold, predicted, limit, strict=True):
-        g, p = sorted(set(g if g is not None else [])), sorted(set(p if p is not None else []))
-        exact = set(g) & set(p)
-        used, tp = set(exact), len(exact)
-        left = [y for y in p if y not in exact]
-        for x in g:
-            if x in exact or not left:
-                continue
-            ratio, best = max((difflib.SequenceMatcher(None, x, y).ratio(), y) for y in left)
-            if ratio >= least:
-                tp += 1
-                used.add(best)
-        out.append((tp, len(set(p) - used), len(g) - tp))
-    return pd.DataFrame(out, columns=["tp", "fp", "fn"])
+def may_reach(a: Column, b: Column, least: float) -> Column:
+    """Whether lengths and letters allow a :func:`similarity_ratio` of ``least``: matching letters are at most those of the shorter text, and at most those of letters that both have."""
+    total = F.length(a) + F.length(b)
+    shared = lambda x, y: F.length(x) - F.length(F.call_function("translate", x, y, F.lit("")))
+    most = F.least(F.length(a), F.length(b), shared(a, b), shared(b, a))
+    return F.when(total == 0, F.lit(True)).otherwise(F.lit(2.0) * most >= F.lit(least) * total)
 
 
 def count_substring_matches(generated: Column, golden: Column) -> Column:

@@ -258,6 +258,12 @@ def outer_brackets(x: Column) -> Column:
     return F.regexp_replace(x, r"(?s)^\[(.*)\]$", "$1")
 
 
+def outer_brackets_json(document: Column) -> Column:
+    """:func:`outer_brackets` of every text value of a JSON document, at any depth; keys stay."""
+    value = r'(?<=[:,\[])(\s*)"\[((?:[^"\\\n]|\\(?!n).)*)\]"(?=\s*[,}\]])'
+    return F.regexp_replace(document, value, '$1"$2"')
+
+
 def space_commas(x: Column) -> Column:
     return F.replace(F.rtrim(x, F.lit(",")), F.lit(","), F.lit(", "))
 

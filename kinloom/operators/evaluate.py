@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cells import comma_count, compare_sets, compare_sets_fuzzy, count_substring_matches, extract_values, guarded, match_percentage
+from ..functions.cells import comma_count, compare_sets, count_substring_matches, extract_values, guarded, match_percentage, may_reach, similarity_ratio
+from ..session import settle
 
 
 def compare_names(golden: DataFrame, predicted: DataFrame, key: str, column: str, model: str) -> DataFrame:
@@ -49,11 +50,13 @@ def _cells(golden: DataFrame, predicted: DataFrame, key: str, columns: Sequence[
     g = golden.select(F.col(f"`{key}`").alias("key"), *[F.col(f"`{c}`").cast("string").alias(f"g_{k}") for k, c in enumerate(columns)])
     p = predicted.select(F.col(f"`{key}`").alias("key"), *[F.col(f"`{c}`").cast("string").alias(f"p_{k}") for k, c in enumerate(columns) if c in predicted.columns])
     joined = g.join(p, "key").withColumn("row", F.monotonically_increasing_id())
+    joined = joined if fuzzy is None else settle(joined, "cells")  # row numbers are joined on: they must not change
     side = lambda k: F.col(f"p_{k}") if f"p_{k}" in joined.columns else F.lit("")
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"g_{k}").alias("g"), side(k).alias("p")) for k, c in enumerate(columns)]))
     rows = joined.select("key", "row", cells.alias("c")).select("key", "row", "c.column", extract_values(F.col("c.g")).alias("g"), extract_values(F.col("c.p")).alias("p"))
-    hit = compare_sets(F.col("g"), F.col("p")) if fuzzy is None else compare_sets_fuzzy(F.col("g"), F.col("p"), F.lit(fuzzy))
-    return rows.withColumn("h", hit).select("key", "row", "column", "h.*", F.size("g").cast("long").alias("n"))
+    if fuzzy is None:
+        return rows.withColumn("h", compare_sets(F.col("g"), F.col("p"))).select("key", "row", "column", "h.*", F.size("g").cast("long").alias("n"))
+    return fuzzy_hits(rows, ("row", "column"), fuzzy).select("key", "row", "column", "tp", "fp", "fn", F.size("g").cast("long").alias("n"))
 
 
 def evaluate_columns(golden: DataFrame, predicted: DataFrame, key: str, columns: Sequence[str], fuzzy: float | None = None, digits: int | None = 4) -> DataFrame:
@@ -70,6 +73,29 @@ def perfect_matches(golden: DataFrame, predicted: DataFrame, key: str, columns:
     return _cells(golden, predicted, key, columns, None).groupBy("key", "row").agg(F.bool_and((F.col("fp") == 0) & (F.col("fn") == 0) & (F.col("tp") == F.col("n"))).alias("perfect")).select("key", "perfect")
 
 
+def name_totals(rows: DataFrame, columns: Sequence[str], match: str = "Match") -> DataFrame:
+    """One row: comma-separated names in each of the columns (null: none, a column that is absent: 0), and ``correct``, the sum of ``match`` (0 where it is absent)."""
+    words = [F.coalesce(F.sum(comma_count(F.col(f"`{c}`"))), F.lit(0)).cast("long").alias(c) if c in rows.columns else F.lit(0).cast("long").alias(c) for c in columns]
+    correct = F.coalesce(F.sum(F.col(f"`{match}`").cast("long")), F.lit(0)) if match in rows.columns else F.lit(0).cast("long")
+    return rows.agg(F.count(F.lit(1)).alias("rows"), *words, correct.alias("correct"))
+
+
+def fuzzy_hits(rows: DataFrame, keys: Sequence[str], least: float) -> DataFrame:
+    """``keys``, ``tp``, ``fp``, ``fn`` of value lists ``g`` and ``p`` by similarity.
+
+    Exact matches first; each golden value left takes its best predicted value of a ratio of ``least`` or more; predicted values may serve again. Values left are paired inside their row; what lengths and shared letters
+    can rule out goes before any text is compared, and each two texts are compared once, however often they meet.
+    """
+    rows = rows.withColumns({"both": F.array_intersect("g", "p"), "only_g": F.array_except("g", "p"), "only_p": F.array_except("p", "g")})
+    pairs = rows.select(*keys, "only_p", F.explode("only_g").alias("x")).select(*keys, "x", F.explode("only_p").alias("y")).where(may_reach(F.col("x"), F.col("y"), least))
+    texts = pairs.select("x", "y").distinct().withColumn("ratio", similarity_ratio("x", "y")).where(F.col("ratio") >= least)
+    best = pairs.join(texts, ["x", "y"]).groupBy(*keys, "x").agg(F.max(F.struct("ratio", "y")).alias("b"))
+    found = best.groupBy(*keys).agg(F.count(F.lit(1)).alias("more"), F.count_distinct("b.y").alias("used"))
+    tp = F.size("both") + F.coalesce("more", F.lit(0))
+    out = rows.join(found, list(keys), "left").withColumns({"tp": tp.cast("long"), "fp": F.size("only_p") - F.coalesce("used", F.lit(0)), "fn": F.size("only_g") - F.coalesce("more", F.lit(0))})
+    return out.drop("both", "only_g", "only_p", "more", "used")
+
+
 def coverage(golden: DataFrame, predicted: DataFrame, key: str) -> DataFrame:
     """Numbers of distinct keys on one side only and on both."""
     g, p = golden.select(key).distinct(), predicted.select(key).distinct()

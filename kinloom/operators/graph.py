@@ -131,6 +131,14 @@ def estimated_birth_year(birth_year: Column, of_1821: Column, latest_year: Colum
     return F.coalesce(birth_year, of_1821, latest_year - latest_age)
 
 
+def birth_year_of_timeline(birth_year: Column, timeline: Column, given_in: int = 1821) -> Column:
+    """The year of birth given, else that recorded in the census of ``given_in``, else the latest census with an age less that age; timeline: map of year to a struct with ``age`` and perhaps ``birth_year``."""
+    entries = F.filter(F.map_entries(timeline), lambda e: e["value"]["age"].isNotNull())
+    latest = F.array_max(F.transform(entries, lambda e: F.struct(e["key"].alias("year"), e["value"]["age"].alias("age"))))
+    recorded = F.try_element_at(timeline, F.lit(given_in))["birth_year"]
+    return estimated_birth_year(F.nullif(birth_year, F.lit(0.0)), recorded, latest["year"], latest["age"])
+
+
 def valid_parent_child(parent: str, child: str) -> Column:
     """Names differ; 13 to 60 years between births, or else 13 years between census ages; unknown is accepted."""
     c = lambda p, f: F.col(f"{p}{f}")

@@ -120,3 +120,15 @@ def nested_timeline(rows: DataFrame, relations: DataFrame) -> DataFrame:
     out = rows.join(kids, ["entity", "census_year"], "left").groupBy("entity").agg(line.alias("line"))
     union = F.array_sort(F.array_distinct(F.flatten(F.transform("line", lambda x: x["record"]["children"]))))
     return out.select("entity", F.map_from_entries("line").alias("timeline"), union.alias("children"))
+
+
+def flat_nodes(about: DataFrame, family: DataFrame) -> DataFrame:
+    """``id`` and a flat JSON document of each entity: name, the names of father, mother, spouse and children in place of the nodes themselves, and ``info``, its own attributes. A row holds one family."""
+    names = about.select(F.col("id").alias("src"), F.col("name").alias("other"))
+    up = family.join(names, "src").groupBy(F.col("dst").alias("id")).agg(*[F.max(F.when(F.col("rel") == r, F.col("other"))).alias(r) for r in RELATIONS])
+    child = family.where("rel <> 'spouse'").select("src", "dst").distinct().join(about.select(F.col("id").alias("dst"), F.col("name").alias("child")), "dst")
+    down = child.groupBy(F.col("src").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dst", "child"))), lambda c: c["child"]).alias("children"))
+    rows = about.join(up, "id", "left").join(down, "id", "left")
+    none = F.array().cast("array<string>")
+    info = F.struct(*[c for c in about.columns if c != "id"]).alias("info")
+    return rows.select("id", F.to_json(F.struct("name", *RELATIONS, F.coalesce("children", none).alias("children"), info)).alias("json"))

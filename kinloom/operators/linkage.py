@@ -267,3 +267,28 @@ def enrich(matches: DataFrame, baptisms: DataFrame, races: DataFrame) -> DataFra
     for c in ("first_name", "last_name", "father_first_name", "father_last_name", "mother_first_name", "mother_last_name"):
         full = full.withColumn(c, N.strip_brackets(F.col(c)))
     return full.select(*[F.col(f"`{c}`") for c in COLLECTED])
+
+
+# The first profile's table: output column, the side it comes from (c: census, b: baptisms), and the column there.
+COLLECTED_V0 = (
+    ("last_name", "c", "Last"), ("first_name", "c", "First"), ("father_last_name", "c", "Father_Last"), ("father_first_name", "c", "Father_First"), ("mother_last_name", "c", "Mother_Last"),
+    ("mother_first_name", "c", "Mother_First"), ("father_origin", "b", "FOrigin"), ("mother_origin", "b", "MOrigin"), ("father_military_status", "b", "FMilitaryStatus"), ("sex", "b", "Sex"),
+    ("race_1790", "c", "Race"), ("ethnicity", "b", "Ethnicity"), ("baptismal_date", "b", "FmtdDate"), ("location_ecpp_baptism", "b", "DMission"), ("location_1790_census", "c", "Current_Location"),
+    ("origin_parish_1790_census", "c", "Origin Parish"), ("location_other_race", "c", "Location Other Race"),
+)
+RACE_FIELDS_V0 = ("race_1790", "ethnicity")
+
+
+def enrich_v0(matches: DataFrame, baptisms: DataFrame, census: DataFrame, literal: bool = False) -> DataFrame:
+    """Matches (``pc_id``, ``ecpp_id``, ``#ID``) with the columns of the first profile, races and ethnicities as cleaned lists; columns that a side lacks are null.
+
+    Keys of either side are unique. ``literal`` takes the mother's origin from the father's column, as the first profile's own table does.
+    """
+    side = lambda df, key, p: df.select(F.col(f"`{key}`").alias(f"__{p}"), *[F.col(f"`{c}`").alias(f"__{p}_{c}") for c in df.columns if c != key])
+    joined = matches.join(side(census, "ecpp_id", "c"), F.col("ecpp_id") == F.col("__c"), "left").join(side(baptisms, "#ID", "b"), F.col("`#ID`") == F.col("__b"), "left")
+    out = []
+    for name, p, column in COLLECTED_V0:
+        column = "FOrigin" if literal and name == "mother_origin" else column
+        value = F.col(f"`__{p}_{column}`").cast("string") if f"__{p}_{column}" in joined.columns else F.lit(None).cast("string")
+        out.append((F.array_join(N.race_list(value), ", ") if name in RACE_FIELDS_V0 else value).alias(name))
+    return joined.select("pc_id", F.col("ecpp_id").alias("1790_ecpp_id"), F.col("`#ID`").alias("baptisms_id"), *out)

@@ -721,15 +721,26 @@ def section_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("place").alias("county"), "name", "number", "description")
 
 
-@query(f"""SELECT p_partkey AS number, 'Maria Lopez; Pedro Ruiz' AS persons, 'Pedro Ruiz' AS patent_holders, 'Blue River; San Jose' AS locations, (1800 + p_size)::VARCHAR AS dates, 'Land Commission' AS organizations, 'Pico' AS grantors,
-       'Maria Lopez' AS grantor, 'Pedro Ruiz' AS grantee, 'Blue River' AS place, (1800 + p_size)::VARCHAR AS year FROM part""")
+# Parts of a sentence, by the part's key and size; both dialects read them alike.
+_GIVER = "CASE p_size % 4 WHEN 0 THEN 'Maria' WHEN 1 THEN 'Ana' WHEN 2 THEN 'Juana' ELSE 'Zoila' END || ' ' || CASE p_partkey % 3 WHEN 0 THEN 'Lopez' WHEN 1 THEN 'Castro' ELSE 'de la Vega' END"
+_TAKER = "CASE p_size % 5 WHEN 0 THEN 'Pedro' WHEN 1 THEN 'Luis' WHEN 2 THEN 'Bruno' WHEN 3 THEN 'Teo' ELSE 'Hugo' END || ' ' || CASE p_partkey % 4 WHEN 0 THEN 'Ruiz' WHEN 1 THEN 'Soto' WHEN 2 THEN 'Montes' ELSE 'Paz' END"
+_TOWN = "CASE p_partkey % 3 WHEN 0 THEN 'San Jose' WHEN 1 THEN 'Santa Cruz' ELSE 'San Diego' END"
+_RIVER = "CASE p_size % 3 WHEN 0 THEN 'Blue River' WHEN 1 THEN 'Alder Creek' ELSE 'Clear Lake' END"
+_BODY = "CASE p_partkey % 2 WHEN 0 THEN 'Land Commission' ELSE 'Rancho Company' END"
+_RULER = "CASE p_size % 2 WHEN 0 THEN 'Pico' ELSE 'Micheltorena' END"
+_SENTENCE = (
+    f"'made by Gov. ' || {_RULER} || ' to ' || {_GIVER} || ' of ' || {_TOWN} || ' in ' || (1800 + p_size) || '. Patent for ' || p_size || ' acres issued in ' || (1800 + p_size + p_partkey % 7) || ' to ' || {_TAKER}"
+    f" || CASE WHEN p_partkey % 5 = 0 THEN '' ELSE ' by ' || {_BODY} END || ' along ' || {_RIVER}"
+)
+
+
+@query(f"""WITH s AS (SELECT p_partkey, {_GIVER} AS giver, {_TAKER} AS taker, {_TOWN} AS town, {_RIVER} AS river, (1800 + p_size)::VARCHAR AS early, (1800 + p_size + p_partkey % 7)::VARCHAR AS late, CASE WHEN p_partkey % 5 > 0 THEN {_BODY} ELSE '' END AS body, {_RULER} AS ruler FROM part)
+SELECT p_partkey AS number, least(giver, taker) || '; ' || greatest(giver, taker) AS persons, taker AS patent_holders, least(river, town) || '; ' || greatest(river, town) AS locations,
+       CASE WHEN early = late THEN early ELSE early || '; ' || late END AS dates, body AS organizations, ruler AS grantors, giver AS grantor, taker AS grantee, river AS place, late AS year FROM s""")
 def entity_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rule-tagged entities routed to persons, patent holders, places, dates and organisations."""
-    p = _t(spark, sf_dir, "part")
-    text = F.concat(F.lit("made by Gov. Pico to Maria Lopez of San Jose in "), (1800 + F.col("p_size")).cast("string"), F.lit(". Patent for 5 acres issued in abcd to Pedro Ruiz by Land Commission along Blue River"))
-    text = F.replace(text, F.lit("abcd"), F.lit("0000"))
-    tagged = X.tag_entities(p.select(F.col("p_partkey").alias("number"), text.alias("text")), "text")
-    return X.entity_roles(X.route_entities(tagged, "text")).drop("text", "entities")
+    """Rule-tagged entities of varied sentences routed to persons, patent holders, places, dates and organisations."""
+    p = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("number"), F.expr(_SENTENCE).alias("text"))
+    return X.entity_roles(X.route_entities(X.tag_entities(p, "text"), "text")).drop("text", "entities")
 
 
 # ---- evaluation --------------------------------------------------------------------------------------
@@ -835,6 +846,130 @@ def substring_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.compare_names(g, p, "c_custkey", "x", "m").select("key", "matches", "n_golden", "n_generated", "percentage")
 
 
+@query(f"""WITH {_FAMILY},
+ups AS (SELECT dst AS id, max(CASE WHEN rel = 'father' THEN name END) AS father, max(CASE WHEN rel = 'mother' THEN name END) AS mother, max(CASE WHEN rel = 'spouse' THEN name END) AS spouse FROM fam JOIN ab ON ab.id = src GROUP BY dst),
+kid AS (SELECT src AS id, string_agg(name, '|' ORDER BY dst) AS children FROM (SELECT DISTINCT src, dst FROM fam WHERE rel <> 'spouse') JOIN ab ON ab.id = dst GROUP BY src)
+SELECT ab.id, ab.name, father, mother, spouse, coalesce(children, '') AS children, gender, age FROM ab LEFT JOIN ups ON ups.id = ab.id LEFT JOIN kid ON kid.id = ab.id""")
+def flat_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat JSON documents of integrated people, with names for references, written, read and taken apart."""
+    persons, entities = _kin(spark, sf_dir)
+    about = settle(kinship.about_entities(persons, entities), "about")
+    flat = kinship.flat_nodes(about, kinship.contract(kinship.link_censuses(persons), entities, about))
+    path = scratch(spark, "flat")
+    flat.select(F.concat_ws(":", "id", "json").alias("value")).write.text(path)
+    line = spark.read.text(path)
+    doc = F.from_json(F.expr("substring(value, instr(value, ':') + 1)"), "name string, father string, mother string, spouse string, children array<string>, info struct<gender: string, age: double>")
+    rows = line.select(F.split_part("value", F.lit(":"), F.lit(1)).cast("long").alias("id"), doc.alias("d"))
+    return rows.select("id", "d.name", "d.father", "d.mother", "d.spouse", F.array_join("d.children", "|").alias("children"), "d.info.gender", "d.info.age")
+
+
+@query(f"""WITH RECURSIVE {_FAMILY},
+up AS (SELECT DISTINCT src, dst FROM fam WHERE rel <> 'spouse'),
+t AS (SELECT id AS node, 1 AS depth, [id] AS path, false AS circular FROM ab WHERE id NOT IN (SELECT dst FROM up)
+      UNION ALL SELECT up.dst, t.depth + 1, list_append(t.path, up.dst), list_contains(t.path, up.dst) FROM t JOIN up ON up.src = t.node WHERE NOT t.circular),
+tl AS (SELECT entity, string_agg(census_year, ',' ORDER BY census_year) AS years FROM jn WHERE turn = 1 GROUP BY entity)
+SELECT t.node AS id, ab.name, t.depth, t.circular, CASE WHEN NOT circular THEN (SELECT max(src)::VARCHAR FROM fam WHERE rel = 'spouse' AND dst = t.node) END AS spouse, CASE WHEN NOT circular THEN years END AS years
+FROM t JOIN ab ON ab.id = t.node JOIN tl ON tl.entity = t.node""")
+def integrated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trees of integrated people as nested JSON with spouses and timelines, written and read as rows."""
+    persons, entities = _kin(spark, sf_dir)
+    about = settle(kinship.about_entities(persons, entities), "about")
+    links = settle(kinship.link_censuses(persons), "links")
+    family = settle(kinship.contract(links, entities, about), "family")
+    relations = kinship.relation_rows(links, entities)
+    nested = kinship.nested_timeline(kinship.timeline(persons, entities, relations), relations)
+    spouse = family.where("rel = 'spouse'").select(F.col("dst").alias("id"), F.col("src").alias("spouse"))
+    info = about.join(nested.select(F.col("entity").alias("id"), "timeline"), "id").join(spouse, "id", "left")
+    edges = family.where("rel <> 'spouse'")
+    path = scratch(spark, "documents")
+    graph.tree_json(graph.closure(edges, graph.roots_of(about, edges)), settle(info, "info")).select(F.col("json").alias("value")).write.option("lineSep", "\n").text(path)
+    one = scratch(spark, "lists")  # a list of trees a file, as they are kept
+    spark.read.text(path).withColumn("bucket", F.pmod(F.hash("value"), F.lit(16))).groupBy("bucket").agg(F.concat(F.lit("["), F.array_join(F.collect_list("value"), ","), F.lit("]")).alias("value")).write.partitionBy("bucket").text(one)
+    rows = D.read_trees(spark, f"{one}/*")
+    years = F.array_join(F.array_sort(F.json_object_keys("timeline")), ",")
+    return rows.select("id", "name", "depth", "circular", "spouse", F.when(F.col("timeline").isNotNull(), years).alias("years"))
+
+
+@query("""WITH t AS (SELECT o_custkey AS id, list({'y': 1700 + o_orderkey % 150, 'a': CASE WHEN o_orderkey % 4 > 0 THEN (o_orderkey % 60)::DOUBLE END, 'k': o_orderkey} ORDER BY o_orderkey) AS l FROM orders GROUP BY o_custkey),
+f AS (SELECT o_custkey AS id, 1700 + o_orderkey % 150 AS y, min(o_orderkey) AS k FROM orders GROUP BY ALL),
+v AS (SELECT f.id, f.y, CASE WHEN k % 4 > 0 THEN (k % 60)::DOUBLE END AS age, CASE WHEN k % 3 = 0 THEN (1600 + k % 100)::DOUBLE END AS birth FROM f)
+SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 10 = 0 THEN 1799.0::DOUBLE END, (SELECT birth FROM v WHERE v.id = c_custkey AND y = 1821), (SELECT arg_max(y - age, y) FROM v WHERE v.id = c_custkey AND age IS NOT NULL)) AS birth_year
+FROM customer WHERE c_custkey IN (SELECT id FROM f)""")
+def timeline_birth_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years of birth estimated from timelines: given, recorded in 1821, or by the latest age."""
+    o, k = _t(spark, sf_dir, "orders"), F.col("o_orderkey")
+    first = o.groupBy(F.col("o_custkey").alias("id"), (1700 + k % 150).cast("int").alias("y")).agg(F.min("o_orderkey").alias("k"))
+    k = F.col("k")
+    record = F.struct(F.when(k % 4 > 0, (k % 60).cast("double")).alias("age"), F.when(k % 3 == 0, (1600 + k % 100).cast("double")).alias("birth_year"))
+    lines = first.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("y", record.alias("r")))).alias("timeline"))
+    given = F.when(F.col("id") % 10 == 0, F.lit(1799.0)).otherwise(F.lit(0.0))
+    return lines.join(_t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), "id").select("id", graph.birth_year_of_timeline(given, F.col("timeline")).alias("birth_year"))
+
+
+@query("""SELECT p_partkey AS pc_id, p_partkey AS "1790_ecpp_id", CASE WHEN p_partkey % 4 > 0 THEN p_partkey + 7 ELSE -1 END AS baptisms_id, split_part(p_name, ' ', 2) AS last_name, split_part(p_name, ' ', 1) AS first_name, NULL::VARCHAR AS father_last_name,
+       NULL::VARCHAR AS father_first_name, NULL::VARCHAR AS mother_last_name, NULL::VARCHAR AS mother_first_name, CASE WHEN p_partkey % 4 > 0 THEN 'o' || (p_partkey + 7) END AS father_origin, CASE WHEN p_partkey % 4 > 0 THEN 'p' || (p_partkey + 7) END AS mother_origin,
+       NULL::VARCHAR AS father_military_status, CASE WHEN p_partkey % 4 > 0 THEN 'f' END AS sex, array_to_string([p_brand, p_type], ', ') AS race_1790, CASE WHEN p_partkey % 4 > 0 THEN 'mulato, indio' END AS ethnicity,
+       CASE WHEN p_partkey % 4 > 0 THEN 'd' || (p_partkey + 7) END AS baptismal_date, NULL::VARCHAR AS location_ecpp_baptism, p_type AS location_1790_census, NULL::VARCHAR AS origin_parish_1790_census, NULL::VARCHAR AS location_other_race FROM part""")
+def enriched_v0(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first profile's table: census and baptism columns of matches, one in four without its baptism."""
+    p, k = _t(spark, sf_dir, "part"), F.col("p_partkey")
+    matches = p.select(k.alias("pc_id"), k.alias("ecpp_id"), F.when(k % 4 > 0, k + 7).otherwise(-1).alias("#ID"))
+    census = p.select(k.alias("ecpp_id"), F.split_part("p_name", F.lit(" "), F.lit(1)).alias("First"), F.split_part("p_name", F.lit(" "), F.lit(2)).alias("Last"), F.concat(F.lit("["), "p_brand", F.lit("], "), "p_type", F.lit(".")).alias("Race"), F.col("p_type").alias("Current_Location"))
+    b = (k + 7).cast("string")
+    baptisms = p.select((k + 7).alias("#ID"), F.concat(F.lit("o"), b).alias("FOrigin"), F.concat(F.lit("p"), b).alias("MOrigin"), F.lit("f").alias("Sex"), F.lit("mulato ,[indio]").alias("Ethnicity"), F.concat(F.lit("d"), b).alias("FmtdDate"))
+    return linkage.enrich_v0(matches, baptisms, census)
+
+
+@query("""SELECT count(*) AS rows, coalesce(sum(len(string_split(CASE WHEN c_custkey % 5 > 0 THEN c_mktsegment || ', ' || c_name || CASE WHEN c_nationkey > 9 THEN ',x' ELSE '' END END, ','))), 0)::BIGINT AS generated, 0::BIGINT AS absent, sum(c_nationkey)::BIGINT AS correct FROM customer""")
+def name_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names in comma-separated cells, some of them null, of a column that is absent, and the sum of matches."""
+    names = F.when(F.col("c_custkey") % 5 > 0, F.concat("c_mktsegment", F.lit(", "), "c_name", F.when(F.col("c_nationkey") > 9, ",x").otherwise("")))
+    return E.name_totals(_t(spark, sf_dir, "customer").select(names.alias("generated"), F.col("c_nationkey").alias("Match")), ["generated", "absent"])
+
+
+@query("""SELECT s_suppkey AS id, '{"name":"' || s_name || '","list":["a","[b] c","x' || s_nationkey || '"],"deep":{"[k]":"v","n":[["y"]]},"number":' || s_suppkey || '}' AS document FROM supplier""")
+def bracketless_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Enclosing brackets taken from the texts of nested documents at any depth; keys, lists and inner brackets stay."""
+    s = _t(spark, sf_dir, "supplier")
+    text = F.concat(F.lit('{"name":"['), "s_name", F.lit(']","list":["[a]","[b] c","[x'), "s_nationkey", F.lit(']"],"deep":{"[k]":"[v]","n":[["[y]"]]},"number":'), "s_suppkey", F.lit("}"))
+    return s.select(F.col("s_suppkey").alias("id"), N.outer_brackets_json(text).alias("document"))
+
+
+@query("""WITH m AS (SELECT DISTINCT o_custkey AS household, o_orderpriority AS name, o_orderkey % 7 AS pid FROM orders)
+SELECT household, string_agg(pid || ':' || name, '|' ORDER BY pid, name) AS members FROM m GROUP BY household""")
+def household_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Members added to household units, repeats once."""
+    o = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("household"), F.col("o_orderpriority").alias("name"), (F.col("o_orderkey") % 7).alias("id"))
+    units = family.units_by_household(o, "household")
+    return units.select("household", F.array_join(F.transform("members", lambda m: F.concat_ws(":", m["pid"].cast("string"), m["name"])), "|").alias("members"))
+
+
+@query("""WITH e AS (SELECT n_regionkey AS src, n_nationkey AS dst FROM nation UNION ALL SELECT n_regionkey, n_nationkey FROM nation WHERE n_nationkey % 2 = 0)
+SELECT src, array_to_string(list(DISTINCT dst ORDER BY dst), ',') AS children FROM e GROUP BY src""")
+def adjacency_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children of every node, each once, however often they were added."""
+    e = _t(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("src"), F.col("n_nationkey").alias("dst"))
+    return graph.adjacency(e.unionByName(e.where("dst % 2 = 0"))).select("src", F.array_join(F.col("children").cast("array<string>"), ",").alias("children"))
+
+
+@query("""SELECT s_suppkey AS id, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE 'maria ' || lower(replace(s_name, '#', ' ')) END AS reference, 'made by  to ' || s_name || ' and ' AS description, chr(123) || chr(10) || '  "k" : ' || s_suppkey || ',' || chr(10) || '  "n" : "' || s_name || '"' || chr(10) || chr(125) AS pretty FROM supplier""")
+def text_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References without particles and accents (blank ones null), descriptions without governors, indented documents."""
+    s = _t(spark, sf_dir, "supplier")
+    ref = F.when(F.col("s_suppkey") % 4 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" de Mar\u00eda "), F.replace("s_name", F.lit("#"), F.lit("  "))))
+    out = s.select(F.col("s_suppkey").alias("id"), N.sanitize_reference(ref).alias("reference"), X.without_governors(F.concat(F.lit("made by Gov. Pico to "), "s_name", F.lit(" and Gov. Alvarado"))).alias("description"), F.struct(F.col("s_suppkey").alias("k"), F.col("s_name").alias("n")).alias("doc"))
+    return out.withColumn("pretty", F.to_json("doc", {"pretty": "true"})).drop("doc")
+
+
+@query("""WITH n AS (SELECT DISTINCT p_name AS a FROM part), p AS (SELECT x.a, y.a AS b FROM n x JOIN n y ON split_part(x.a, ' ', 1) = split_part(y.a, ' ', 1))
+SELECT a, b, least(length(a), length(b), length(a) - length(translate(a, b, '')), length(b) - length(translate(b, a, ''))) * 2.0::DOUBLE >= 0.8::DOUBLE * (length(a) + length(b)) AS may FROM p""")
+def similarity_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lengths and letters say of the similarity of names."""
+    n = _names(spark, sf_dir)
+    pairs = n.select("f", F.col("p_name").alias("a")).join(n.select("f", F.col("p_name").alias("b")), "f")
+    return pairs.select("a", "b", C.may_reach(F.col("a"), F.col("b"), 0.8).alias("may"))
+
+
 @query("""SELECT unnest(['customers', 'orders']) AS "Metric", unnest([(SELECT count(*) FROM customer)::VARCHAR, (SELECT count(*) FROM orders)::VARCHAR]) AS "Value" """)
 def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda t, a: _t(spark, sf_dir, t).agg(F.count(F.lit(1)).alias(a))
@@ -847,7 +982,9 @@ def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.sample(_t(spark, sf_dir, "documents").select("doc_id", "lang"), 50, 7)
 
 
-@query()
+@query("""WITH c AS (SELECT c_nationkey AS k, string_agg('{"id":' || (c_custkey + 1000) || ',"name":"' || c_name || '","age":' || floor(c_acctbal)::DOUBLE::VARCHAR || ',"children":[]}', ',' ORDER BY c_custkey) AS kids FROM customer GROUP BY c_nationkey),
+n AS (SELECT n_regionkey AS k, string_agg('{"id":' || (n_nationkey + 100) || ',"name":"' || n_name || '","children":[' || coalesce(kids, '') || ']}', ',' ORDER BY n_nationkey) AS kids FROM nation LEFT JOIN c ON c.k = n_nationkey GROUP BY n_regionkey)
+SELECT (r_regionkey + 1)::BIGINT AS root, '{"id":' || (r_regionkey + 1) || ',"name":"' || r_name || '","children":[' || coalesce(kids, '') || ']}' AS json FROM region LEFT JOIN n ON n.k = r_regionkey""")
 def nested_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The region tree as nested JSON."""
     nodes, edges = _hierarchy(spark, sf_dir)

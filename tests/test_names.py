@@ -74,6 +74,24 @@ def test_cells(spark):
 
 
 def test_fuzzy_sets(spark):
-    rows = [(["maria lopez", "juan"], ["maria lopes", "pedro"]), ([], ["x"]), (["a"], [])]
-    got = one(spark, rows, "a array<string>, b array<string>", s=C.compare_sets_fuzzy("a", "b", F.lit(0.8)))
-    assert [tuple(g["s"]) for g in got] == [(1, 1, 1), (0, 1, 0), (0, 0, 1)]
+    """Against one row at a time."""
+    import difflib
+
+    from kinloom.operators.evaluate import fuzzy_hits
+
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("abcde ") for _ in range(r.randint(0, 7)))
+    rows = [(["maria lopez", "juan"], ["maria lopes", "pedro"]), ([], ["x"]), (["a"], []), (["ab", "abx"], ["aby", "abz"]), ([""], ["", "b"])]
+    rows += [(sorted({word() for _ in range(r.randint(0, 5))}), sorted({word() for _ in range(r.randint(0, 5))})) for _ in range(150)]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(rows)], "k int, g array<string>, p array<string>")
+    for least in (0.5, 0.8):
+        got = {x["k"]: (x["tp"], x["fp"], x["fn"]) for x in fuzzy_hits(df, ["k"], least).collect()}
+        for k, (g, p) in enumerate(rows):
+            left, used, tp = [y for y in p if y not in g], set(g) & set(p), len(set(g) & set(p))
+            for x in g:
+                if x not in p and left:
+                    ratio, best = max((difflib.SequenceMatcher(None, x, y).ratio(), y) for y in left)
+                    if ratio >= least:
+                        tp += 1
+                        used.add(best)
+            assert got[k] == (tp, len(set(p) - used), len(g) - tp), (g, p)
