@@ -48,29 +48,31 @@ TREE = "file string, root long, node long, parent long, depth int, id long, name
 
 
 def read_trees(spark: SparkSession, path: str) -> DataFrame:
-    """Nested trees of JSON files as rows (file, root, node, parent, depth ...).
+    """Nested trees of JSON files as rows (file, root, node, parent, depth ...); ``root`` and ``node`` are numbered in reading order inside each file.
 
-    A file's list is cut into its trees by the JVM, and each tree is flattened for itself, so no task holds the nodes of more than one. ``root`` is the tree's place in its file, ``node`` its place in
-    reading order inside the tree. A text of a file, of one tree or a list of them, must fit in a row.
+    A file's list is cut into its trees by the JVM and flattened one tree at a time, so a task holds the nodes of one tree. The text of a file must fit in a row.
     """
 
     def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in TREE.split(", ")]
         for batch in batches:
-            for file, root, text in zip(batch["file"], batch["root"], batch["tree"], strict=True):
-                rows: list[tuple] = []
-                stack = [(json.loads(text), None, 1)]
-                while stack:
-                    t, parent, depth = stack.pop()
-                    node = len(rows)
-                    kids = [c for c in t.get("children") or [] if isinstance(c, dict)]
-                    spouse, timeline = t.get("spouse"), t.get("timeline")
-                    rows.append(
-                        (file, root, node, parent, depth, t.get("id"), t.get("name"), t.get("race"), t.get("gender"), t.get("birth_year"), t.get("age"), None if spouse is None else str(spouse), None if timeline is None else json.dumps(timeline), bool(t.get("circular_reference")), len(kids))
-                    )
-                    stack += [(c, node, depth + 1) for c in reversed(kids)]
-                yield pd.DataFrame(rows, columns=names).astype({"parent": "Int64", "id": "Int64", "birth_year": "float64", "age": "float64"})
+            for file, trees in zip(batch["file"], batch["trees"], strict=True):
+                root = 0
+                for text in trees:
+                    rows: list[tuple] = []
+                    stack = [(json.loads(text), None, 1)]
+                    while stack:
+                        t, parent, depth = stack.pop()
+                        node = root + len(rows)
+                        kids = [c for c in t.get("children") or [] if isinstance(c, dict)]
+                        spouse, timeline = t.get("spouse"), t.get("timeline")
+                        rows.append(
+                            (file, root, node, parent, depth, t.get("id"), t.get("name"), t.get("race"), t.get("gender"), t.get("birth_year"), t.get("age"), None if spouse is None else str(spouse), None if timeline is None else json.dumps(timeline), bool(t.get("circular_reference")), len(kids))
+                        )
+                        stack += [(c, node, depth + 1) for c in reversed(kids)]
+                    root += len(rows)
+                    yield pd.DataFrame(rows, columns=names).astype({"parent": "Int64", "id": "Int64", "birth_year": "float64", "age": "float64"})
 
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.trim("value").alias("value"))
     trees = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))
-    return whole.select("file", F.posexplode(trees).alias("root", "tree")).mapInPandas(flatten, TREE)
+    return whole.select("file", trees.alias("trees")).mapInPandas(flatten, TREE)
