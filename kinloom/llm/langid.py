@@ -112,23 +112,26 @@ def _forward(groups: list[Group], lengths: np.ndarray, log: np.ndarray) -> np.nd
     return alpha
 
 
-def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
-    """Log-probability of each word in each language; words of like length are worked on together."""
-    sums, log = tk.prefix(data), np.log(prob)
-    out = np.zeros((len(starts), prob.shape[1]))
-    lengths = ends - starts
-    order = np.argsort(lengths, kind="stable")
+def _bounded(order: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Blocks of words, given in order of length: BLOCK words of up to 32 bytes, and fewer the longer they are, so that no table of a block outgrows it."""
     a = 0
     while a < len(order):
-        # A block holds BLOCK words of up to 32 bytes, and fewer the longer they are.
         b = min(len(order), a + BLOCK)
         while b > a + 1 and (b - a) * int(lengths[order[b - 1]]) > 32 * BLOCK:
             b = a + (b - a) // 2
-        rows = order[a:b]
+        yield order[a:b]
+        a = b
+
+
+def word_scores(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocab: Vocabulary, prob: np.ndarray) -> np.ndarray:
+    """Log-probability of each word in each language; words of like length are worked on together."""
+    sums, log = tk.prefix(data), np.log(prob)
+    out = np.zeros((len(starts), prob.shape[1]))
+    lengths = ends - starts
+    for rows in _bounded(np.argsort(lengths, kind="stable"), lengths):
         n = lengths[rows]
         alpha = _forward(_lattice(sums, starts[rows], n, vocab), n, log)
         out[rows] = alpha[n, np.arange(len(rows))]
-        a = b
     return out
 
 
@@ -195,8 +198,9 @@ def fit(rows: list[tuple[str, str]], pieces: list[bytes], rounds: int = ROUNDS,
         n = (ends - starts)[one]
         order = np.argsort(n, kind="stable")
         blocks = []
-        for own in np.array_split(order, -(-len(order) // BLOCK)):
-            blocks.append((_lattice(sums, starts[one][own], n[own], vocab), n[own], count[own]))
+        for part in np.array_split(order, -(-len(order) // BLOCK)):
+            for own in _bounded(part, n):
+                blocks.append((_lattice(sums, starts[one][own], n[own], vocab), n[own], count[own]))
         p = short / short.sum()
         for _ in range(rounds):
             got = np.zeros(len(pieces))

@@ -5,9 +5,9 @@ pass over each conversation's turns chains them, holding one state; equal prefix
 one row for each turn before the trie is built.
 
 Nodes are dealt by the digest of their first turn, many first-turn subtries to a bucket. Inside ``applyInPandas`` a bucket's nodes become dictionary tries with pointers to
-children, and an iterative postorder sums the subtrees. A first-turn subtrie of more than ``LIMIT`` nodes is dealt again by its next turn, and so on until all parts fit; where
+children, and an iterative postorder sums the subtrees. A first-turn subtrie of more nodes than a few mean buckets (``LIMIT`` at most) is dealt again by its next turn, and so on until all parts fit; where
 all go on alike, the turns up to the next fork go in one step. What is above the forks, chains that lead to a node with known children, is summed afterwards by windows, from the last step to the
-first. So the number of steps is that of nested forks with more than ``LIMIT`` nodes below, whatever the number of turns.
+first. So the number of steps is that of nested forks with more nodes than that below, whatever the number of turns.
 
 The list of ids that end at a node is hashed as a stream of sorted blocks of at most ``BLOCK`` ids; no task holds a list.
 
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import SQL_CRC, settle, sql_crc
 
-#: Nodes of a subtrie that one group builds.
-LIMIT = 100_000
+#: Nodes of a subtrie that one group builds at most; LEAST and fewer are never worth a step, and between them it is SHARE mean buckets.
+LIMIT, LEAST, SHARE = 100_000, 1000, 4
 #: Nodes that make up a bucket of small subtries.
 BUCKET = 50_000
 #: Ids hashed from one row.
@@ -177,7 +177,9 @@ def _chains(chain: DataFrame, below: DataFrame) -> DataFrame:
 
 def summed(nodes: DataFrame, path: DataFrame, limit: int | None = None) -> DataFrame:
     """Subtree sums of all nodes (node, parent, top, depth, bytes, conv_id, n_convs); the parent's id is null for nodes of depth 1."""
-    limit = LIMIT if limit is None else limit
+    total = nodes.count()
+    buckets = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET)
+    limit = max(LEAST, min(LIMIT, SHARE * total // buckets)) if limit is None else limit
     live, fitting, chains = nodes.withColumnRenamed("top", "key"), [], []
     while (step := _split(live, path, limit)) is not None:
         small, chain, live = step
@@ -186,8 +188,6 @@ def summed(nodes: DataFrame, path: DataFrame, limit: int | None = None) -> DataF
     whole = live
     for small in fitting:
         whole = whole.unionByName(small)
-    total = nodes.count()
-    buckets = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // BUCKET)
     out = whole.withColumn("bucket", F.pmod(F.hash("key"), F.lit(buckets))).drop("key").groupBy("bucket").applyInPandas(lambda part: _build(part), _SUMS)
     if not chains:
         return out
