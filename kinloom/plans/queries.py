@@ -970,6 +970,66 @@ def similarity_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("a", "b", C.may_reach(F.col("a"), F.col("b"), 0.8).alias("may"))
 
 
+_WIDE = "CASE WHEN fd <= 2 THEN 1 ELSE 0 END", "CASE WHEN ld <= 2 THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH {_sql_candidates(3)}
+SELECT role, ecpp_id, bid, fd AS first_distance, ld AS last_distance, ({_WIDE[0]} + {_WIDE[1]} + {_GENDER} + CASE WHEN abs(age - bage) <= 2 THEN 1 ELSE 0 END)::DOUBLE AS score,
+       concat_ws(', ', CASE WHEN fd <= 2 THEN 'First Name' END, CASE WHEN ld <= 2 THEN 'Last Name' END, CASE WHEN ({_GENDER}) = 1 THEN 'Gender' END, CASE WHEN abs(age - bage) <= 2 THEN 'Age' END) AS criteria FROM k WHERE role <> 'father'""")
+def linkage_v1_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 0/1 profile over names up to three edits apart, so that its name features hold for some pairs and fail for others."""
+    census, baptisms = _people(spark, sf_dir)
+    out = None
+    for role in ("direct", "mother"):
+        one = linkage.v1_scores(linkage.candidates(census, baptisms, role, most=3), "c_Gender", "b_Sex", "c_Age", "b_Age")
+        out = one if out is None else out.unionByName(one)
+    return out.select("role", F.col("c_ecpp_id").alias("ecpp_id"), F.col("b_#ID").alias("bid"), "first_distance", "last_distance", "score", "criteria")
+
+
+@query(f"""WITH {_NAMES}, p AS (SELECT a.f || CASE WHEN a.n % 3 = 0 THEN '' ELSE ' ' || a.l END || CASE WHEN a.n % 2 = 0 THEN ' ' || b.l ELSE '' END AS parent, b.f || CASE WHEN b.n % 4 = 0 THEN '' ELSE ' ' || b.l END || CASE WHEN b.n % 3 = 0 THEN ' ' || a.l ELSE '' END AS child FROM n a JOIN n b ON a.n % 5 = b.n % 5 AND a.f <> b.f),
+t AS (SELECT DISTINCT parent, child, string_split(parent, ' ') AS o, string_split(child, ' ') AS w FROM p)
+SELECT parent, child, CASE WHEN len(w) < 2 OR len(o) < 2 THEN true ELSE len(list_filter(w, lambda t: {_dist("t", "o[-1]")} <= 2)) > 0 OR (len(w) > 2 AND {_dist("w[-2]", "(CASE WHEN len(o) > 2 THEN o[-2] ELSE o[-1] END)")} <= 2) END AS fits FROM t""")
+def surname_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether surnames of children fit those of parents, for names of one to three tokens from the distinct part names."""
+    n = _names(spark, sf_dir).select("f", "l", "n")
+    a, b = n.toDF("af", "al", "an"), n.toDF("bf", "bl", "bn")
+    also = lambda when, x: F.when(when, F.concat(F.lit(" "), x)).otherwise("")
+    pairs = a.join(b, (F.col("an") % 5 == F.col("bn") % 5) & (F.col("af") != F.col("bf")))
+    parent = F.concat("af", also(F.col("an") % 3 != 0, F.col("al")), also(F.col("an") % 2 == 0, F.col("bl")))
+    child = F.concat("bf", also(F.col("bn") % 4 != 0, F.col("bl")), also(F.col("bn") % 3 == 0, F.col("al")))
+    return pairs.select(parent.alias("parent"), child.alias("child")).distinct().withColumn("fits", graph.valid_child_surname(F.col("parent"), F.col("child")))
+
+
+@query("""SELECT 'ALAMEDA COUNTY' AS county, 'REAL ' || upper(p_name) AS name, '#' || p_partkey AS number, 'in earnest.' AS description FROM part WHERE p_partkey % 2 = 0
+UNION ALL SELECT 'INDEX COUNTY', 'LISTED ' || upper(p_name), '#' || p_partkey, 'in the index.' FROM part WHERE p_partkey % 2 = 1""")
+def corpus_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts begin at the first county of the corpus where they have it: what an index lists before it is left out."""
+    p = _t(spark, sf_dir, "part")
+    key, name = F.col("p_partkey").cast("string"), F.upper("p_name")
+    head = F.concat(F.lit("INDEX COUNTY\nLISTED "), name, F.lit(", #"), key, F.lit(" in the index.\n"))
+    body = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("ALAMEDA COUNTY\nREAL "), name, F.lit(", #"), key, F.lit(" in earnest.\n"))).otherwise("")
+    sections = X.split_sections(p.select(F.concat(head, body).alias("text")))
+    return X.split_entries(sections.withColumn("place", F.col("county"))).select(F.col("place").alias("county"), "name", "number", "description")
+
+
+@query("""SELECT 'padron_nation' AS dataset, n_nationkey::VARCHAR AS id, CASE WHEN n_nationkey % 2 = 0 THEN n_name || ' ' || n_regionkey END AS strict, CASE WHEN n_nationkey % 2 = 0 THEN n_name || ' ' || n_regionkey ELSE n_regionkey::VARCHAR END AS loose, NULL::DOUBLE AS age FROM nation
+UNION ALL SELECT 'region', r_regionkey::VARCHAR, NULL, r_name, 7.0 FROM region""")
+def dataset_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named datasets as views: each one's key column, surnames with and without gaps, and an age column where there was none."""
+    n, r = _t(spark, sf_dir, "nation"), _t(spark, sf_dir, "region")
+    path = scratch(spark, "catalog")
+    n.select(F.col("n_nationkey").alias("ecpp_id"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).alias("Paternal"), F.col("n_regionkey").alias("Maternal")).write.csv(f"{path}/padron_nation.tsv", header=True, sep="\t")
+    r.select(F.col("r_regionkey").alias("#ID"), F.col("r_name").alias("Paternal"), F.lit(None).cast("string").alias("Maternal"), F.lit("7").alias("Age")).write.csv(f"{path}/region.csv", header=True)
+    tabular.catalog(spark, {"padron_nation": f"{path}/padron_nation.tsv", "region": f"{path}/region.csv"})
+    out = None
+    for name in ("padron_nation", "region"):
+        df = tabular.ensure_column(spark.table(name), "age", "string")
+        df = tabular.last_name(tabular.last_name(df, "paternal", "maternal", "loose"), "paternal", "maternal", "strict", null_propagating=True)
+        one = df.select(F.lit(name).alias("dataset"), F.col(f"`{tabular.id_column(name).lower()}`").alias("id"), "strict", "loose", F.col("age").cast("double").alias("age"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("""SELECT unnest(['customers', 'orders']) AS "Metric", unnest([(SELECT count(*) FROM customer)::VARCHAR, (SELECT count(*) FROM orders)::VARCHAR]) AS "Value" """)
 def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda t, a: _t(spark, sf_dir, t).agg(F.count(F.lit(1)).alias(a))

@@ -115,6 +115,22 @@ def test_coupled_names_are_all_that_the_profile_accepts(spark):
     assert len(got) < 2 * len(accepted)
 
 
+def test_coupling_meets_few_more_than_it_accepts(spark):
+    """Candidates of the first profile over some thousand full names with few first names: within a small factor of what it accepts."""
+    r = random.Random(10)
+    syllable = lambda: r.choice("bcdfglmnprst") + r.choice("aeiou")
+    firsts = ["".join(syllable() for _ in range(r.randint(2, 4))) for _ in range(60)]
+    lasts = ["".join(syllable() for _ in range(r.randint(3, 5))) for _ in range(1500)]
+    rows = sorted({(firsts[int(60 * r.random() ** 2)], r.choice(lasts)) for _ in range(4000)})
+    c, b = spark.createDataFrame(rows, "cf string, cl string").cache(), spark.createDataFrame(rows, "bf string, bl string").cache()
+    first = linkage.near_name_pairs(c, b, "cf", "bf").toDF("cf", "bf", "fd")
+    last = linkage.near_name_pairs(c, b, "cl", "bl").toDF("cl", "bl", "ld")
+    met = c.join(first, "cf").join(b, "bf").count() + c.join(last, "cl").join(b, "bl").count()
+    pairs = linkage.coupled_names(c, b).select(F.col("cf"), "cl", "bf", "bl", "first_distance", "last_distance", F.lit("x").alias("g"))
+    accepted = linkage.v0_scores(pairs, "g", "g").where(F.col("score") > linkage.V0_CUT).count()
+    assert len(rows) < accepted and met < 12 * accepted and met < len(rows) ** 2 / 4
+
+
 PERSON = "id long, name string, father string, mother string, spouse string, gender string, race string, birth_year double, age double, census_year int"
 
 
