@@ -56,12 +56,16 @@ def carried(edges: DataFrame, entities: DataFrame) -> DataFrame:
 def about_entities(persons: DataFrame, entities: DataFrame) -> DataFrame:
     """``id``, ``name``, ``gender``, ``birth_year``, ``age`` of each entity: its founder's name, the first known gender, the mean year of birth of its census ages, else of the years given."""
     joined = persons.withColumn("census_year", _year()).join(entities, "id")
-    first = Window.partitionBy("entity", "census_year").orderBy("id")
-    turn = joined.withColumn("turn", F.row_number().over(first))
-    born = F.avg(F.when((F.col("turn") == 1) & (F.col("census_year") > 0), F.col("census_year") - F.col("age")))
-    known = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("census_year", "id")))
-    latest = F.max_by("age", F.when((F.col("turn") == 1) & F.col("age").isNotNull(), F.col("census_year")))
-    return turn.groupBy(F.col("entity").alias("id")).agg(F.min_by("name", F.struct(F.col("id") != F.col("entity"), "id")).alias("name"), known("gender").alias("gender"), F.coalesce(born, F.avg("birth_year")).alias("birth_year"), latest.alias("age"))
+    known = lambda c, order: F.min_by(c, F.when(F.col(c).isNotNull(), order))
+    years = joined.groupBy("entity", "census_year").agg(
+        F.min(F.struct((F.col("id") != F.col("entity")).alias("later"), "id", "name")).alias("founder"), F.min_by("age", "id").alias("age"),
+        F.min(F.when(F.col("gender").isNotNull(), F.struct("id", "gender")))["gender"].alias("gender"), F.sum("birth_year").alias("born"), F.count("birth_year").alias("births"),
+    )
+    by_age = F.avg(F.when(F.col("census_year") > 0, F.col("census_year") - F.col("age")))
+    return years.groupBy(F.col("entity").alias("id")).agg(
+        F.min("founder")["name"].alias("name"), known("gender", F.col("census_year")).alias("gender"), F.coalesce(by_age, F.try_divide(F.sum("born"), F.sum("births"))).alias("birth_year"),
+        F.max(F.when(F.col("age").isNotNull(), F.struct("census_year", "age")))["age"].alias("age"),
+    )
 
 
 def contract(edges: DataFrame, entities: DataFrame, about: DataFrame) -> DataFrame:
@@ -74,9 +78,8 @@ def contract(edges: DataFrame, entities: DataFrame, about: DataFrame) -> DataFra
     side = lambda end, p: about.select(F.col("id").alias(end), *[F.col(c).alias(f"{p}{c}") for c in _ABOUT])
     pairs = all_years.join(side("src", "p_"), "src").join(side("dst", "c_"), "dst")
     pairs = pairs.where(F.when(F.col("rel") == "spouse", valid_spouses("p_", "c_")).otherwise(valid_parent_child("p_", "c_")))
-    rank = Window.partitionBy("dst", "rel").orderBy(F.desc("votes"), "first_year", "src")
-    every = Window.partitionBy("dst", "rel")
-    best = pairs.withColumns({"place": F.row_number().over(rank), "rivals": F.count(F.lit(1)).over(every) - 1}).where("place = 1").select("src", "dst", "rel", "votes", "rivals", "first_year")
+    first = F.min(F.struct((-F.col("votes")).alias("less"), "first_year", "src")).alias("b")
+    best = pairs.groupBy("dst", "rel").agg(first, (F.count(F.lit(1)) - 1).alias("rivals")).select(F.col("b.src").alias("src"), "dst", "rel", (-F.col("b.less")).alias("votes"), "rivals", F.col("b.first_year").alias("first_year"))
     couples = best.where("rel = 'spouse'")
     mutual = couples.join(couples.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"], "left_semi")
     return best.where("rel <> 'spouse'").unionByName(mutual)
