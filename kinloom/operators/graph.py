@@ -49,26 +49,26 @@ def compatible_pairs(a: DataFrame, b: DataFrame, k: int = NAME_LIMIT) -> DataFra
     years of birth must be near, so these meet on the name and a band of years: bands are one year wider than the slack, and each node looks into three. Only nodes without
     spouse and year meet all their namesakes, and of those there are few once equal nodes are one.
     """
-    near = settle(name_pairs(a, b, "name", "name", k).toDF("a_name", "b_name", "distance"), "near")
+    near = name_pairs(a, b, "name", "name", k).toDF("a_name", "b_name", "distance")
     spouses = name_pairs(a, b, "spouse", "spouse", SPOUSE_LIMIT).select(F.col("l").alias("a_spouse"), F.col("r").alias("b_spouse"))
-    width = BIRTH_SLACK + 1
-    band = lambda y: F.floor(y / width)
-    left = a.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "name", *FIELDS)]).join(near, "a_name")
+    left = a.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "name", *FIELDS)])
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "name", *FIELDS)])
-    left_free, right_free, left_year, right_year = (F.col(c).isNull() for c in ("a_spouse", "b_spouse", "a_birth_year", "b_birth_year"))
-    couples = left.where(~left_free).join(spouses, "a_spouse").join(right.where(~right_free), ["b_name", "b_spouse"])
-    open_left = left.withColumn("band", F.explode(F.when(left_year, F.array(F.lit(None).cast("long"))).otherwise(F.sequence(band(F.col("a_birth_year")) - 1, band(F.col("a_birth_year")) + 1))))
-    open_right = right.withColumn("band", band(F.col("b_birth_year")))
-    parts = [couples]
-    # A spouse is unknown on the left, or on the right only; years known on both sides, or not.
-    for l, r in ((left_free, F.lit(True)), (~left_free, right_free)):  # noqa: E741
-        parts.append(open_left.where(l & ~left_year).join(open_right.where(r & ~right_year), ["b_name", "band"]).drop("band"))
-        parts.append(left.where(l & left_year).join(right.where(r), "b_name"))
-        parts.append(left.where(l & ~left_year).join(right.where(r & right_year), "b_name"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(compatible("a_", "b_")).select("a_id", "b_id", "distance")
+    band = lambda y: F.floor(y / (BIRTH_SLACK + 1))
+    around = lambda kind: F.transform(F.sequence(band(F.col("a_birth_year")) - 1, band(F.col("a_birth_year")) + 1), lambda k: F.concat(F.lit(kind), k.cast("string")))
+    own = lambda kind, when, key=F.lit(""): F.when(when, F.concat(F.lit(kind), key))
+    free, year = F.col("a_spouse").isNull(), F.col("a_birth_year").isNotNull()
+    # Each pair has one way to meet: by spouses if both are known; else by the left one's lack of a spouse, or by the right one's, each with both years known, the left one unknown or only the right one.
+    ways = F.when(free & year, F.concat(around("free:"), F.array(F.lit("free, no year right")))).when(free, F.array(F.lit("free, no year left")))
+    ways = ways.when(year, F.concat(around("tied:"), F.array(F.lit("tied, no year right")))).otherwise(F.array(F.lit("tied, no year left")))
+    left = left.withColumn("way", F.explode(ways)).unionByName(left.join(spouses, "a_spouse").withColumn("way", F.concat(F.lit("spouse:"), "b_spouse")).drop("b_spouse"))
+    free, year = F.col("b_spouse").isNull(), F.col("b_birth_year").isNotNull()
+    place = band(F.col("b_birth_year")).cast("string")
+    taken = F.array(
+        own("free:", year, place), own("free, no year right", ~year), own("free, no year left", F.lit(True)),
+        own("tied:", free & year, place), own("tied, no year right", free & ~year), own("tied, no year left", free), own("spouse:", ~free, F.col("b_spouse")),
+    )
+    right = right.withColumn("way", F.explode(F.array_compact(taken)))
+    return left.join(near, "a_name").join(right, ["b_name", "way"]).where(compatible("a_", "b_")).select("a_id", "b_id", "distance")
 
 
 def node_edges(nodes: DataFrame, k: int = NAME_LIMIT) -> DataFrame:
