@@ -22,24 +22,24 @@ def _hook_smaller(edges: DataFrame) -> DataFrame:
     return others.unionByName(least.select("u", F.col("low").alias("v"))).distinct()
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one edge at most to a smaller one, which has none itself; then that is the least of its component."""
+    several = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+    inner = edges.select("u").join(edges.select(F.col("v").alias("u")), "u", "left_semi")
+    return several.unionByName(inner).isEmpty()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest id reachable over the edges ``u``, ``v``, whose direction, repeats and loops do not matter.
 
-    Larger and smaller neighbours hook to the least by turns until nothing moves. Both steps keep each component
+    Larger and smaller neighbours hook to the least by turns until all components are stars. Both steps keep each component
     together and never add edges, so a round costs no more than the first; each is written to the shared folder. Edges always run from the larger
     to the smaller id. Nodes without an edge to another are not returned.
     """
     now = settle(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
     for _ in range(rounds):
-        state = _state(now)
-        if state == before or not state[0]:
+        if _stars(now):
             roots = now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-        before = state
         now = settle(_hook_smaller(_hook_larger(now)), "hooked")
     raise RuntimeError(f"components did not settle in {rounds} rounds")

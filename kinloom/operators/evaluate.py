@@ -50,13 +50,13 @@ def _cells(golden: DataFrame, predicted: DataFrame, key: str, columns: Sequence[
     g = golden.select(F.col(f"`{key}`").alias("key"), *[F.col(f"`{c}`").cast("string").alias(f"g_{k}") for k, c in enumerate(columns)])
     p = predicted.select(F.col(f"`{key}`").alias("key"), *[F.col(f"`{c}`").cast("string").alias(f"p_{k}") for k, c in enumerate(columns) if c in predicted.columns])
     joined = g.join(p, "key").withColumn("row", F.monotonically_increasing_id())
-    joined = joined if fuzzy is None else settle(joined, "cells")  # row numbers are joined on: they must not change
     side = lambda k: F.col(f"p_{k}") if f"p_{k}" in joined.columns else F.lit("")
     cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"g_{k}").alias("g"), side(k).alias("p")) for k, c in enumerate(columns)]))
     rows = joined.select("key", "row", cells.alias("c")).select("key", "row", "c.column", extract_values(F.col("c.g")).alias("g"), extract_values(F.col("c.p")).alias("p"))
     if fuzzy is None:
         return rows.withColumn("h", compare_sets(F.col("g"), F.col("p"))).select("key", "row", "column", "h.*", F.size("g").cast("long").alias("n"))
-    return fuzzy_hits(rows, ("row", "column"), fuzzy).select("key", "row", "column", "tp", "fp", "fn", F.size("g").cast("long").alias("n"))
+    # Written once: the rows are joined on their numbers, which must not change, and used three times.
+    return fuzzy_hits(settle(rows, "cells"), ("row", "column"), fuzzy).select("key", "row", "column", "tp", "fp", "fn", F.size("g").cast("long").alias("n"))
 
 
 def evaluate_columns(golden: DataFrame, predicted: DataFrame, key: str, columns: Sequence[str], fuzzy: float | None = None, digits: int | None = 4) -> DataFrame:

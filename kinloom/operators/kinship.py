@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .graph import NAME_LIMIT, valid_parent_child, valid_spouses
 from .linkage import name_pairs
 
@@ -80,6 +81,7 @@ def contract(edges: DataFrame, entities: DataFrame, about: DataFrame) -> DataFra
     pairs = pairs.where(F.when(F.col("rel") == "spouse", valid_spouses("p_", "c_")).otherwise(valid_parent_child("p_", "c_")))
     first = F.min(F.struct((-F.col("votes")).alias("less"), "first_year", "src")).alias("b")
     best = pairs.groupBy("dst", "rel").agg(first, (F.count(F.lit(1)) - 1).alias("rivals")).select(F.col("b.src").alias("src"), "dst", "rel", (-F.col("b.less")).alias("votes"), "rivals", F.col("b.first_year").alias("first_year"))
+    best = settle(best, "choices")
     couples = best.where("rel = 'spouse'")
     mutual = couples.join(couples.select(F.col("src").alias("dst"), F.col("dst").alias("src")), ["src", "dst"], "left_semi")
     return best.where("rel <> 'spouse'").unionByName(mutual)
@@ -92,7 +94,7 @@ def integrated_family(persons: DataFrame, entities: DataFrame, k: int = NAME_LIM
 
 def relation_rows(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """(entity, census_year, rel, other, votes): whom each entity was related to in each census, children as relations too; the long form, with no group that grows with a family."""
-    votes = carried(edges, entities)
+    votes = settle(carried(edges, entities), "votes")
     own = votes.select(F.col("dst").alias("entity"), "census_year", "rel", F.col("src").alias("other"), "votes")
     children = votes.where("rel <> 'spouse'").groupBy(F.col("src").alias("entity"), "census_year", F.col("dst").alias("other")).agg(F.sum("votes").alias("votes"))
     return own.unionByName(children.select("entity", "census_year", F.lit("child").alias("rel"), "other", "votes"))

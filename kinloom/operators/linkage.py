@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import names as N
+from ..session import settle
 
 ROLES = ("direct", "mother", "father")
 #: Column names of either side for each role, for the 1790 census and for the padrones.
@@ -160,7 +161,7 @@ def candidates(census: DataFrame, baptisms: DataFrame, role: str, census_columns
 def coupled_names(c: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct full names (cf, cl) and (bf, bl) within their dynamic maxima, one part of which is near, with both distances."""
     ours, theirs = c.select("cf", "cl").distinct(), b.select("bf", "bl").distinct()
-    first = near_name_pairs(c, b, "cf", "bf").toDF("cf", "bf", "first_distance")
+    first = settle(near_name_pairs(c, b, "cf", "bf").toDF("cf", "bf", "first_distance"), "near")
     last = near_name_pairs(c, b, "cl", "bl").toDF("cl", "bl", "last_distance")
     by_first = _far(ours.join(first, "cf").join(theirs, "bf"), "cl", "bl", "last_distance")
     by_last = ours.join(last, "cl").join(theirs, "bl").join(first.drop("first_distance"), ["cf", "bf"], "left_anti")
