@@ -124,11 +124,20 @@ def near_share() -> float:
     return 1 + math.log(left)
 
 
-def near_name_pairs(left: DataFrame, right: DataFrame, l: str, r: str) -> DataFrame:  # noqa: E741
-    """(l, r, distance) of distinct names within :func:`near_share` of their dynamic maximum, by pieces: one join for each number of edits that some length allows."""
+def longest_name(*columns: tuple[DataFrame, str]) -> int:
+    """Letters of the longest name in any of the columns."""
+    sizes = None
+    for df, c in columns:
+        one = df.select(F.length(c).alias("n"))
+        sizes = one if sizes is None else sizes.unionByName(one)
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
+def near_name_pairs(left: DataFrame, right: DataFrame, l: str, r: str, longest: int | None = None) -> DataFrame:  # noqa: E741
+    """(l, r, distance) of distinct names within :func:`near_share` of their dynamic maximum, by pieces: one join for each number of edits that some length up to ``longest`` allows."""
     a = left.select(F.col(l).alias("l")).where("l is not null").distinct()
     b = right.select(F.col(r).alias("r")).where("r is not null").distinct()
-    longest = a.select(F.length("l").alias("n")).unionByName(b.select(F.length("r").alias("n"))).agg(F.max("n")).first()[0] or 0
+    longest = longest_name((a, "l"), (b, "r")) if longest is None else longest
     share, out, low = near_share(), None, 0
     while low <= longest:
         k = math.floor(share * 5 + share * 0.2 * max(0, low - 8) + 1e-9)
@@ -161,8 +170,9 @@ def candidates(census: DataFrame, baptisms: DataFrame, role: str, census_columns
 def coupled_names(c: DataFrame, b: DataFrame) -> DataFrame:
     """Distinct full names (cf, cl) and (bf, bl) within their dynamic maxima, one part of which is near, with both distances."""
     ours, theirs = c.select("cf", "cl").distinct(), b.select("bf", "bl").distinct()
-    first = settle(near_name_pairs(c, b, "cf", "bf").toDF("cf", "bf", "first_distance"), "near")
-    last = near_name_pairs(c, b, "cl", "bl").toDF("cl", "bl", "last_distance")
+    longest = longest_name((ours, "cf"), (ours, "cl"), (theirs, "bf"), (theirs, "bl"))
+    first = settle(near_name_pairs(c, b, "cf", "bf", longest).toDF("cf", "bf", "first_distance"), "near")
+    last = near_name_pairs(c, b, "cl", "bl", longest).toDF("cl", "bl", "last_distance")
     by_first = _far(ours.join(first, "cf").join(theirs, "bf"), "cl", "bl", "last_distance")
     by_last = ours.join(last, "cl").join(theirs, "bl").join(first.drop("first_distance"), ["cf", "bf"], "left_anti")
     return by_first.unionByName(_far(by_last, "cf", "bf", "first_distance"))
