@@ -47,7 +47,7 @@ LEAST_WORDS = 4
 #: Items of at least so many tokens, but fewer than MIN_WORDS, may have one substituted.
 SHORT_TOLERANT = 6
 #: Seed hits, and tokens of alignments, worked on together.
-HITS = 1 << 22
+HITS = 1 << 20
 #: An alignment has fewer tokens than this.
 _SPAN = 27
 _BITS = 20
