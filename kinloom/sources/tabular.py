@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import blank_to_null, safe_int
+from ..session import settle
 
 #: Canonical person fields.
 FIELDS = ("name", "race", "gender", "father", "mother", "spouse", "age")
@@ -67,16 +68,17 @@ def drop_blank_rows(df: DataFrame, keep: Sequence[str] = ("ordinal",)) -> DataFr
 def add_identifiers(df: DataFrame, column: str, order: Sequence[str] = ("ordinal",), whole: bool = False) -> DataFrame:
     """``column`` numbers rows from 1 in the given order.
 
-    Rows are range-partitioned by the order, numbered inside each partition, and shifted by the sizes of
-    the partitions before, so no partition holds all rows. ``whole`` numbers by one global window, for small tables.
+    Rows are range-partitioned by the order, sorted and numbered inside each partition, and shifted by the sizes of
+    the partitions before, so no partition holds all rows. The placed rows are written once: bounds of ranges come from a sample, and a second run may draw
+    others, so sizes taken from it would not be those of the numbered partitions. ``whole`` numbers by one global window, for small tables.
     """
     if whole:
         return df.withColumn(column, F.row_number().over(Window.orderBy(*order)).cast("long"))
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    inside = parts.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    placed = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    parts = placed.withColumns({"__part": F.shiftright("__at", 33), "__row": F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + 1})
     sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     shift = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return inside.join(F.broadcast(shift), "__part").withColumn(column, (F.col("__row") + F.col("__before")).cast("long")).drop("__part", "__row", "__n", "__before")
+    return parts.join(F.broadcast(shift), "__part").withColumn(column, F.col("__row") + F.col("__before")).drop("__at", "__part", "__row", "__before")
 
 
 def ensure_column(df: DataFrame, name: str, kind: str = "double") -> DataFrame:

@@ -31,6 +31,21 @@ def test_identifiers_match_a_global_window(spark):
     assert a == b and sorted(a.values()) == list(range(1, 1001))
 
 
+def test_identifiers_of_wide_rows_over_many_ranges(spark):
+    """Rows wide beside their keys, more than the sample of the bounds holds: those numbered and those counted are placed by one run, so none is lost or numbered twice."""
+    confs = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {c: spark.conf.get(c, None) for c in confs}
+    for c, v in confs.items():
+        spark.conf.set(c, v)
+    try:
+        df = spark.range(60000, numPartitions=4).select(F.pmod(F.col("id") * 7919, F.lit(60000)).alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("wide"))
+        got = tabular.add_identifiers(df, "n", ("k",)).collect()
+    finally:
+        for c, v in before.items():
+            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
+    assert sorted((r["k"], r["n"]) for r in got) == [(k, k + 1) for k in range(60000)]
+
+
 def test_text_falls_back_to_latin(spark, tmp_path):
     (tmp_path / "u.txt").write_bytes("año".encode())
     (tmp_path / "l.txt").write_bytes("año".encode("latin-1"))
