@@ -2,12 +2,15 @@ from __future__ import annotations
 
 import json
 import random
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from kinloom.operators import evaluate as E
 from kinloom.operators import extract as X
 from kinloom.operators import family, filters, graph, household, linkage
+from kinloom.plans.queries import QUERIES
 
 
 def test_households_match_a_loop(spark):
@@ -183,3 +186,13 @@ def test_surnames_of_few_tokens(spark):
     rows = [("Juan", "Ana Ruiz", True), (None, "Ana Ruiz", True), ("Juan Vaca", None, True), ("juan vaca leon", "ana vaca ruiz", True), ("juan vaca leon", "ana soto leonn", True), ("juan vaca leon", "ana vaca", False), ("juan vaca", "xochitl montes", False)]
     got = [r[0] for r in spark.createDataFrame(rows, "p string, c string, y boolean").select(graph.valid_child_surname(F.col("p"), F.col("c")), "y").collect()]
     assert got == [y for *_, y in rows]
+
+
+def test_pairs_of_large_groups_are_spread(spark):
+    """One small file on either side and few keys: the pairs are those of the plain join, and no task makes most of them."""
+    data = Path("/root/testdata/sf0.01")
+    if not data.exists():
+        pytest.skip("the generated tables are not here")
+    made = [r["count"] for r in QUERIES["relation_rules"](spark, str(data)).groupBy(F.spark_partition_id().alias("at")).count().collect()]
+    c, s = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("customer", "supplier"))
+    assert sum(made) == c.join(s, c.c_nationkey == s.s_nationkey).count() and max(made) < sum(made) / 4
