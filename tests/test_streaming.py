@@ -49,3 +49,38 @@ def test_a_stream_meets_known_names_on_pieces(spark, tmp_path):
     q.awaitTermination(120)
     want = sorted(map(tuple, incremental.link_stream(table, known).select("id", "name", "known", "distance").collect()))
     assert sorted(map(tuple, spark.table("pieces").select("id", "name", "known", "distance").collect())) == want and len(want) > 50
+
+
+def test_records_of_one_name_are_compared_once(monkeypatch):
+    """One piece in two batches: pairs by the order of ids, each two names compared once in a batch however many records they have."""
+    import pandas as pd
+
+    class State:
+        def __init__(self):
+            self.kept = {}
+
+        def iterator(self):
+            return iter(self.kept.items())
+
+        def updateValue(self, key, value):
+            self.kept[key] = value
+
+    state, calls, distance = State(), [], incremental.N._dp
+    monkeypatch.setattr(incremental.N, "_dp", lambda a, b: calls.append((a, b)) or distance(a, b))
+    one = incremental._Seen(2)
+    one.names = state
+
+    def batch(records):
+        """What comes to the piece of the first letter, cut into frames."""
+        calls.clear()
+        frames = [pd.DataFrame({"id": [x], "name": [n]}) if x % 2 else pd.DataFrame({"id": [x, x + 100], "name": [n, n]}) for x, n in records]
+        rows = pd.concat(list(incremental._gather(iter(frames))))
+        own = rows.assign(ids=rows["ids"].map(lambda x: [min(x)]), own=True)
+        got = pd.concat(list(one.handleInputRows(("3:0:a",), iter([rows.assign(own=False), own]), None)))
+        assert len(calls) == len(set(calls))
+        return sorted((x, r.name_, r.known_id, r.known) for r in got.rename(columns={"name": "name_"}).itertuples() for x in r.ids)
+
+    first = batch([(5, "abc"), (3, "abx"), (8, "abc"), (7, "abx")])
+    assert first == [(5, "abc", 3, "abx"), *[(7, "abx", k, n) for k, n in ((3, "abx"), (5, "abc"))], *[(x, "abc", k, n) for x in (8, 108) for k, n in ((3, "abx"), (5, "abc"))]]
+    assert batch([(1, "abc"), (3, "abz"), (9, "abz")]) == [(1, "abc", 3, "abx"), (1, "abc", 5, "abc"), (3, "abz", 5, "abc"), *[(9, "abz", k, n) for k, n in ((3, "abx"), (3, "abz"), (5, "abc"))]]
+    assert state.kept == {("abc",): (5,), ("abx",): (3,), ("abz",): (3,)}
