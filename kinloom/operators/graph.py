@@ -274,6 +274,20 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("children"))
 
 
+def _json_number(c: str) -> Column:
+    """``"c":number`` of a column of doubles, null where it is null: from ten million on, where Spark would write 1.0E7, in plain digits, and from 1e16 on with an exponent, as SQL casts it."""
+    text, size = F.col(c).cast("string"), F.abs(c)
+    plain = F.regexp_replace(F.regexp_replace(text.cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
+    number = F.when(size >= 1e16, F.regexp_replace(text, r"(\.0)?E", "e+")).otherwise(plain)
+    return F.when((size >= 1e7) & (size < float("inf")), F.concat(F.lit(f'"{c}":'), number)).otherwise(_json_field(F.col(c)))
+
+
+def _json_field(c: Column) -> Column:
+    """The column with its name as in JSON; null where it is null."""
+    whole = F.to_json(F.struct(c))
+    return F.nullif(F.substring(whole, F.lit(2), F.length(whole) - 2), F.lit(""))
+
+
 def tree_json(tree: DataFrame, persons: DataFrame) -> DataFrame:
     """``root`` and the nested JSON of its tree; a tree is assembled level by level from the leaves, so a row holds one subtree."""
     info = persons.select(F.col("id").alias("node"), *[c for c in ("name", "race", "gender", "birth_year", "timeline", "spouse", "age") if c in persons.columns])
@@ -283,10 +297,11 @@ def tree_json(tree: DataFrame, persons: DataFrame) -> DataFrame:
     for k in range(top, 0, -1):
         level = rows.where(F.col("depth") == k)
         level = level.join(below, level.key == below.under, "left") if below is not None else level.withColumn("kids", F.lit("[]"))
-        fields = F.struct(F.col("node").alias("id"), *[c for c in info.columns if c != "node"])
-        body = F.concat(F.expr("substring(j, 1, length(j) - 1)"), F.lit(',"children":'), F.coalesce("kids", F.lit("[]")), F.lit("}"))
+        fields = [_json_number(c) if kind == "double" else _json_field(F.col(c)) for c, kind in info.dtypes if c != "node"]
+        own = F.concat_ws(",", _json_field(F.col("node").alias("id")), *fields)
+        body = F.concat(F.lit("{"), own, F.lit(',"children":'), F.coalesce("kids", F.lit("[]")), F.lit("}"))
         cycle = F.to_json(F.struct(F.col("node").alias("id"), "name", F.lit(True).alias("circular_reference")))
-        made = level.withColumn("j", F.to_json(fields)).withColumn("json", F.when(F.col("circular"), cycle).otherwise(body))
+        made = level.withColumn("json", F.when(F.col("circular"), cycle).otherwise(body))
         if k == 1:
             return made.select("root", "json")
         # Written at every level: a plan of all levels would grow with the depth.

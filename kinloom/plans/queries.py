@@ -569,13 +569,16 @@ def surname_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _hierarchy(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Regions, nations and customers as one tree: ids 1.., 100.., 1000..; age from the balance."""
     region, nation, customer = (_t(spark, sf_dir, x) for x in ("region", "nation", "customer"))
+    # Spark's floor is an integer: it has no negative zero and ends at 2^63. From 2^53 on doubles are whole.
+    balance = F.col("c_acctbal")
+    age = F.when((balance != 0) & (F.abs(balance) < 2.0**53), F.floor(balance).cast("double")).otherwise(balance)
     edges = nation.select((F.col("n_regionkey") + 1).cast("long").alias("src"), (F.col("n_nationkey") + 100).cast("long").alias("dst")).unionByName(
         customer.select((F.col("c_nationkey") + 100).cast("long").alias("src"), (F.col("c_custkey") + 1000).cast("long").alias("dst"))
     )
     nodes = (
         region.select((F.col("r_regionkey") + 1).cast("long").alias("id"), F.col("r_name").alias("name"), F.lit(None).cast("double").alias("age"))
         .unionByName(nation.select((F.col("n_nationkey") + 100).cast("long").alias("id"), F.col("n_name").alias("name"), F.lit(None).cast("double").alias("age")))
-        .unionByName(customer.select((F.col("c_custkey") + 1000).cast("long").alias("id"), F.col("c_name").alias("name"), F.floor("c_acctbal").cast("double").alias("age")))
+        .unionByName(customer.select((F.col("c_custkey") + 1000).cast("long").alias("id"), F.col("c_name").alias("name"), age.alias("age")))
     )
     return nodes, edges
 
