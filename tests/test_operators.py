@@ -196,3 +196,25 @@ def test_pairs_of_large_groups_are_spread(spark):
     made = [r["count"] for r in QUERIES["relation_rules"](spark, str(data)).groupBy(F.spark_partition_id().alias("at")).count().collect()]
     c, s = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("customer", "supplier"))
     assert sum(made) == c.join(s, c.c_nationkey == s.s_nationkey).count() and max(made) < sum(made) / 4
+
+
+def test_pairs_of_groups_are_those_of_the_join(spark):
+    """Rows without a key, equal rows, keys of one side only, and groups of several blocks."""
+    rng = random.Random(4)
+    a = spark.createDataFrame([(i % 700, rng.choice([None, 1, 2, 2, 2, 3]), None if i % 9 == 0 else float(i % 50)) for i in range(1500)], "cid long, k int, x double")
+    b = spark.createDataFrame([(i, rng.choice([None, 1, 2, 4]), f"n{i % 7}") for i in range(700)], "pid long, k int, y string")
+    got = linkage.pairs_of_groups(a, b, "k", ["x", "cid"], ["y", "pid"], most=10_000)
+    want = a.join(b, "k")
+    cols = ["k", "cid", "x", "pid", "y"]
+    assert got.count() == want.count() > 100_000
+    assert got.select(cols).exceptAll(want.select(cols)).isEmpty()
+    assert linkage.pairs_of_groups(a, b.where("k = 4"), "k", ["x", "cid"], ["y", "pid"]).count() == 0
+
+
+def test_pairs_of_large_groups_are_small_on_disk(spark, tmp_path):
+    """As written, pairs take a fraction of a byte each."""
+    spark.range(20_000).selectExpr("id as c_custkey", "concat('Customer#', id) as c_name", "cast(id % 8 as int) as c_nationkey", "cast(pmod(xxhash64(id), 1000000) / 100 as double) as c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(8_000).selectExpr("id as s_suppkey", "concat('Supplier#', id) as s_name", "cast(id % 8 as int) as s_nationkey", "cast(pmod(xxhash64(id + 5), 1000000) / 100 as double) as s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
+    QUERIES["relation_rules"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 20_000 * 8_000 // 8
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 20_000 * 8_000 // 8 * 0.5
