@@ -208,6 +208,8 @@ def test_pairs_of_groups_are_those_of_the_join(spark):
     cols = ["k", "cid", "x", "pid", "y"]
     assert got.count() == want.count() > 100_000
     assert got.select(cols).exceptAll(want.select(cols)).isEmpty()
+    one = linkage.pairs_of_groups(a.where("k = 2"), b, "k", ["x", "cid"], ["y", "pid"]).groupBy(F.spark_partition_id()).count().collect()
+    assert len(one) > spark.sparkContext.defaultParallelism  # one key keeps all cores busy
     assert linkage.pairs_of_groups(a, b.where("k = 4"), "k", ["x", "cid"], ["y", "pid"]).count() == 0
 
 
